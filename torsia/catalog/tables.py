@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from torsia.functions.angles import pimod
 from torsia.functions.letters import canonical
+from torsia.session import spread
 
 TWO_PI = 2.0 * math.pi
 LETTERS = "ACDEFGHIKLMNPQRSTVWY-X"
@@ -75,7 +76,7 @@ SITES = f"""sites AS (
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as entries: id, seq_no, name, cleaned sequence."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("id"),
         F.col("doc_id").alias("seq_no"),
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"),

@@ -44,18 +44,12 @@ def kmer_counts(df: DataFrame, k: int, mode: str = "skip", id_col: str = "id", s
     ``clean`` deletes bad letters first, so windows span them; ``skip`` drops
     windows that hold one. With ``share`` the column ``n`` is a share of all windows.
     """
-    bad = f"[^{RESIDUES}]"
-    text = F.regexp_replace("sequence", bad, "") if mode == "clean" else F.col("sequence")
-    windows = (
-        df.select(F.col(id_col), text.alias("_s"))
-        .filter(F.length("_s") >= k)
-        .withColumn("_p", F.explode(F.sequence(F.lit(1), F.length("_s") - (k - 1))))
-        .select(id_col, F.substring(F.col("_s"), F.col("_p"), F.lit(k)).alias("kmer"))
-    )
-    if mode == "skip":
-        windows = windows.filter(~F.col("kmer").rlike(bad))
-    elif mode != "clean":
+    if mode not in ("clean", "skip"):
         raise ValueError(f"unknown mode {mode!r}")
+    text = F.regexp_replace("sequence", f"[^{RESIDUES}]", "") if mode == "clean" else F.col("sequence")
+    # A look-ahead finds overlapping windows in one pass over the text.
+    found = F.regexp_extract_all(text, F.lit(f"(?=([{RESIDUES}]{{{k}}}))"), F.lit(1))
+    windows = df.select(id_col, F.explode(found).alias("kmer"))
     counts = windows.groupBy(id_col, "kmer").agg(F.count(F.lit(1)).alias("n"))
     if not share:
         return counts
@@ -63,42 +57,41 @@ def kmer_counts(df: DataFrame, k: int, mode: str = "skip", id_col: str = "id", s
     return counts.join(total, id_col).select(id_col, "kmer", (F.col("n") / F.col("_t")).alias("n"))
 
 
-def _profile(df: DataFrame, k: int, side: str) -> DataFrame:
-    """(id_side, kmers array<struct(kmer, n)>, total_side, len_side), one row per sequence.
+def _word_number(kmer: Column, k: int) -> Column:
+    """Base-20 number of a k-letter word, plain arithmetic that stays in generated code."""
+    total = F.lit(0).cast("bigint")
+    for i in range(1, k + 1):
+        total = total * 20 + (F.instr(F.lit(RESIDUES), F.substring(kmer, i, 1)) - 1)
+    return total
+
+
+# Room for the occurrence number of a word within one sequence.
+OCCURRENCES = 1 << 32
 
-    A sequence's own words are a row-sized collection: at most 20^k of them.
+
+def _tokens(counts: DataFrame, k: int, side: str) -> DataFrame:
+    """(id_side, tokens_side): the windows of a sequence as distinct numbers.
+
+    The i-th occurrence of a word is one token, so the number of tokens two
+    sequences share is the sum of the smaller counts. One row per sequence; it
+    holds no more than the sequence itself has letters.
     """
-    counts = kmer_counts(df, k)
-    return (
-        counts.groupBy("id")
-        .agg(F.collect_list(F.struct("kmer", "n")).alias("kmers"), F.sum("n").alias("total"))
-        .join(df.select("id", F.length("sequence").alias("len")), "id")
-        .select(
-            F.col("id").alias(f"id_{side}"),
-            F.col("kmers").alias(f"kmers_{side}"),
-            F.col("total").alias(f"total_{side}"),
-            F.col("len").alias(f"len_{side}"),
-        )
-    )
+    base = _word_number(F.col("kmer"), k) * OCCURRENCES
+    return counts.groupBy("id").agg(
+        F.flatten(F.collect_list(F.sequence(base, base + F.col("n") - 1))).alias("tokens")
+    ).select(F.col("id").alias(f"id_{side}"), F.col("tokens").alias(f"tokens_{side}"))
 
 
-def _shared_windows(kmers_a: Column, kmers_b: Column) -> Column:
-    """Sum of the smaller count over the words of both."""
-    lookup = F.map_from_entries(kmers_b)
-    return F.aggregate(
-        kmers_a,
-        F.lit(0).cast("bigint"),
-        lambda acc, x: acc + F.least(x["n"], F.coalesce(F.try_element_at(lookup, x["kmer"]), F.lit(0))),
-    )
+def _scored(pairs: DataFrame, ka: DataFrame, kb: DataFrame, k: int) -> DataFrame:
+    joined = pairs.select("id_a", "id_b").join(_tokens(ka, k, "a"), "id_a").join(_tokens(kb, k, "b"), "id_b")
+    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    union = F.size("tokens_a") + F.size("tokens_b") - F.col("_o")
+    return joined.withColumn("_o", shared).select("id_a", "id_b", (F.col("_o") / union).alias("score"))
 
 
 def pair_scores(pairs: DataFrame, a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """k-mer score of given pairs (id_a, id_b): shared windows over the union of windows."""
-    joined = pairs.select("id_a", "id_b").join(_profile(a, k, "a"), "id_a").join(_profile(b, k, "b"), "id_b")
-    overlap = _shared_windows(F.col("kmers_a"), F.col("kmers_b"))
-    return joined.withColumn("_o", overlap).select(
-        "id_a", "id_b", (F.col("_o") / (F.col("total_a") + F.col("total_b") - F.col("_o"))).alias("score")
-    )
+    return _scored(pairs, kmer_counts(a, k), kmer_counts(b, k), k)
 
 
 def similar_pairs(
@@ -164,7 +157,7 @@ def similar_pairs(
             .filter(length_ratio_ok(F.col("len_a"), F.col("len_b"), length_ratio))
             .select("id_a", "id_b")
         )
-    scored = pair_scores(pairs, a, a if self_join else b, k)
+    scored = _scored(pairs, ka, ka if self_join else kb, k)
     return scored.filter(F.col("score") > cutoff if strict else F.col("score") >= cutoff)
 
 

@@ -49,3 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input as many partitions as there are cores.
+
+    A file of one row group is read by one task. Large inputs have more splits
+    than cores already and are left as they are, with no extra shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
