@@ -85,8 +85,11 @@ def _tokens(counts: DataFrame, k: int, side: str) -> DataFrame:
 def _scored(pairs: DataFrame, ka: DataFrame, kb: DataFrame, k: int) -> DataFrame:
     joined = pairs.select("id_a", "id_b").join(_tokens(ka, k, "a"), "id_a").join(_tokens(kb, k, "b"), "id_b")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    union = F.size("tokens_a") + F.size("tokens_b") - F.col("_o")
-    return joined.withColumn("_o", shared).select("id_a", "id_b", (F.col("_o") / union).alias("score"))
+    # One struct, so that the intersection is worked out once and not again in a filter.
+    made = joined.select(
+        "id_a", "id_b", F.explode(F.array(F.struct(shared.alias("o"), (F.size("tokens_a") + F.size("tokens_b")).alias("t")))).alias("_s")
+    )
+    return made.select("id_a", "id_b", (F.col("_s")["o"] / (F.col("_s")["t"] - F.col("_s")["o"])).alias("score"))
 
 
 def pair_scores(pairs: DataFrame, a: DataFrame, b: DataFrame, k: int) -> DataFrame:
@@ -120,7 +123,9 @@ def similar_pairs(
         raise ValueError("cutoff lies in (0, 1]")
     # Score >= c also bounds the ratio of window counts.
     base = 1.0 / cutoff
-    ka, kb = kmer_counts(a, k), kmer_counts(b, k)
+    # Written once to shared storage: the counts feed the candidate and the score side.
+    ka = cut(kmer_counts(a, k))
+    kb = ka if self_join else cut(kmer_counts(b, k))
     both = ka if self_join else ka.unionByName(kb)
     spread = both.groupBy("kmer").agg(F.sum("n").alias("df"))
 
