@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import filters, similarity  # noqa: F401
+    from . import columns, filters, similarity  # noqa: F401
