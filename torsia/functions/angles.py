@@ -50,7 +50,8 @@ def chord_distance(a: Column, b: Column) -> Column:
 def torus_distance(phi_a: Column, psi_a: Column, phi_b: Column, psi_b: Column) -> Column:
     """Distance of two torsion pairs, 0 to sqrt(8); null if any angle is."""
     inner = 2.0 - F.cos(phi_a - phi_b) - F.cos(psi_a - psi_b)
-    return F.sqrt(2.0 * F.greatest(inner, F.lit(0.0)))
+    # No greatest() here: it would turn a null into a distance of zero.
+    return F.sqrt(2.0 * F.when(inner < 0, 0.0).otherwise(inner))
 
 
 def radius_angle(r: Column) -> Column:
