@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import circular, columns, events, filters, similarity  # noqa: F401
+    from . import circular, columns, events, filters, similarity, trees  # noqa: F401

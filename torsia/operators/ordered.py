@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from torsia.session import cut
+
 ROWS_PER_BLOCK = 1_000_000
 # Blocks are cut by width, not by count, so aim below the limit.
 FINER = 4
@@ -21,16 +23,17 @@ BLOCK = "_block"
 WHOLE = -1
 
 
-def with_blocks(
+def hot_keys(
     df: DataFrame, keys: Sequence[str], order: str, rows_per_block: int = ROWS_PER_BLOCK
-) -> DataFrame:
-    """Add ``_block``: -1 for keys of ordinary size, else a slice number along ``order``.
+) -> DataFrame | None:
+    """Keys with more than ``rows_per_block`` rows, with origin and width of their blocks.
 
-    The broadcast list has one row per key above the limit, so never more than
-    (rows of the table / rows_per_block) rows.
+    None when there is no such key, so that the caller can use a plain window.
+    The list never has more than (rows of the table / rows_per_block) rows. It
+    is worked out once, with partial counts before the shuffle.
     """
     value = F.col(order).cast("double")
-    hot = (
+    hot = cut(
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
         .filter((F.col("_n") > rows_per_block) & (F.col("_hi") > F.col("_lo")))
@@ -43,6 +46,12 @@ def with_blocks(
             ).alias("_width"),
         )
     )
+    return None if hot.isEmpty() else hot
+
+
+def with_blocks(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame) -> DataFrame:
+    """Add ``_block``: -1 for keys of ordinary size, else a slice number along ``order``."""
+    value = F.col(order).cast("double")
     match = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
     cond = match[0]
     for m in match[1:]:
@@ -82,15 +91,23 @@ def running(
     a numeric column first; later columns only break ties.
     """
     order = [order] if isinstance(order, str) else list(order)
-    blocked = with_blocks(df, keys, order[0], rows_per_block)
     end = 0 if inclusive else -1
+    agg = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+
+    def scan(fn: str, x: Column, window) -> Column:
+        return F.last(x, ignorenulls=True).over(window) if fn == "last" else agg[fn](x).over(window)
+
+    hot = hot_keys(df, keys, order[0], rows_per_block)
+    if hot is None:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        return df.select("*", *[scan(fn, c, whole).alias(n) for n, (fn, c) in out.items()])
+    blocked = with_blocks(df, keys, order[0], hot)
     here = (
         Window.partitionBy(*keys, BLOCK)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, end)
     )
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    agg = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     prepared = blocked.select("*", *[c.alias(f"_in_{n}") for n, (_, c) in out.items()])
     cut_only = prepared.filter(F.col(BLOCK) != WHOLE)
     parts, carries = [], []
@@ -108,11 +125,7 @@ def running(
     within = prepared.select(
         "*",
         *[
-            (
-                F.last(f"_in_{n}", ignorenulls=True).over(here)
-                if fn == "last"
-                else agg[fn](f"_in_{n}").over(here)
-            ).alias(f"_own_{n}")
+            scan(fn, F.col(f"_in_{n}"), here).alias(f"_own_{n}")
             for n, (fn, _) in out.items()
         ],
     )
@@ -160,12 +173,16 @@ def neighbour(
     if step not in (1, -1):
         raise ValueError("step is 1 or -1")
     order = [order] if isinstance(order, str) else list(order)
-    blocked = with_blocks(df, keys, order[0], rows_per_block)
-    here = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    blocks = Window.partitionBy(*keys).orderBy(BLOCK)
     row = F.struct(*[F.col(s).alias(n) for n, s in out.items()])
     rank = F.struct(*[F.col(o) for o in order])
     shift = F.lead if step == 1 else F.lag
+    hot = hot_keys(df, keys, order[0], rows_per_block)
+    if hot is None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.select("*", *[shift(s).over(whole).alias(n) for n, s in out.items()])
+    blocked = with_blocks(df, keys, order[0], hot)
+    here = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    blocks = Window.partitionBy(*keys).orderBy(BLOCK)
     edge = F.min_by if step == 1 else F.max_by
     summary = (
         blocked.filter(F.col(BLOCK) != WHOLE)
