@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import circular, columns, events, filters, similarity, scoring, sources, trees  # noqa: F401
+    from . import circular, columns, events, filters, jobs, scoring, similarity, sources, trees  # noqa: F401
