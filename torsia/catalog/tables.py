@@ -56,7 +56,7 @@ def sites(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_linenumber").cast("bigint").alias("col"),
         "aa",
         F.when(seen, pimod(F.dayofyear("ship") * F.lit(TWO_PI) / 366.0)).alias("phi"),
-        F.when(seen, (cents % 1000) * F.lit(TWO_PI) / 1000.0 - F.lit(math.pi)).alias("psi"),
+        F.when(seen, F.lit(math.pi) - (cents % 1000) * F.lit(TWO_PI) / 1000.0).alias("psi"),
     )
 
 
@@ -64,7 +64,7 @@ SITES = f"""sites AS (
   SELECT family, protein, protein AS seq_no, col, aa,
     CASE WHEN aa NOT IN ('-', 'X') THEN
       CASE WHEN a > pi() THEN a - 2*pi() ELSE a END END AS phi,
-    CASE WHEN aa NOT IN ('-', 'X') THEN (cents % 1000) * 2*pi() / 1000.0 - pi() END AS psi
+    CASE WHEN aa NOT IN ('-', 'X') THEN pi() - (cents % 1000) * 2*pi() / 1000.0 END AS psi
   FROM (
     SELECT o_custkey AS family, l_orderkey AS protein, CAST(l_linenumber AS BIGINT) AS col,
       substr('{LETTERS}', CAST(min(l_partkey) % 22 + 1 AS INTEGER), 1) AS aa,
