@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from torsia.functions import geometry as geo
 from torsia.functions.angles import torus_distance
 from torsia.functions.numeric import nan_percentile
 from torsia.operators import circular as ops
@@ -309,6 +310,23 @@ def _(spark, sf):
     return out.select("pdb", "resnum", *[r6(F.col(c), 5).alias(c) for c in _GEO])
 
 
+@query(
+    "geometry_functions",
+    f"""WITH r AS ({_RES_SQL}), s AS (SELECT pdb, resnum, {_pt('N')} AS n, {_pt('CA')} AS ca, {_pt('C')} AS c, struct_pack(x := 3.0, y := resnum * 1.0, z := -2.0) AS o FROM r)
+    SELECT pdb, resnum, round({_len_sql('n', 'o')}, 5) + 0.0 AS distance, round({_ang_sql('n', 'ca', 'o')}, 5) + 0.0 AS angle, round({_dih_sql('n', 'ca', 'c', 'o')}, 5) + 0.0 AS dihedral FROM s""",
+)
+def _(spark, sf):
+    o = F.struct(F.lit(3.0).alias("x"), (F.col("resnum") * 1.0).alias("y"), F.lit(-2.0).alias("z"))
+    points = {a: F.struct(*[F.expr(e).cast("double").alias(v) for v, e in zip("xyz", xyz)]) for a, xyz in _POINTS.items()}
+    points["CA"] = F.when(~F.col("no_ca"), points["CA"])
+    rows = _residue_rows(spark, sf).select("pdb", "resnum", *[p.alias(f"at_{a}") for a, p in points.items()], o.alias("at_O"))
+    n, ca, c, far = (F.col(f"at_{a}") for a in ("N", "CA", "C", "O"))
+    return rows.select(
+        "pdb", "resnum", r6(geo.distance(n, far), 5).alias("distance"), r6(geo.bond_angle(n, ca, far), 5).alias("angle"),
+        r6(geo.dihedral(n, ca, c, far), 5).alias("dihedral"),
+    )
+
+
 @query(
     "fill_missing_residues",
     f"""WITH r AS ({_RES_SQL}), m AS (SELECT pdb, max(resnum) AS hi FROM r GROUP BY pdb),

@@ -215,7 +215,17 @@ def _(spark, sf):
     )
 
 
-@query("subset_score_by_rule")
+@query(
+    "subset_score_by_rule",
+    f"""WITH {SITES}, t AS (SELECT o_custkey AS family, o_orderstatus AS subset, count(*) AS size, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS st FROM orders GROUP BY ALL),
+      ss AS (SELECT s.*, o_orderstatus AS subset FROM sites s JOIN orders ON o_orderkey = s.protein),
+      m AS (SELECT x.family, x.subset, x.protein AS a, y.protein AS b, sum(CASE WHEN x.aa <> '-' OR y.aa <> '-' THEN 1 ELSE 0 END) AS shown,
+        sum(CASE WHEN (x.aa = '-') <> (y.aa = '-') THEN 1 ELSE 0 END) AS gaps FROM ss x JOIN ss y
+        ON x.family = y.family AND x.subset = y.subset AND x.col = y.col AND x.protein < y.protein GROUP BY ALL),
+      r AS (SELECT family, subset, min(CASE WHEN shown > 0 THEN (shown - gaps) / shown END) AS la FROM m GROUP BY ALL)
+    SELECT t.family, t.subset, size, round(CASE WHEN size <= 30 THEN coalesce(la, 1.0) ELSE 1.0 END * size + st, 6) + 0.0 AS score
+    FROM t LEFT JOIN r ON r.family = t.family AND r.subset = t.subset""",
+)
 def _(spark, sf):
     orders = table(spark, sf, "orders")
     members = orders.select(
@@ -225,7 +235,7 @@ def _(spark, sf):
     out = ops.subset_score(
         sites(spark, sf), members, 0.5, 0.0, 0.5, 30, rule=lambda c: c["least_aligned"] * c["size"] + c["structures"]
     )
-    return out.select("family", "subset", "size", "score")
+    return out.select("family", "subset", "size", r6(F.col("score")).alias("score"))
 
 
 @query("constrained_subset")

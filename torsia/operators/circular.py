@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torsia.functions.angles import TWO_PI, chord_distance, mod2pi, pimod, torus_distance
-from torsia.functions.geometry import bond_angle, dihedral, distance
+from torsia.functions.geometry import bend, cross, dot, minus, twist
 from torsia.functions.letters import residue_code
 
 from .columns import aligned_pairs
@@ -244,7 +244,7 @@ def torus_smooth(grid: DataFrame, n: int, value: str = "n", dim: int = 13, scale
 # --- structures -----------------------------------------------------------
 
 
-def backbone_geometry(atoms: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def backbone_geometry(atoms: DataFrame) -> DataFrame:
     """phi, psi, omega, three bond angles and three lengths per residue.
 
     ``atoms(pdb, chain, resnum, resname, atom, x, y, z, bfactor)``. A neighbour
@@ -261,35 +261,36 @@ def backbone_geometry(atoms: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) ->
     prev = res.select("pdb", "chain", (F.col("resnum") + 1).alias("resnum"), F.col("CA").alias("pCA"), F.col("C").alias("pC"))
     nxt = res.select("pdb", "chain", (F.col("resnum") - 1).alias("resnum"), F.col("N").alias("nN"))
     j = res.join(prev, keys, "left").join(nxt, keys, "left")
-    c = {n: F.col(n) for n in ("N", "CA", "C", "pCA", "pC", "nN")}
-
-    def given(value: Column, *points: str) -> Column:
-        ok = c[points[0]].isNotNull()
-        for p in points[1:]:
-            ok = ok & c[p].isNotNull()
-        return F.when(ok, value)
+    # Bonds and their normals become plain columns once, and nulls pass through
+    # the arithmetic, so each angle is a short expression on them.
+    bonds = {"v0": ("pC", "pCA"), "v1": ("N", "pC"), "v2": ("CA", "N"), "v3": ("C", "CA"), "v4": ("nN", "C")}
+    j = j.withColumns(
+        {f"{v}{k}": d for v, (to, at) in bonds.items() for k, d in zip("xyz", minus(F.col(to), F.col(at)))}
+    )
 
-    def torsion(*p: str) -> Column:
-        return given(dihedral(*[c[x] for x in p]), *p)
+    def vec(name: str):
+        return tuple(F.col(f"{name}{k}") for k in "xyz")
 
-    def angle(*p: str) -> Column:
-        return given(bond_angle(*[c[x] for x in p]), *p)
+    normals = {"n0": ("v0", "v1"), "n1": ("v1", "v2"), "n2": ("v2", "v3"), "n3": ("v3", "v4")}
+    j = j.withColumns(
+        {f"{n}{k}": c for n, (u, v) in normals.items() for k, c in zip("xyz", cross(vec(u), vec(v)))}
+    )
 
-    def length(*p: str) -> Column:
-        return given(distance(*[c[x] for x in p]), *p)
+    def length(v: str) -> Column:
+        return F.sqrt(dot(vec(v), vec(v)))
 
     return j.select(
         *keys,
         residue_code(F.col("resname")).alias("aa"),
-        torsion("pC", "N", "CA", "C").alias("phi"),
-        torsion("N", "CA", "C", "nN").alias("psi"),
-        torsion("pCA", "pC", "N", "CA").alias("omega"),
-        angle("pCA", "pC", "N").alias("ba1"),
-        angle("pC", "N", "CA").alias("ba2"),
-        angle("N", "CA", "C").alias("ba3"),
-        length("pC", "N").alias("bl1"),
-        length("N", "CA").alias("bl2"),
-        length("CA", "C").alias("bl3"),
+        twist(vec("v1"), vec("v2"), vec("n1"), vec("n2")).alias("phi"),
+        twist(vec("v2"), vec("v3"), vec("n2"), vec("n3")).alias("psi"),
+        twist(vec("v0"), vec("v1"), vec("n0"), vec("n1")).alias("omega"),
+        bend(vec("v0"), vec("v1")).alias("ba1"),
+        bend(vec("v1"), vec("v2")).alias("ba2"),
+        bend(vec("v2"), vec("v3")).alias("ba3"),
+        length("v1").alias("bl1"),
+        length("v2").alias("bl2"),
+        length("v3").alias("bl3"),
         "b_n", "b_ca", "b_c",
     )
 

@@ -228,7 +228,8 @@ def tree_layout(nodes: DataFrame, anc: DataFrame, rows_per_block: int = ROWS_PER
     """
     tips = leaves(nodes).select(*KEY)
     below = anc.join(tips, KEY).groupBy("tree", F.col("anc").alias("node")).agg(F.count(F.lit(1)).alias("leaves"))
-    kids = nodes.join(below, KEY).select("tree", "node", "parent", "branch_length", "name", "leaves")
+    # Read by the size check, the scan and its summary: written once.
+    kids = cut(nodes.join(below, KEY).select("tree", "node", "parent", "branch_length", "name", "leaves"))
     ordered = running(
         kids, ["tree", "parent"], "node", {"_upto": ("sum", F.col("leaves")), "child_no": ("count", F.lit(1))}, rows_per_block
     ).withColumn("_earlier", F.when(F.col("parent").isNull(), 0).otherwise(F.col("_upto") - F.col("leaves")))
@@ -320,14 +321,29 @@ def spread_selection(vectors: DataFrame, n: int, start: int, checkpoint_every: i
     return vectors.sparkSession.createDataFrame(chosen, "rank bigint, id bigint, distance double")
 
 
-def spread_objective(vectors: DataFrame, chosen: DataFrame) -> DataFrame:
+def spread_objective(vectors: DataFrame, chosen: DataFrame, at_once: int = 64) -> DataFrame:
     """Sum over all items of the distance to the nearest chosen other item.
 
-    ``chosen`` is a selection of n items, so it is the side that is broadcast.
+    The chosen vectors come in groups of ``at_once``; each group is one pass
+    that lowers the distances, so any number of them works with no join.
     """
-    a = vectors.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
-    ids = chosen.select(F.col("id").alias("cid")).distinct()
-    picked = a.join(ids, a["id"] == ids["cid"]).select("cid", F.col("vector").alias("cv"))
-    d = F.sqrt(_sq_distance(F.col("vector"), F.col("cv")) / F.size("vector"))
-    near = a.join(F.broadcast(picked), F.col("id") != F.col("cid")).groupBy("id").agg(F.min(d).alias("near"))
-    return near.agg(F.count(F.lit(1)).alias("items"), F.sum("near").alias("objective"))
+    state = vectors.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    ids = chosen.select("id").distinct()
+    state_near = state.withColumn("near", F.lit(math.inf))
+    group: list = []
+
+    def lowered(df: DataFrame) -> DataFrame:
+        points = F.array(*[F.struct(F.lit(r["id"]).alias("id"), F.array(*[F.lit(v) for v in r["vector"]]).alias("v")) for r in group])
+        d = F.transform(
+            F.filter(points, lambda p: p["id"] != F.col("id")),
+            lambda p: F.sqrt(_sq_distance(F.col("vector"), p["v"]) / F.size("vector")),
+        )
+        return df.withColumn("near", F.least("near", F.array_min(d)))
+
+    for row in state.join(ids, "id", "left_semi").toLocalIterator():
+        group.append(row)
+        if len(group) == at_once:
+            state_near, group = cut(lowered(state_near)), []
+    if group:
+        state_near = lowered(state_near)
+    return state_near.filter(F.col("near") < math.inf).agg(F.count(F.lit(1)).alias("items"), F.sum("near").alias("objective"))
