@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from torsia.functions import geometry as geo
 from torsia.functions.angles import torus_distance
-from torsia.functions.numeric import nan_percentile
 from torsia.operators import circular as ops
 from torsia.operators import columns as cols
+from torsia.operators.quantiles import nan_percentiles
 
 from . import query
 from .columns import _chain_pairs
@@ -158,9 +158,8 @@ def _(spark, sf):
 def _(spark, sf):
     v = F.when(F.col("l_discount") == 0, float("nan")).otherwise(F.col("l_tax") / F.col("l_discount"))
     rows = table(spark, sf, "lineitem").select("l_suppkey", v.alias("v"))
-    return rows.groupBy("l_suppkey").agg(
-        r6(nan_percentile(F.col("v"), 0.5)).alias("median"), r6(nan_percentile(F.col("v"), 0.95)).alias("p95")
-    )
+    out = nan_percentiles(rows, ["l_suppkey"], "v", {"median": 0.5, "p95": 0.95}, rows_per_block=30)
+    return out.select("l_suppkey", r6(F.col("median")).alias("median"), r6(F.col("p95")).alias("p95"))
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Guards for logs and exponentials, percentiles and vector distances."""
+"""Guards for logs and exponentials, and vector distances."""
 
 from __future__ import annotations
 
@@ -42,11 +42,6 @@ def logsumexp_list(cols: list[Column]) -> Column:
     return top + F.ln(total)
 
 
-def nan_percentile(c: Column, p: float, fill: float = 0.0) -> Column:
-    """Exact interpolated percentile (0 to 1) after NaN has become ``fill``."""
-    return F.percentile(F.nanvl(c, F.lit(fill)), F.lit(p))
-
-
 def vector_rmsd(a: Column, b: Column) -> Column:
     """Root of the mean squared difference of two arrays of one length."""
     sq = F.aggregate(

@@ -14,6 +14,7 @@ from torsia.functions.letters import residue_code
 
 from .columns import aligned_pairs
 from .ordered import ROWS_PER_BLOCK, neighbour
+from .quantiles import exact_percentiles
 
 SQRT8 = math.sqrt(8.0)
 
@@ -102,7 +103,10 @@ def torsion_distance(pairs: DataFrame, keys: Sequence[str], how: str = "mean", p
     elif how == "mean":
         value = F.avg(torus)
     elif how == "percentile":
-        value = F.coalesce(F.percentile(torus, F.lit(p)), F.lit(SQRT8))
+        measured = pairs.select(*keys, torus.alias("_d"))
+        found = exact_percentiles(measured, keys, "_d", {"distance": p})
+        every = measured.select(*keys).distinct()
+        return every.join(found, list(keys), "left").na.fill(SQRT8, ["distance"])
     else:
         raise ValueError(f"unknown distance {how!r}")
     return pairs.groupBy(*keys).agg(value.alias("distance"))
@@ -148,9 +152,10 @@ def radius_benchmark(distances: DataFrame, keys: Sequence[str], radii: Sequence[
 
     The share is count / (n - 1), at most 100, as in the published table; null when n is 1.
     """
-    aggs = [F.count("distance").alias("n"), F.avg("distance").alias("mean"), F.percentile("distance", F.lit(0.5)).alias("median")]
+    aggs = [F.count("distance").alias("n"), F.avg("distance").alias("mean")]
     aggs += [F.sum((F.col("distance") <= r).cast("bigint")).alias(f"_w{i}") for i, r in enumerate(radii)]
-    found = distances.groupBy(*keys).agg(*aggs)
+    median = exact_percentiles(distances, keys, "distance", {"median": 0.5})
+    found = distances.groupBy(*keys).agg(*aggs).join(median, list(keys))
 
     def share(i: int) -> Column:
         return F.when(F.col("n") > 1, F.least(F.lit(1.0), F.col(f"_w{i}") / (F.col("n") - 1)) * 100.0)

@@ -12,6 +12,7 @@ from torsia.functions.letters import RESIDUES
 from torsia.session import cut
 
 from .ordered import ROWS_PER_BLOCK, neighbour, numbered, running
+from .quantiles import exact_percentiles
 
 GAP, UNKNOWN = "-", "X"
 LETTER_LIST = tuple(RESIDUES)
@@ -521,11 +522,10 @@ def trait_transition_chi2(draws: DataFrame, nodes: DataFrame, traits: DataFrame,
         c = chi_square(*[F.col(f"{name}{i}{t}") for i in (1, 2) for t in (1, 2)])
         signed = F.when(F.isnan(c["chi2"]), 0.0).when(F.col(f"{name}22") > c["e22"], c["chi2"]).otherwise(-c["chi2"])
         chis.append(signed.alias(name))
-    scored = per_draw.select("draw", *chis)
-    return scored.agg(
-        *[
-            F.percentile(F.col(n), F.lit(p)).alias(f"{n}_{label}")
-            for n in tables
-            for p, label in ((0.5, "median"), (0.05, "p05"), (0.95, "p95"))
-        ]
+    scored = per_draw.select("draw", *chis).unpivot(["draw"], list(tables), "table", "chi2")
+    shares = {"median": 0.5, "p05": 0.05, "p95": 0.95}
+    found = exact_percentiles(scored, ["table"], "chi2", shares)
+    # Three rows, one per table, into one.
+    return found.agg(
+        *[F.max(F.when(F.col("table") == n, F.col(s))).alias(f"{n}_{s}") for n in tables for s in shares]
     )

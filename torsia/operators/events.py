@@ -11,6 +11,7 @@ from torsia.session import cut
 
 from .columns import each_letter
 from .ordered import ROWS_PER_BLOCK, neighbour, numbered, running
+from .quantiles import exact_percentiles
 
 
 def intervals(jumps: DataFrame, keys: Sequence[str], t: str = "t", state: str = "state", end: float = 1.0,
@@ -138,9 +139,9 @@ def branch_posterior(trace: DataFrame, nodes: DataFrame, rows_per_block: int = R
     ``trace(node, param, iter, value)``, ``nodes(node, branch_length)``.
     """
     kept = kept_tail(trace, ["node", "param"], 2, rows_per_block)
-    stats = kept.groupBy("node", "param").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median")
-    )
+    keys = ["node", "param"]
+    median = exact_percentiles(kept, keys, "value", {"median": 0.5}, rows_per_block)
+    stats = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).join(median, keys)
     return stats.join(nodes.select("node", "branch_length"), "node")
 
 
@@ -182,9 +183,11 @@ def expanding_median(trace: DataFrame, keys: Sequence[str] = ("run", "param"), a
     inside = F.filter(
         ends, lambda e: (e >= F.col("_i")) & (F.greatest(F.lit(1), F.floor(e / parts)) <= F.col("_i"))
     )
-    return placed.withColumn("at", F.explode(inside)).groupBy(*keys, "at").agg(
-        F.max("_i").alias("_last"), F.percentile("value", F.lit(0.5)).alias("median")
-    ).filter("_last = at").drop("_last")
+    spread = placed.withColumn("at", F.explode(inside))
+    by = [*keys, "at"]
+    # Only points that a trace has reached are reported.
+    reached = spread.groupBy(*by).agg(F.max("_i").alias("_last")).filter("_last = at").drop("_last")
+    return exact_percentiles(spread, by, "value", {"median": 0.5}, rows_per_block).join(reached, by, "left_semi")
 
 
 def running_rate(trace: DataFrame, keys: Sequence[str], accepted: str = "accepted",
