@@ -9,6 +9,7 @@ from torsia.functions.angles import torus_distance
 from torsia.operators import circular as ops
 from torsia.operators import columns as cols
 from torsia.operators.quantiles import nan_percentiles
+from torsia.session import cut
 
 from . import query
 from .columns import _chain_pairs
@@ -87,7 +88,7 @@ _CHAIN = f"""{SITES}, p AS (SELECT o_custkey AS family, o_orderkey AS a, lead(o_
     FROM ap GROUP BY family""",
 )
 def _(spark, sf):
-    pairs = cols.aligned_pairs(sites(spark, sf), _chain_pairs(spark, sf))
+    pairs = cut(cols.aligned_pairs(sites(spark, sf), _chain_pairs(spark, sf)))
     out = None
     for how, name in (("chord", "chord"), ("mean", "mean"), ("percentile", "p90")):
         part = ops.torsion_distance(pairs, ["family"], how).select("family", r6(F.col("distance")).alias(name))

@@ -9,6 +9,7 @@ from torsia.functions import densities as den
 from torsia.operators import scoring as ops
 from torsia.operators import trees as trees_ops
 from torsia.operators.columns import LETTER_LIST, transitions
+from torsia.session import cut
 
 from . import query
 from .columns import _GRID, _ROLES
@@ -179,7 +180,7 @@ def _up(level: str, name: str) -> str:
     SELECT col, round(max(x) + ln((exp(max(x) - max(x)) + exp(min(x) - max(x))) / 2), 4) AS loglik FROM t GROUP BY col""",
 )
 def _(spark, sf):
-    nodes = tree_nodes(spark, sf)
+    nodes = cut(tree_nodes(spark, sf))
     anc = trees_ops.ancestors(nodes)
     letter = F.when(F.col("aa").isin("-", "X"), "?").when(F.col("aa") <= "L", "A").otherwise("C")
     cells = sites(spark, sf).select(F.lit("t").alias("tree"), (F.col("protein") + 1000000000).alias("node"), "col", letter.alias("aa"))

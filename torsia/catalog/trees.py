@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from torsia.operators import trees as ops
 from torsia.operators.ordered import neighbour
+from torsia.session import cut
 
 from . import query
 from .tables import r6, sql_nodes, table, tree_nodes
@@ -22,7 +23,8 @@ _MEET = """mt AS (SELECT pr.a, pr.b, arg_min(x.anc, x.steps) AS common, arg_min(
 
 
 def _tree(spark, sf, orders=True):
-    nodes = tree_nodes(spark, sf, orders)
+    # A node table is ingested once; here it is a union of five tables.
+    nodes = cut(tree_nodes(spark, sf, orders))
     return nodes, ops.ancestors(nodes)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from torsia.functions.angles import TWO_PI, chord_distance, mod2pi, pimod, torus_distance
 from torsia.functions.geometry import bend, cross, dot, minus, twist
 from torsia.functions.letters import residue_code
+from torsia.session import cut
 
 from .columns import aligned_pairs
 from .ordered import ROWS_PER_BLOCK, neighbour
@@ -139,7 +140,9 @@ def distance_by_divergence(
         rows = rows.filter("aa_a = aa_b and aa_a not in ('-', 'X')")
     cell = F.least(F.floor(F.col("torus") / (SQRT8 / cells)), F.lit(cells - 1)).cast("bigint") + 1
     # One pass: counts per (bin, cell) are few, so both tables come from them.
-    counts = rows.groupBy("lower", "upper", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum("torus").alias("_s"))
+    counts = cut(
+        rows.groupBy("lower", "upper", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum("torus").alias("_s"))
+    )
     bins = counts.groupBy("lower", "upper").agg(F.sum("n").alias("n"), (F.sum("_s") / F.sum("n")).alias("mean"))
     density = counts.join(bins.select("lower", F.col("n").alias("_all")), "lower").select(
         "lower", "cell", "n", (F.col("n") / F.col("_all") / (SQRT8 / cells)).alias("density")
@@ -214,12 +217,12 @@ def torsion_histogram(sites: DataFrame, n: int, where: Where | None = None, rows
     def cell(a: str) -> Column:
         return F.rint(1.0 + (pimod(F.col(a)) + math.pi) / TWO_PI * (n - 1)).cast("bigint")
 
-    counts = (
+    # At most n * n rows from here on.
+    counts = cut(
         sites.filter("phi is not null and psi is not null")
         .groupBy(cell("phi").alias("x"), cell("psi").alias("y"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # At most n * n rows here.
     both = counts.agg(F.sum("n").alias("_all"), F.max("n").alias("_max"))
     return counts.join(F.broadcast(both)).select(
         "x", "y", "n", (F.col("n") / F.col("_all")).alias("share"), (F.col("n") / F.col("_max")).alias("of_max")

@@ -166,11 +166,14 @@ def column_patterns(sites: DataFrame) -> DataFrame:
     """
     key = F.xxhash64("protein", "aa")
     other = F.xxhash64(F.lit(7), F.col("aa"), F.col("protein"))
-    marks = sites.groupBy("family", "col").agg(
-        F.bit_xor(key).alias("h1"), F.bit_xor(other).alias("h2"), F.count(F.lit(1)).alias("n")
+    # One row per column from here on.
+    marks = cut(
+        sites.groupBy("family", "col").agg(
+            F.bit_xor(key).alias("h1"), F.bit_xor(other).alias("h2"), F.count(F.lit(1)).alias("n")
+        )
     )
     firsts = marks.groupBy("family", "h1", "h2", "n").agg(F.min("col").alias("first_col"))
-    placed = marks.join(firsts, ["family", "h1", "h2", "n"]).select("family", "col", "first_col")
+    placed = cut(marks.join(firsts, ["family", "h1", "h2", "n"]).select("family", "col", "first_col"))
     pairs = placed.filter("col <> first_col")
     mine = sites.select("family", "col", "protein", "aa").join(pairs, ["family", "col"])
     theirs = sites.select("family", F.col("col").alias("first_col"), "protein", F.col("aa").alias("_aa"))
@@ -181,8 +184,10 @@ def column_patterns(sites: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("_unlike", F.lit(True))
     )
-    sound = placed.join(unlike, ["family", "col"], "left").select(
-        "family", "col", F.when(F.col("_unlike"), F.col("col")).otherwise(F.col("first_col")).alias("first_col")
+    sound = cut(
+        placed.join(unlike, ["family", "col"], "left").select(
+            "family", "col", F.when(F.col("_unlike"), F.col("col")).otherwise(F.col("first_col")).alias("first_col")
+        )
     )
     weights = sound.groupBy("family", "first_col").agg(F.count(F.lit(1)).alias("weight"))
     return sound.join(weights, ["family", "first_col"]).select("family", "col", "first_col", "weight")
@@ -389,7 +394,7 @@ def transitions(
     puts the column shares in every row.
     """
     steps = neighbour(df, keys, order, {"to_state": state}, 1, rows_per_block).filter("to_state is not null")
-    counts = steps.groupBy(F.col(state).alias("from_state"), "to_state").agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(steps.groupBy(F.col(state).alias("from_state"), "to_state").agg(F.count(F.lit(1)).alias("_n")))
     one = df.sparkSession.range(1)
     grid = each_letter(each_letter(one, "from_state", states), "to_state", states).drop("id")
     full = grid.join(counts, ["from_state", "to_state"], "left").select(

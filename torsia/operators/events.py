@@ -80,10 +80,9 @@ def symmetric_rates(dwells: DataFrame, states: Sequence[str], count0: float = 0.
 
     ``dwells(state, next_state, dwell)`` is reduced to one row per pair of states at once.
     """
-    jumps = dwells.filter("next_state is not null and next_state <> state").groupBy(
-        F.col("state").alias("a"), F.col("next_state").alias("b")
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    spent = dwells.groupBy("state").agg(F.sum("dwell").alias("_t"))
+    pairs = cut(dwells.groupBy("state", "next_state").agg(F.count(F.lit(1)).alias("_n"), F.sum("dwell").alias("_t")))
+    jumps = pairs.filter("next_state <> state").select(F.col("state").alias("a"), F.col("next_state").alias("b"), "_n")
+    spent = pairs.groupBy("state").agg(F.sum("_t").alias("_t"))
     one = dwells.sparkSession.range(1)
     grid = each_letter(each_letter(one, "a", states), "b", states).drop("id").filter("a <> b")
     full = (
@@ -138,7 +137,7 @@ def branch_posterior(trace: DataFrame, nodes: DataFrame, rows_per_block: int = R
 
     ``trace(node, param, iter, value)``, ``nodes(node, branch_length)``.
     """
-    kept = kept_tail(trace, ["node", "param"], 2, rows_per_block)
+    kept = cut(kept_tail(trace, ["node", "param"], 2, rows_per_block))
     keys = ["node", "param"]
     median = exact_percentiles(kept, keys, "value", {"median": 0.5}, rows_per_block)
     stats = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).join(median, keys)

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from torsia.session import cut
+
 from .ordered import ROWS_PER_BLOCK, running
 
 
@@ -21,9 +23,14 @@ def exact_percentiles(
 ) -> DataFrame:
     """(keys, one column per wanted share of 0 to 1), with linear interpolation; nulls do not count."""
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    # Written once: the size check, the scan and the totals all read it.
+    counts = cut(
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
     placed = running(counts, keys, "_v", {"_upto": ("sum", F.col("_n"))}, rows_per_block)
-    totals = placed.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     rows = placed.join(totals, keys)
     first = F.col("_upto") - F.col("_n")
 

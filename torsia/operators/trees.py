@@ -150,8 +150,10 @@ def root_choice(nodes: DataFrame, anc: DataFrame) -> DataFrame:
     not nodes times leaves.
     """
     tips = leaves(nodes).select(*KEY)
-    below = anc.join(tips, KEY).groupBy("tree", F.col("anc").alias("node")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("length").alias("s1"), F.sum(F.col("length") * F.col("length")).alias("s2")
+    below = cut(
+        anc.join(tips, KEY).groupBy("tree", F.col("anc").alias("node")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("length").alias("s1"), F.sum(F.col("length") * F.col("length")).alias("s2")
+        )
     )
     edge = nodes.filter("parent is not null").select("tree", F.col("node").alias("anc"), "parent", "branch_length")
     low = below.select("tree", F.col("node").alias("anc"), F.col("n").alias("cn"), F.col("s1").alias("c1"), F.col("s2").alias("c2"))
