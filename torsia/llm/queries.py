@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, token_counts, url_filter
+from . import decontaminate, exact_dedup, near_dedup, packing, token_counts, toxicity, url_filter
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").filter(fold("doc_id") != 0)
+    score = toxicity.toxicity(F.col("text"), toxicity.learn(docs, labels))
+    return docs.select("doc_id", (fold("doc_id") == 0).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int")
+    )
+
+
+@query("op2_decontamination")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -77,6 +92,12 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), BYTE_BPE)
 
 
+@query("op8_near_dedup")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    told = near_dedup.classes(table(spark, sf, "documents"))
+    return told.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
 SQL_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 
