@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dedup, packing, token_counts, toxicity, url_filter
+from . import decontaminate, exact_dedup, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,12 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op5_suffix_dedup")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    told = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+    return told.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op7_packing")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), BYTE_BPE)
