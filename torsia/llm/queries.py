@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, lm_score, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,11 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return told.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@query("op6_chat_format")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return chat_format.format_conversations(table(spark, sf, "conversations"))
+
+
 @query("op7_packing")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), BYTE_BPE)
@@ -104,6 +109,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return told.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
+@query("op9_lm_scores")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf, "documents"), fold("doc_id") == 1).withColumnRenamed("id", "doc_id")
+
+
 SQL_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 
