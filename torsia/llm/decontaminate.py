@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -221,11 +221,16 @@ def drop_contaminated(
     """The rows of ``docs`` that hold no item, with their columns as they were; no shuffle."""
     batch_rows(docs.sparkSession)
     for key, rows, _ in parts_of(benchmark, item_col, item_text, items):
+        docs = docs.filter(~holds_item(F.col(text_col), key, rows, least))
+    return docs
 
-        def holds(batches: Iterator[pd.Series], key=key, rows=rows) -> Iterator[pd.Series]:
-            index = items_of(key, rows)
-            for texts in batches:
-                yield pd.Series([bool(index.matches(t, least)) for t in texts], dtype=bool)
 
-        docs = docs.filter(~F.pandas_udf(holds, "boolean")(F.coalesce(F.col(text_col), F.lit(""))))
-    return docs
+def holds_item(text: Column, key: str, rows: Broadcast, least: float = SIMILAR) -> Column:
+    """Whether a text holds an item of one part of the benchmark."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = items_of(key, rows)
+        for texts in batches:
+            yield pd.Series([bool(index.matches(t, least)) for t in texts], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(F.coalesce(text, F.lit("")))
