@@ -11,12 +11,12 @@ once they are later than all registers of their document.
 
 Texts with equal words form one class by digest. Signatures of one text per class
 are cut into BANDS bands. In each band bucket all members are paired with the
-least one, a star instead of all pairs, and verified on the whole bags. Components
-of the verified links are formed; then, in buckets that still span several
-components, members of different components are paired, unless their verified
-distances to the bucket's least member differ by more than the limit: the
-distance is a metric, so such pairs can't be links. So each bucket ends with all
-its links known, up to components.
+least one, a star instead of all pairs, and verified on the whole bags. Buckets
+that overlap form a cluster, verified links form components. In a cluster with
+several components the members outside the largest one are outliers: each is
+compared with all members of its cluster, in blocks of outliers against slices of
+members, through an inverted index of the block's shingles. No pairs are written,
+only links. So all links of a cluster are known up to components.
 
 Defined results: null and empty texts and texts of punctuation have no shingle
 and form one class; texts of one to four words have one shingle; copies share a
@@ -42,6 +42,8 @@ SIMILAR = 0.8
 #: A pair at 0.8 shares none of 32 bands of 4 with probability 5e-8.
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
+#: Outliers of a block and members of a slice, on average.
+OUTLIERS, MEMBERS = 256, 2000
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -195,14 +197,10 @@ def _classes(rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     members = written(entries.join(hubs, "key").select("key", "hub", "n", "node"), "members")
     stars = members.filter(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     stars = written(stars.distinct(), "stars")
-    needed = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    bags = written(bags_of(docs, nodes.join(needed, "node").select("node", "id", "digest")), "bags")
-    scored = written(verified(stars, bags), "scored")
-    links = scored.filter(F.col("similarity") >= least).select("a", "b")
-    rest = written(_across(members.filter(F.col("n") > 2), scored, components(links), least), "across")
-    if not rest.isEmpty():
-        more = verified(rest, bags).filter(F.col("similarity") >= least).select("a", "b")
-        links = links.unionByName(written(more, "links"))
+    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    bags = written(bags_of(docs, nodes.join(ends, "node").select("node", "id", "digest")), "bags")
+    links = written(verified(stars, bags).filter(F.col("similarity") >= least).select("a", "b"), "links")
+    links = links.unionByName(written(outlying(bags, components(stars), components(links), least), "links"))
     roots = components(links)
     of = (
         rows.select("row", "id", "digest")
@@ -221,36 +219,71 @@ def _classes(rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     )
 
 
-def _across(members: DataFrame, scored: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Untested pairs (a, b) of bucket members in different components that may be links."""
-    of = (
-        members.join(roots, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
-        .join(
-            scored.select(F.col("a").alias("hub"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far")),
-            ["hub", "node"],
-            "left",
-        )
-        .withColumn("far", F.coalesce("far", F.lit(0.0)))
+def outlying(bags: DataFrame, clusters: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b): links of cluster members outside their cluster's largest component."""
+    of = bags.select("node").join(clusters.withColumnRenamed("root", "cluster"), "node", "left")
+    of = of.join(roots, "node", "left").select(
+        "node", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("root", "node").alias("root")
     )
-    split = of.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
-    mixed = of.join(split.select("key"), "key").filter(F.col("node") != F.col("hub"))
-    hub_root = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    mixed = written(
-        mixed.join(hub_root, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")), "mixed"
+    sizes = of.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+    told = (
+        sizes.groupBy("cluster")
+        .agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("main"))
+        .filter(F.col("all") > F.col("main.n"))
+        .select(
+            "cluster",
+            F.col("main.root").alias("main"),
+            F.ceil((F.col("all") - F.col("main.n")) / OUTLIERS).alias("blocks"),
+            F.ceil(F.col("all") / MEMBERS).alias("slices"),
+        )
     )
-    # Of two components in a bucket at least one is not the hub's: pair its members with the others.
-    out = mixed.filter(F.col("root") != F.col("hub_root")).select(
-        "key", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("far").alias("x_far")
+    mixed = written(of.join(told, "cluster"), "mixed")
+    own = F.xxhash64("node")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = mixed.filter(F.col("root") != F.col("main")).select(
+        "node", "cluster", F.pmod(own, F.col("blocks")).alias("block"), each("slices").alias("slice")
     )
+    right = mixed.select("node", "cluster", each("blocks").alias("block"), F.pmod(own, F.col("slices")).alias("slice"))
+    keys = ["cluster", "block", "slice"]
+
+    def compare(_, outliers: pa.Table, members: pa.Table) -> pa.Table:
+        a, b = [], []
+        if outliers.num_rows:
+            names, index = outliers.column("node").to_pylist(), Index(outliers.column("bag").to_pylist())
+            for node, blob in zip(members.column("node").to_pylist(), members.column("bag").to_pylist()):
+                near = [names[k] for k in index.similar(from_blob(blob), least)]
+                b += [x for x in near if x != node]
+                a += [node] * sum(x != node for x in near)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    # Joined after dealing, so that a bag is copied once per block or slice and no more.
     return (
-        out.join(mixed.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("far").alias("y_far")), "key")
-        .filter((F.col("x_root") != F.col("y_root")) & (F.abs(F.col("x_far") - F.col("y_far")) <= 1 - least + 1e-9))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
+        left.join(bags, "node").groupBy(*keys).cogroup(right.join(bags, "node").groupBy(*keys))
+        .applyInArrow(compare, "a long, b long")
     )
 
 
+class Index:
+    """Shingles of some bags with their owners, to find the similar ones of a further bag."""
+
+    def __init__(self, blobs: list[bytes]):
+        bags = [from_blob(x) for x in blobs]
+        value = np.concatenate([b[0] for b in bags])
+        order = np.argsort(value, kind="stable")
+        self.value = value[order]
+        self.count = np.concatenate([b[1] for b in bags])[order]
+        self.owner = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])[order]
+        self.total = np.array([b[1].sum() for b in bags])
+
+    def similar(self, other: tuple[np.ndarray, np.ndarray], least: float) -> list[int]:
+        lo = np.searchsorted(self.value, other[0])
+        many = np.searchsorted(self.value, other[0], side="right") - lo
+        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.minimum(self.count[at], np.repeat(other[1], many))
+        shared = np.bincount(self.owner[at], both, len(self.total))
+        return np.flatnonzero(shared >= least * (self.total + other[1].sum() - shared)).tolist()
+
+
 def drop_near_copies(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR
 ) -> DataFrame:
