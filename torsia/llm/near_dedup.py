@@ -256,11 +256,13 @@ def outlying(bags: DataFrame, clusters: DataFrame, roots: DataFrame, least: floa
                 a += [node] * sum(x != node for x in near)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    # Joined after dealing, so that a bag is copied once per block or slice and no more.
-    return (
-        left.join(bags, "node").groupBy(*keys).cogroup(right.join(bags, "node").groupBy(*keys))
-        .applyInArrow(compare, "a long, b long")
-    )
+    def with_bags(dealt: DataFrame):
+        # Joined after dealing, so that a bag is copied once per block or slice and no more.
+        # New names keep the two sides, which share their source, apart.
+        both = dealt.join(bags, "node")
+        return both.select(*[F.col(c).alias(c) for c in ("node", "bag", *keys)]).groupBy(*keys)
+
+    return with_bags(left).cogroup(with_bags(right)).applyInArrow(compare, "a long, b long")
 
 
 class Index:
