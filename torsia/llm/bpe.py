@@ -7,10 +7,15 @@ worked out for chunks, in dictionaries that start anew when full.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from functools import lru_cache
+from pathlib import Path
 
+import public_tokenizers
+import tiktoken
 from tokenizers import Tokenizer
 
 #: Entries that a worker's dictionary may hold.
@@ -102,27 +107,40 @@ class WordCounts(dict):
         return sum(map(self.__getitem__, text.split()))
 
 
+@lru_cache(maxsize=2)
+def merger(path: str) -> tiktoken.Encoding | None:
+    """The same merges in a leaner form, or None if the vocabulary's numbers aren't in the order of its merges."""
+    model = json.loads(Path(path).read_text())["model"]
+    back = {c: b for b, c in enumerate(byte_letters())}
+    vocab = {s: i for s, i in model["vocab"].items() if all(c in back for c in s)}
+    for k, m in enumerate(model["merges"]):
+        if vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) != 256 + k:
+            return None
+    ranks = {bytes(back[c] for c in s): i for s, i in vocab.items() if i < 256 + len(model["merges"])}
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class SpacedIds(dict):
     """chunk after one space -> its ids as little-endian 32-bit numbers, for byte-level vocabularies."""
 
-    word = re.compile(f"([{LATIN}]+)([!-&(-/:-@\\[-`{{-~]*)")
+    word = re.compile(f"([{LATIN}]+)([!-&(-/:-@\\[-`{{-~]+)")
+    plain = re.compile(f"[\n!-~{LATIN}]+")
     #: A run of white space that holds a space not at its end can be one token.
     inner = re.compile(r"\s \s")
 
     def __init__(self, path: str):
         super().__init__()
-        self.library, self.tails = tokenizer(path), {}
+        self.library, self.merges, self.tails = tokenizer(path), merger(path), {}
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
         m = self.word.fullmatch(chunk)
-        if m is None or SPECIAL in chunk:
-            ids = self.by_library(" " + chunk)
-        elif m[2]:
+        if m is not None and SPECIAL not in chunk:
+            # Punctuation after a word stands alone, whatever the word.
             ids = self[m[1]] + self.tail(m[2])
         else:
-            ids = self.merge(" " + chunk)
+            ids = self.encoded(" " + chunk)
         self[chunk] = ids
         return ids
 
@@ -131,19 +149,19 @@ class SpacedIds(dict):
         if ids is None:
             if len(self.tails) >= CACHE:
                 self.tails.clear()
-            ids = self.tails[marks] = self.merge(marks)
+            ids = self.tails[marks] = self.encoded(marks)
         return ids
 
-    def merge(self, piece: str) -> bytes:
-        """The ids of one pre-token."""
-        return b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(as_letters(piece))])
+    def encoded(self, text: str) -> bytes:
+        if self.merges is not None and SPECIAL not in text and self.plain.fullmatch(text.removeprefix(" ")):
+            return array("I", self.merges.encode_ordinary(text)).tobytes()
+        return self.by_library(text)
 
     def by_library(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def text(self, text: str) -> bytes:
         if ODD.search(text) or SPECIAL in text or self.inner.search(text):
             return self.by_library(text)
         first, *rest = text.split(" ")
-        return (self.by_library(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+        return (self.encoded(first) if first else b"") + b"".join(map(self.__getitem__, rest))
