@@ -42,7 +42,7 @@ from .common import batch_rows, written
 
 #: Words with their counts on every worker, and those of them with classes of their own.
 HEAD, TOP = 200_000, 8192
-CLASSES, TAILS, CONTEXTS = 48, 32, 64
+CLASSES, TAILS, CONTEXTS = 24, 32, 64
 #: Rows of the table: the last word, the last two, the word before the last; the bias is the last row.
 LAST, PAIR, SKIP = TOP + 1024, 1 << 14, 1 << 12
 ROWS = LAST + PAIR + SKIP + 1
@@ -182,26 +182,46 @@ class Learner:
         self.met[rows] += times
 
 
-def summed(blobs: DataFrame) -> dict[int, np.ndarray]:
-    """Sum of float32 blobs (block, sender, blob) by block, in two steps, so no task holds all senders' blobs."""
+def blobs_of(matrix: np.ndarray, sender: int) -> pa.RecordBatch:
+    """(block, sender, blob) of the rows of a matrix that are not all zero: their numbers, then their values."""
+    blocks, blobs = [], []
+    for lo in range(0, len(matrix), BLOCK):
+        part = matrix[lo : lo + BLOCK]
+        at = np.flatnonzero(part.any(axis=1))
+        if len(at):
+            blocks.append(lo // BLOCK)
+            blobs.append(at.astype("<i4").tobytes() + part[at].astype("<f4").tobytes())
+    columns = [pa.array(blocks, pa.int64()), pa.array([sender] * len(blocks), pa.int64()), pa.array(blobs, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["block", "sender", "blob"])
+
+
+def add_blobs(blobs: Iterator[bytes], width: int) -> np.ndarray:
+    out = np.zeros((BLOCK, width))
+    for x in blobs:
+        n = len(x) // (4 + 4 * width)
+        out[np.frombuffer(x, "<i4", n)] += np.frombuffer(x, "<f4", n * width, 4 * n).reshape(n, width)
+    return out
+
 
-    def add(t: pa.Table) -> np.ndarray:
-        out = None
-        for x in t.column("blob"):
-            v = np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
-            out = v if out is None else out + v
-        return out.astype(np.float32)
+def summed(blobs: DataFrame, rows: int, width: int) -> np.ndarray:
+    """(rows, width) sum of the senders' blobs, in two steps, so that no task holds all of a block's."""
 
     def run(t: pa.Table) -> pa.Table:
-        return pa.table({"block": t.column("block")[:1], "blob": pa.array([add(t).tobytes()], pa.binary())})
+        total = add_blobs((x.as_py() for x in t.column("blob")), width)
+        own = blobs_of(total, 0)
+        block = pa.array([t.column("block")[0].as_py()] * own.num_rows, pa.int64())
+        return pa.table({"block": block, "blob": own.column("blob")})
 
     first = (
         blobs.withColumn("some", F.pmod(F.col("sender"), F.lit(64)))
         .groupBy("block", "some")
         .applyInArrow(run, "block long, blob binary")
     )
-    rows = first.groupBy("block").applyInArrow(run, "block long, blob binary").collect()  # of fixed size in all
-    return {r["block"]: np.frombuffer(r["blob"], np.float32) for r in rows}
+    out = np.zeros((-(-rows // BLOCK) * BLOCK, width), np.float32)
+    for r in first.groupBy("block").applyInArrow(run, "block long, blob binary").collect():  # a table of fixed size
+        lo = r["block"] * BLOCK
+        out[lo : lo + BLOCK] = add_blobs([bytes(r["blob"])], width)
+    return out[:rows]
 
 
 _SHARED: dict[str, tuple] = {}
@@ -255,20 +275,10 @@ def neighbours(texts: DataFrame, v: Vocabulary) -> np.ndarray:
             total += np.bincount(here[on] * 2 * CONTEXTS + before[on], minlength=size)[:size]
             on = inside & (before < TOP) & (here < CONTEXTS)
             total += np.bincount(before[on] * 2 * CONTEXTS + CONTEXTS + here[on], minlength=size)[:size]
-        if total.any():
-            parts = np.split(total, 16)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(16), pa.int64()),
-                    pa.array([TaskContext.get().partitionId()] * 16, pa.int64()),
-                    pa.array([p.tobytes() for p in parts], pa.binary()),
-                ],
-                ["block", "sender", "blob"],
-            )
+        yield blobs_of(total.reshape(TOP, 2 * CONTEXTS), TaskContext.get().partitionId())
 
-    got = summed(texts.mapInArrow(run, "block long, sender long, blob binary"))
-    zero = np.zeros(size // 16, np.float32)
-    return np.concatenate([got.get(k, zero) for k in range(16)]).reshape(TOP, 2 * CONTEXTS)
+    sent = texts.mapInArrow(run, "block long, sender long, blob binary")
+    return summed(sent, TOP, 2 * CONTEXTS)
 
 
 def cluster(m: np.ndarray, weight: np.ndarray, rounds: int = 15) -> np.ndarray:
@@ -336,26 +346,13 @@ def learn(texts: DataFrame, v: Vocabulary) -> np.ndarray:
                 learner.step(tuple(x[at : at + MINIBATCH] for x in f), y[at : at + MINIBATCH])
         if not some:
             return
-        sender = TaskContext.get().partitionId()
-        weighted = np.c_[learner.table * learner.met[:, None], learner.met].astype(np.float32)
-        blocks = range(0, ROWS, BLOCK)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([b // BLOCK for b in blocks], pa.int64()),
-                pa.array([sender] * len(blocks), pa.int64()),
-                pa.array([weighted[b : b + BLOCK].tobytes() for b in blocks], pa.binary()),
-            ],
-            ["block", "sender", "blob"],
-        )
-
-    got = summed(texts.mapInArrow(run, "block long, sender long, blob binary"))
-    table = first_table(v)
-    for b, x in got.items():
-        x = x.reshape(-1, CLASSES + TAILS + 1)
-        met = x[:, -1:]
-        own = table[b * BLOCK : b * BLOCK + len(x)]
-        table[b * BLOCK : b * BLOCK + len(x)] = np.where(met > 0, x[:, :-1] / np.maximum(met, 1.0), own)
-    return table
+        weighted = np.c_[learner.table * learner.met[:, None], learner.met]
+        yield blobs_of(weighted, TaskContext.get().partitionId())
+
+    sent = texts.mapInArrow(run, "block long, sender long, blob binary")
+    total = summed(sent, ROWS, CLASSES + TAILS + 1)
+    met = total[:, -1:]
+    return np.where(met > 0, total[:, :-1] / np.maximum(met, 1.0), first_table(v)).astype(np.float32)
 
 
 def scored(docs: DataFrame, v: Vocabulary, table: np.ndarray) -> DataFrame:
