@@ -33,7 +33,8 @@ def circular_mean(df: DataFrame, keys: Sequence[str], theta: str) -> DataFrame:
 def von_mises_moments(df: DataFrame, keys: Sequence[str], theta: str, most: float = 5000.0) -> DataFrame:
     """mu and kappa by the two-branch approximation; null below two values."""
     m = circular_mean(df, keys, theta)
-    rho, enough = F.col("length"), F.col("n") >= 2
+    # Rounding can carry the resultant above 1.
+    rho, enough = F.least(F.col("length"), F.lit(1.0)), F.col("n") >= 2
     wide = rho * (2.0 - rho * rho) / F.nullif(1.0 - rho * rho, F.lit(0.0))
     tight = (rho + 1.0) / F.nullif(4.0 * rho * (1.0 - rho), F.lit(0.0))
     kappa = F.coalesce(F.when(rho < 2.0 / 3.0, wide).otherwise(tight), F.lit(most))
@@ -72,7 +73,7 @@ def bivariate_moments(df: DataFrame, keys: Sequence[str], phi: str = "phi", psi:
     few = F.col("n") < 10
 
     def mean(mu: Column, k: Column) -> Column:
-        return F.when(few | (k >= 0), mu).otherwise(mu - math.pi)
+        return F.when(~few & (k < 0), mu - math.pi).otherwise(mu)
 
     return m.select(
         *keys, "n", mean(m1, k1).alias("mu_phi"), mean(m2, k2).alias("mu_psi"),

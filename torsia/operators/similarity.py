@@ -214,7 +214,6 @@ def non_redundant(
     pairs: DataFrame,
     given: DataFrame | None = None,
     structure: str | None = None,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """Entries accepted by a walk in file order, none like one accepted before.
 
@@ -239,7 +238,7 @@ def non_redundant(
     )
     open_rows = cut(state)
     accepted = []
-    for _ in range(max_rounds):
+    while True:
         live = edges.join(open_rows.select(F.col("id").alias("lo")), "lo", "left_semi").join(
             open_rows.select(F.col("id").alias("hi")), "hi", "left_semi"
         )

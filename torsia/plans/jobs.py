@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torsia.functions.angles import MISSING
-from torsia.functions.letters import RESIDUES, canonical, structure_name
+from torsia.functions.letters import RESIDUES, canonical, structure_name, upper_ascii
 from torsia.operators import trees as trees_ops
 from torsia.operators.circular import backbone_geometry, fill_missing_residues, longest_chain, structure_quality
 from torsia.operators.columns import constrained_subset, position_map
@@ -246,7 +246,7 @@ def load_alignment(sequences: DataFrame, nodes: DataFrame, blinded: DataFrame) -
     ``sequences(family, seq_no, name, aligned_sequence)``, ``blinded(protein)``.
     """
     rows = letters_of(sequences, ["family", "seq_no", "name"]).select(
-        "family", F.col("name").alias("protein"), "seq_no", "col", F.upper("aa").alias("aa")
+        "family", F.col("name").alias("protein"), "seq_no", "col", upper_ascii(F.col("aa")).alias("aa")
     )
     hidden = blind(rows, blinded, blinded.limit(0))
     tips = trees_ops.leaves(nodes).select("tree", "node", F.col("name").alias("protein"))

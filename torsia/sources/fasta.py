@@ -40,5 +40,5 @@ def read_fasta(
 
 
 def write_fasta(df: DataFrame, path: str) -> None:
-    """Name and sequence of each row as a record, one file per partition."""
-    df.select(F.concat(F.lit(">"), "name", F.lit("\n"), "sequence").alias("value")).write.text(path)
+    """Name and sequence of each row as a record, one file per partition; a null sequence is empty."""
+    df.select(F.concat(F.lit(">"), "name", F.lit("\n"), F.coalesce("sequence", F.lit(""))).alias("value")).write.text(path)
