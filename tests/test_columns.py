@@ -47,6 +47,39 @@ def test_fisher_against_sums(spark):
         assert abs(r.p_value - want) < 1e-9
 
 
+def test_fisher_sums_every_term(spark):
+    """Tables far out: the logs agree with exact integers, where a cut of the support gave zero."""
+    for cells_ in [(100, 900, 900, 998_100), (9000, 1000, 1000, 9000)]:
+        df = spark.createDataFrame([cells_, cells_, (None, 1, 2, 3)], "n11 bigint, n12 bigint, n21 bigint, n22 bigint")
+        got = C.fisher_exact(df, "upper").collect()
+        n11, n12, n21, n22 = cells_
+        row, col, n = n11 + n12, n11 + n21, sum(cells_)
+        logs = [
+            math.lgamma(row + 1) + math.lgamma(n - row + 1) + math.lgamma(col + 1) + math.lgamma(n - col + 1) - math.lgamma(n + 1)
+            - math.lgamma(k + 1) - math.lgamma(row - k + 1) - math.lgamma(col - k + 1) - math.lgamma(n - row - col + k + 1)
+            for k in range(n11, min(row, col) + 1)
+        ]
+        want = max(logs) + math.log(math.fsum(math.exp(x - max(logs)) for x in logs))
+        assert len(got) == 3 and sum(r.p_value is None for r in got) == 1
+        assert all(abs(r.log_p_value / want - 1) < 1e-8 for r in got if r.p_value is not None)
+
+
+def test_large_subsets_are_not_measured(spark):
+    df = cells(spark, [(n, "ACDA") for n in "abcd"])
+    rows = [("f", 1, n, True, 4) for n in "abcd"]
+    members = spark.createDataFrame(rows, "family string, subset int, protein string, good_structure boolean, candidates int")
+    few = C.subset_score(df, members, most=3).head()
+    all_ = C.subset_score(df, members, most_identity=1.0, most=4).head()
+    assert (few.least_aligned, few.least_identity, few.most_identity, few.valid) == (None, None, None, False) and few.score == -5
+    assert (all_.least_aligned, all_.least_identity, all_.most_identity, all_.valid) == (1.0, 1.0, 1.0, True)
+
+
+def test_fingerprint_counts_repeats(spark):
+    one, two = (spark.createDataFrame([(x,) for x in xs], "a int") for xs in ([1, 1, 2], [3, 3, 2]))
+    assert C.fingerprint(one).head() != C.fingerprint(two).head()
+    assert C.fingerprint(one).head() == C.fingerprint(one.orderBy(F.desc("a"))).head()
+
+
 def test_association_signs(spark):
     df = cells(spark, [("a_D_", "AC"), ("b_D_", "AC"), ("c_S_", "CC"), ("d_S_", "C-")])
     classes = spark.createDataFrame([("a_D_", 1), ("b_D_", 1), ("c_S_", 2), ("d_S_", 2)], "protein string, class int")

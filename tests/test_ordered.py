@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from torsia.operators.ordered import neighbour, numbered, running
+from torsia.operators.ordered import neighbour, numbered, running, with_blocks
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +53,28 @@ def test_null_keys_stay(spark):
     df = spark.createDataFrame([(None, float(i), 1.0) for i in range(50)], "k string, t double, v double")
     got = running(df, ["k"], "t", {"s": ("sum", F.col("v"))}, 5)
     assert got.agg(F.max("s")).head()[0] == 50.0 and got.count() == 50
+
+
+@pytest.mark.parametrize("far", [1e12, float("inf"), float("-inf"), float("nan")])
+@pytest.mark.parametrize("block", [3, 10**6])
+def test_odd_orders_equal_brute_force(spark, far, block):
+    """Nulls come first, NaN last; ties are told apart by the second column."""
+    times = [None, None, far, *[float(i // 4) for i in range(60)]]
+    data = [("k", t, i, float(i % 7)) for i, t in enumerate(times)]
+    df = spark.createDataFrame(data, "k string, t double, i int, v double")
+    ranked = sorted(data, key=lambda r: (0, 0, r[2]) if r[1] is None else (2, 0, r[2]) if r[1] != r[1] else (1, r[1], r[2]))
+    total, sums = 0.0, {}
+    for r in ranked:
+        total += r[3]
+        sums[r[2]] = total
+    following = {a[2]: b[2] for a, b in zip(ranked, ranked[1:])}
+    got = running(df, ["k"], ["t", "i"], {"s": ("sum", F.col("v"))}, block).collect()
+    assert {r.i: r.s for r in got} == sums
+    got = neighbour(df, ["k"], ["t", "i"], {"n": "i"}, 1, block).collect()
+    assert {r.i: r.n for r in got if r.n is not None} == following and len(got) == len(data)
+
+
+def test_far_value_leaves_even_blocks(spark):
+    df = spark.range(10_000).select(F.lit(1).alias("k"), F.when(F.col("id") == 7, 1e12).otherwise(F.col("id") % 50).alias("t"), "id")
+    sizes = [r["count"] for r in with_blocks(df, ["k"], ["t"], 32).groupBy("_block").count().collect()]
+    assert sum(sizes) == 10_000 and max(sizes) <= 2 * 10_000 / 32 * 1.5

@@ -194,8 +194,8 @@ _PAIRS_MEASURE = """m AS (SELECT family, a, b,
     "subset_score",
     f"""WITH {SITES}, {_PAIRS_MEASURE}, r AS (SELECT family, min(aligned) AS la, min(ident) AS li, max(ident) AS mi FROM pm GROUP BY family),
       t AS (SELECT o_custkey AS family, count(*) AS size, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS st FROM orders GROUP BY 1),
-      u AS (SELECT family, size, st, size - st AS sq, CASE WHEN size <= 12 THEN coalesce(la, 1.0) ELSE 1.0 END AS la,
-        CASE WHEN size <= 12 THEN coalesce(li, 1.0) ELSE 1.0 END AS li, CASE WHEN size <= 12 THEN coalesce(mi, 0.0) ELSE 0.0 END AS mi
+      u AS (SELECT family, size, st, size - st AS sq, CASE WHEN size <= 12 THEN coalesce(la, 1.0) END AS la,
+        CASE WHEN size <= 12 THEN coalesce(li, 1.0) END AS li, CASE WHEN size <= 12 THEN coalesce(mi, 0.0) END AS mi
         FROM t LEFT JOIN r USING (family))
     SELECT family, size, round(la, 6) + 0.0 AS least_aligned, round(li, 6) + 0.0 AS least_identity, round(mi, 6) + 0.0 AS most_identity,
       (la >= 0.5 AND li >= 0 AND mi <= 0.5 AND size <= 12) AS valid,
@@ -223,7 +223,7 @@ def _(spark, sf):
         sum(CASE WHEN (x.aa = '-') <> (y.aa = '-') THEN 1 ELSE 0 END) AS gaps FROM ss x JOIN ss y
         ON x.family = y.family AND x.subset = y.subset AND x.col = y.col AND x.protein < y.protein GROUP BY ALL),
       r AS (SELECT family, subset, min(CASE WHEN shown > 0 THEN (shown - gaps) / shown END) AS la FROM m GROUP BY ALL)
-    SELECT t.family, t.subset, size, round(CASE WHEN size <= 30 THEN coalesce(la, 1.0) ELSE 1.0 END * size + st, 6) + 0.0 AS score
+    SELECT t.family, t.subset, size, round(CASE WHEN size <= 30 THEN coalesce(la, 1.0) END * size + st, 6) + 0.0 AS score
     FROM t LEFT JOIN r ON r.family = t.family AND r.subset = t.subset""",
 )
 def _(spark, sf):

@@ -59,9 +59,13 @@ def column_consensus(samples: DataFrame, keys: Sequence[str] = ("protein",)) ->
 
 
 def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
-    """One hash of all rows, whatever their order: (rows, hash)."""
+    """Hashes of all rows, whatever their order and counting repeats: (rows, hash, total)."""
     cols = columns or df.columns
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*cols)).alias("hash"))
+    row = F.xxhash64(*cols)
+    # A xor alone loses equal rows in pairs, so the hashes are summed as well.
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), F.bit_xor(row).alias("hash"), F.sum(row.cast("decimal(20,0)")).cast("string").alias("total")
+    )
 
 
 def family_composition(proteins: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -270,8 +274,10 @@ def subset_score(
 
     Valid subsets score structures * candidates + sequences, others
     -candidates - 1. A subset of more than ``most`` members is invalid by the
-    rule itself, so pairs are made only within subsets of at most that many.
-    ``rule`` may turn the aggregates into another score.
+    rule itself, so pairs are made only within subsets of at most that many; the
+    measures of a larger one are null, which says that they were not taken. A
+    subset without a pair has 1, 1 and 0. ``rule`` may turn the aggregates,
+    nulls included, into another score.
     """
     keys = ["family", "subset"]
     totals = members.groupBy(*keys).agg(
@@ -293,9 +299,11 @@ def subset_score(
     )
     out = totals.join(ranges, keys, "left").withColumns(
         {
-            "least_aligned": F.coalesce("least_aligned", F.lit(1.0)),
-            "least_identity": F.coalesce("least_identity", F.lit(1.0)),
-            "most_identity": F.coalesce("most_identity", F.lit(0.0)),
+            name: F.when(F.col("size") <= most, F.coalesce(F.col(name), F.lit(lone)))
+            for name, lone in (("least_aligned", 1.0), ("least_identity", 1.0), ("most_identity", 0.0))
+        }
+    ).withColumns(
+        {
             "sequences": F.col("size") - F.col("structures"),
         }
     )
@@ -459,45 +467,74 @@ def log_factorial(n: Column) -> Column:
     return F.when(n < 10, small).otherwise(series)
 
 
+#: Terms of the exact test that one row sums.
+TERMS_PER_ROW = 4096
+
+
 def fisher_exact(table: DataFrame, two_sided: str = "central") -> DataFrame:
-    """Exact p-value of the tables (n11, n12, n21, n22).
+    """Exact p-value and its natural log for the tables (n11, n12, n21, n22).
 
     ``central``: twice the smaller tail, at most 1; ``lower`` and ``upper``: one
-    tail of n11. Terms further than 40 standard deviations from the mean are
-    below 1e-300 and left out, so the sum stays short for large tables.
+    tail of n11. Every term of a tail counts: tails are cut into rows of
+    ``TERMS_PER_ROW`` terms, summed per distinct table against the tail's largest
+    term, so the log holds where the p-value itself is below the smallest double.
+    Null where a count is null or negative.
     """
-    r1, c1 = F.col("n11") + F.col("n12"), F.col("n11") + F.col("n21")
-    total = r1 + F.col("n21") + F.col("n22")
-    t = table.withColumns({"_r": r1, "_c": c1, "_t": total})
-    mean = F.when(F.col("_t") > 0, F.col("_r") * F.col("_c") / F.col("_t")).otherwise(0.0)
-    var = F.when(
-        F.col("_t") > 1,
-        mean * (F.col("_t") - F.col("_r")) * (F.col("_t") - F.col("_c")) / (F.col("_t").cast("double") * (F.col("_t") - 1)),
-    ).otherwise(0.0)
-    reach = F.ceil(40.0 * F.sqrt(var)) + 40
-    lo = F.greatest(F.lit(0), F.col("_r") + F.col("_c") - F.col("_t"), F.floor(mean) - reach).cast("bigint")
-    hi = F.least(F.col("_r"), F.col("_c"), F.ceil(mean) + reach).cast("bigint")
+    counts = ["n11", "n12", "n21", "n22"]
+    n11, n12, n21, n22 = (F.col(f"_{n}") for n in counts)
+    r, c = n11 + n12, n11 + n21
+    t = r + n21 + n22
     base = (
         log_factorial(F.col("_r")) + log_factorial(F.col("_t") - F.col("_r"))
         + log_factorial(F.col("_c")) + log_factorial(F.col("_t") - F.col("_c")) - log_factorial(F.col("_t"))
     )
-    t = t.withColumns({"_lo": lo, "_hi": hi, "_base": base})
 
-    def prob(k: Column) -> Column:
-        return F.exp(
+    def log_term(k: Column) -> Column:
+        return (
             F.col("_base") - log_factorial(k) - log_factorial(F.col("_r") - k) - log_factorial(F.col("_c") - k)
             - log_factorial(F.col("_t") - F.col("_r") - F.col("_c") + k)
         )
 
-    def tail(a: Column, b: Column) -> Column:
-        return F.when(a > b, 0.0).otherwise(
-            F.aggregate(F.sequence(a, F.greatest(a, b)), F.lit(0.0), lambda acc, k: acc + prob(k))
+    def pieces(side: str, first: Column, last: Column) -> Column:
+        starts = F.sequence(first, last, F.lit(TERMS_PER_ROW).cast("bigint"))
+        # The terms rise up to the mode and fall after it.
+        mode = F.floor((F.col("_r") + 1.0) * (F.col("_c") + 1.0) / (F.col("_t") + 2.0)).cast("bigint")
+        top = F.greatest(first, F.least(last, mode))
+        return F.transform(
+            starts,
+            lambda k: F.struct(
+                F.lit(side).alias("side"), k.alias("first"),
+                F.least(k + F.lit(TERMS_PER_ROW - 1), last).alias("last"), top.alias("top"),
+            ),
         )
 
-    x = F.col("n11").cast("bigint")
-    low, high = tail(F.col("_lo"), F.least(x, F.col("_hi"))), tail(F.greatest(x, F.col("_lo")), F.col("_hi"))
-    p = {"lower": low, "upper": high, "central": F.least(F.lit(1.0), 2.0 * F.least(low, high))}[two_sided]
-    return t.withColumn("p_value", F.least(F.lit(1.0), p)).drop("_r", "_c", "_t", "_lo", "_hi", "_base")
+    tables = (
+        table.select(*[F.col(n).cast("bigint").alias(f"_{n}") for n in counts])
+        .filter(F.least(n11, n12, n21, n22) >= 0).dropna().distinct()
+        .withColumns({"_r": r, "_c": c, "_t": t})
+        .withColumns({"_base": base, "_lo": F.greatest(F.lit(0), F.col("_r") + F.col("_c") - F.col("_t")), "_hi": F.least("_r", "_c")})
+    )
+    rows = tables.withColumn(
+        "_p", F.explode(F.concat(pieces("lower", F.col("_lo"), n11), pieces("upper", n11, F.col("_hi"))))
+    ).withColumn("_top", log_term(F.col("_p.top")))
+    part = F.aggregate(
+        F.sequence(F.col("_p.first"), F.col("_p.last")), F.lit(0.0), lambda acc, k: acc + F.exp(log_term(k) - F.col("_top"))
+    )
+    own = [f"_{n}" for n in counts]
+    tails = rows.select(*own, F.col("_p.side").alias("_side"), "_top", part.alias("_part")).groupBy(*own).agg(
+        *[
+            (F.max(F.when(F.col("_side") == s, F.col("_top"))) + F.ln(F.sum(F.when(F.col("_side") == s, F.col("_part"))))).alias(s)
+            for s in ("lower", "upper")
+        ]
+    )
+    log_p = {
+        "lower": F.col("lower"), "upper": F.col("upper"),
+        "central": F.least(F.col("lower"), F.col("upper")) + math.log(2.0),
+    }[two_sided]
+    found = tails.select(*own, F.least(F.lit(0.0), log_p).alias("log_p_value"))
+    same = [F.col(n).cast("bigint") == F.col(f"_{n}") for n in counts]
+    joined = table.join(found, same, "left").drop(*own)
+    return joined.withColumn("p_value", F.exp("log_p_value"))
 
 
 def trait_transition_chi2(draws: DataFrame, nodes: DataFrame, traits: DataFrame, letter: str) -> DataFrame:

@@ -1,14 +1,19 @@
 """Ordered scans that do not need a whole group in one task.
 
-A window over ``partitionBy(key)`` puts a key's rows in one task. Here a key
-with more than ``rows_per_block`` rows is cut into blocks along its order
-column. Each block is scanned on its own, one summary row per block is scanned
-over the key, and the carry is joined back. Keys below the limit stay in one
-block, so ordinary data pays one shuffle, as a plain window would.
+A window over ``partitionBy(key)`` puts a key's rows in one task. Where a key has
+more than ``rows_per_block`` rows, the table is range-partitioned on keys and order
+columns, so blocks are cut by rank: a far value, an infinity, nulls (first) and NaN
+(last) take the place that the plain window gives them. Each block is scanned on its
+own, one summary row per key and block is scanned over the key, and the carry is
+joined back. Only keys that reach over a block's edge have a carry, so there are
+fewer carries than blocks. Rows that tie in the order columns are told apart by a
+hash of the row; only rows that are alike in every column stay together.
+Tables without such a key get the plain window.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,59 +22,40 @@ from pyspark.sql import functions as F
 from torsia.session import cut
 
 ROWS_PER_BLOCK = 1_000_000
-# Blocks are cut by width, not by count, so aim below the limit.
-FINER = 4
+# Range bounds come from a sample, so aim below the limit.
+FINER = 2
+# More blocks per task slot than this give no more parallel work.
+BLOCKS_PER_SLOT = 4
 BLOCK = "_block"
-WHOLE = -1
+TIE = "_tie"
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_block: int = ROWS_PER_BLOCK
-) -> DataFrame | None:
-    """Keys with more than ``rows_per_block`` rows, with origin and width of their blocks.
+def block_count(df: DataFrame, keys: Sequence[str], rows_per_block: int) -> int:
+    """Blocks to cut the table into; 0 when no key has more than ``rows_per_block`` rows."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    most, rows = sizes.agg(F.max("_n"), F.sum("_n")).head()
+    if most is None or most <= rows_per_block:
+        return 0
+    spark = df.sparkSession
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(2, min(math.ceil(FINER * rows / rows_per_block), BLOCKS_PER_SLOT * slots))
 
-    None when there is no such key, so that the caller can use a plain window.
-    The list never has more than (rows of the table / rows_per_block) rows. It
-    is worked out once, with partial counts before the shuffle.
+
+def with_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int) -> DataFrame:
+    """Add ``_block``, which grows along keys and order, and ``_tie``.
+
+    Written once, so that every later step sees the same blocks.
     """
-    value = F.col(order).cast("double")
-    hot = cut(
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        .filter((F.col("_n") > rows_per_block) & (F.col("_hi") > F.col("_lo")))
-        .select(
-            *[F.col(k).alias(f"_hot_{k}") for k in keys],
-            "_lo",
-            (
-                (F.col("_hi") - F.col("_lo"))
-                / F.ceil(FINER * F.col("_n") / rows_per_block)
-            ).alias("_width"),
-        )
-    )
-    return None if hot.isEmpty() else hot
-
-
-def with_blocks(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame) -> DataFrame:
-    """Add ``_block``: -1 for keys of ordinary size, else a slice number along ``order``."""
-    value = F.col(order).cast("double")
-    match = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    cond = match[0]
-    for m in match[1:]:
-        cond = cond & m
-    slice_no = F.floor((value - F.col("_lo")) / F.col("_width")).cast("bigint")
-    return (
-        df.join(F.broadcast(hot), cond, "left")
-        .withColumn(BLOCK, F.coalesce(slice_no, F.lit(WHOLE).cast("bigint")))
-        .drop("_lo", "_width", *[f"_hot_{k}" for k in keys])
-    )
+    ranged = df.withColumn(TIE, F.xxhash64(*df.columns)).repartitionByRange(blocks, *keys, *order, TIE)
+    return cut(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 
-def _with_summary(blocked: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of the per-block carry; only keys that were cut have one."""
-    small = summary.select(
+def _with_carry(blocked: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of the carry per key and block."""
+    small = carry.select(
         *[F.col(k).alias(f"_s_{k}") for k in keys],
         F.col(BLOCK).alias("_s_block"),
-        *[c for c in summary.columns if c not in (*keys, BLOCK)],
+        *[c for c in carry.columns if c not in (*keys, BLOCK)],
     )
     cond = F.col(BLOCK) == F.col("_s_block")
     for k in keys:
@@ -87,8 +73,8 @@ def running(
 ) -> DataFrame:
     """Running ``sum``, ``count``, ``min``, ``max`` or ``last`` (of non-nulls) per key.
 
-    ``out`` maps a new column to (function, input column). The order must name
-    a numeric column first; later columns only break ties.
+    ``out`` maps a new column to (function, input column). Null order values come
+    first. Rows that tie in all order columns may come in any order.
     """
     order = [order] if isinstance(order, str) else list(order)
     end = 0 if inclusive else -1
@@ -97,21 +83,20 @@ def running(
     def scan(fn: str, x: Column, window) -> Column:
         return F.last(x, ignorenulls=True).over(window) if fn == "last" else agg[fn](x).over(window)
 
-    hot = hot_keys(df, keys, order[0], rows_per_block)
-    if hot is None:
+    blocks = block_count(df, keys, rows_per_block)
+    if not blocks:
         whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
         return df.select("*", *[scan(fn, c, whole).alias(n) for n, (fn, c) in out.items()])
-    blocked = with_blocks(df, keys, order[0], hot)
+    inputs = df.select("*", *[c.alias(f"_in_{n}") for n, (_, c) in out.items()])
+    blocked = with_blocks(inputs, keys, order, blocks)
     here = (
         Window.partitionBy(*keys, BLOCK)
-        .orderBy(*order)
+        .orderBy(*order, TIE)
         .rowsBetween(Window.unboundedPreceding, end)
     )
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    prepared = blocked.select("*", *[c.alias(f"_in_{n}") for n, (_, c) in out.items()])
-    cut_only = prepared.filter(F.col(BLOCK) != WHOLE)
-    parts, carries = [], []
-    rank = F.struct(*[F.col(o) for o in order])
+    parts, carries = [F.count(F.lit(1)).alias("_rows")], [F.count("_rows").over(before).alias("_blocks_before")]
+    rank = F.struct(*[F.col(o) for o in (*order, TIE)])
     for n, (fn, _) in out.items():
         x = F.col(f"_in_{n}")
         if fn == "last":
@@ -121,28 +106,31 @@ def running(
             parts.append(agg[fn](x).alias(f"_sum_{n}"))
             fold = F.sum if fn == "count" else agg[fn]
             carries.append(fold(f"_sum_{n}").over(before).alias(f"_carry_{n}"))
-    summary = cut_only.groupBy(*keys, BLOCK).agg(*parts).select(*keys, BLOCK, *carries)
-    within = prepared.select(
+    carry = (
+        blocked.groupBy(*keys, BLOCK).agg(*parts).select(*keys, BLOCK, *carries)
+        .filter("_blocks_before > 0").drop("_blocks_before")
+    )
+    within = blocked.select(
         "*",
         *[
             scan(fn, F.col(f"_in_{n}"), here).alias(f"_own_{n}")
             for n, (fn, _) in out.items()
         ],
     )
-    joined = _with_summary(within, summary, keys)
+    joined = _with_carry(within, carry, keys)
     result = []
     for n, (fn, _) in out.items():
-        own, carry = F.col(f"_own_{n}"), F.col(f"_carry_{n}")
+        own, carried = F.col(f"_own_{n}"), F.col(f"_carry_{n}")
         if fn == "count":
-            value = F.coalesce(own, F.lit(0)) + F.coalesce(carry, F.lit(0))
+            value = F.coalesce(own, F.lit(0)) + F.coalesce(carried, F.lit(0))
         elif fn == "sum":
-            value = F.when(own.isNull(), carry).when(carry.isNull(), own).otherwise(own + carry)
+            value = F.when(own.isNull(), carried).when(carried.isNull(), own).otherwise(own + carried)
         elif fn == "min":
-            value = F.least(own, carry)
+            value = F.least(own, carried)
         elif fn == "max":
-            value = F.greatest(own, carry)
+            value = F.greatest(own, carried)
         else:
-            value = F.coalesce(own, carry)
+            value = F.coalesce(own, carried)
         result.append(value.alias(n))
     return joined.select(*df.columns, *result)
 
@@ -168,32 +156,28 @@ def neighbour(
 ) -> DataFrame:
     """Columns of the next (``step=1``) or previous (``step=-1``) row of the key.
 
-    ``out`` maps a new column to the source column.
+    ``out`` maps a new column to the source column. Order and ties as in ``running``.
     """
     if step not in (1, -1):
         raise ValueError("step is 1 or -1")
     order = [order] if isinstance(order, str) else list(order)
     row = F.struct(*[F.col(s).alias(n) for n, s in out.items()])
-    rank = F.struct(*[F.col(o) for o in order])
     shift = F.lead if step == 1 else F.lag
-    hot = hot_keys(df, keys, order[0], rows_per_block)
-    if hot is None:
+    blocks = block_count(df, keys, rows_per_block)
+    if not blocks:
         whole = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[shift(s).over(whole).alias(n) for n, s in out.items()])
-    blocked = with_blocks(df, keys, order[0], hot)
-    here = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    blocks = Window.partitionBy(*keys).orderBy(BLOCK)
+    blocked = with_blocks(df, keys, order, blocks)
+    here = Window.partitionBy(*keys, BLOCK).orderBy(*order, TIE)
+    along = Window.partitionBy(*keys).orderBy(BLOCK)
+    rank = F.struct(*[F.col(o) for o in (*order, TIE)])
     edge = F.min_by if step == 1 else F.max_by
-    summary = (
-        blocked.filter(F.col(BLOCK) != WHOLE)
-        .groupBy(*keys, BLOCK)
+    carry = (
+        blocked.groupBy(*keys, BLOCK)
         .agg(edge(row, rank).alias("_edge"))
-        .select(*keys, BLOCK, shift("_edge").over(blocks).alias("_carry"))
+        .select(*keys, BLOCK, shift("_edge").over(along).alias("_carry"))
+        .filter(F.col("_carry").isNotNull())
     )
     within = blocked.withColumn("_own", shift(row).over(here))
-    joined = _with_summary(within, summary, keys).withColumn("_pick", F.coalesce("_own", "_carry"))
+    joined = _with_carry(within, carry, keys).withColumn("_pick", F.coalesce("_own", "_carry"))
     return joined.select(*df.columns, *[F.col("_pick")[n].alias(n) for n in out])
-
-
-def group_sizes(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
