@@ -150,20 +150,20 @@ def expanding_tail(trace: DataFrame, keys: Sequence[str] = ("run", "param"), par
 
     Running sums give it without any window of growing size: the tail is the
     sum up to i less the sum up to its start, met by an equi-join on the index.
+    Values are summed in two parts, multiples of 1/1024 (without any rounding up
+    to 8e12) and the small rest, so long traces don't blur the difference.
     """
-    squares = trace.withColumn("_sq", F.col("value") * F.col("value"))
-    r = cut(
-        running(
-            squares, keys, "iter",
-            {"_i": ("count", F.lit(1)), "_s": ("sum", F.col("value")), "_q": ("sum", F.col("_sq"))}, rows_per_block,
-        )
-    )
-    before = r.select(*keys, (F.col("_i") + 1).alias("_start"), F.col("_s").alias("_s0"), F.col("_q").alias("_q0"))
+    sums = {}
+    for name, x in (("s", F.col("value")), ("q", F.col("value") * F.col("value"))):
+        coarse = F.rint(x * 1024.0) / 1024.0
+        sums |= {f"_{name}": ("sum", coarse), f"_{name}_rest": ("sum", x - coarse)}
+    r = cut(running(trace, keys, "iter", {"_i": ("count", F.lit(1)), **sums}, rows_per_block))
+    before = r.select(*keys, (F.col("_i") + 1).alias("_start"), *[F.col(n).alias(f"{n}_0") for n in sums])
     start = F.greatest(F.lit(1), F.floor(F.col("_i") / parts)).cast("bigint")
     j = r.withColumn("_start", start).join(before, [*keys, "_start"], "left")
     n = (F.col("_i") - F.col("_start") + 1).cast("double")
-    s = F.col("_s") - F.coalesce(F.col("_s0"), F.lit(0.0))
-    q = F.col("_q") - F.coalesce(F.col("_q0"), F.lit(0.0))
+    inside = {c: F.col(c) - F.coalesce(F.col(f"{c}_0"), F.lit(0.0)) for c in sums}
+    s, q = inside["_s"] + inside["_s_rest"], inside["_q"] + inside["_q_rest"]
     var = F.greatest((q - s * s / n) / (n - 1.0), F.lit(0.0))
     return j.select(
         *keys, "iter", n.cast("bigint").alias("n"), (s / n).alias("mean"), F.when(n > 1, F.sqrt(var)).alias("sd")
