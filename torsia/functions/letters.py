@@ -79,7 +79,11 @@ def entry_name(header: Column) -> tuple[Column, Column]:
 
 def structure_name(name: Column) -> tuple[Column, Column]:
     """(pdb, chain) from ``pdb1abc_A``; blanks where the name is another."""
-    return F.regexp_extract(name, r"pdb(....)_(.)", 1), F.regexp_extract(name, r"pdb(....)_(.)", 2)
+    parts = F.split(name, "_")
+    head, tail = parts[0], F.try_element_at(parts, F.lit(2))
+    ok = head.startswith("pdb") & (F.length(head) == 7) & (F.length(tail) > 0)
+    blank = F.when(name.isNotNull(), F.lit(""))
+    return F.when(ok, F.substring(head, 4, 4)).otherwise(blank), F.when(ok, F.substring(tail, 1, 1)).otherwise(blank)
 
 
 def length_ratio_ok(a: Column, b: Column, cutoff: float = 0.5) -> Column:

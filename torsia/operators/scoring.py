@@ -17,7 +17,6 @@ from .columns import is_residue
 from .ordered import ROWS_PER_BLOCK, neighbour
 
 NEG_INF = float("-inf")
-MODEL_ROWS = 20 * 10_000
 
 
 def log_sum_exp(df: DataFrame, keys: Sequence[str], column: str, name: str = "lse") -> DataFrame:
