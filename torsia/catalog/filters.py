@@ -291,22 +291,24 @@ def _(spark, sf):
 
 @query(
     "letter_functions",
-    f"""WITH {SITES}, s AS (SELECT protein, string_agg(aa, '' ORDER BY col) AS word FROM sites GROUP BY protein)
-    SELECT protein, CAST(CASE WHEN strpos('{ALPHA}', substr(word, 1, 1)) > 0 THEN strpos('{ALPHA}', substr(word, 1, 1)) ELSE 0 END AS BIGINT) AS first_letter,
-      CASE WHEN length(word) < 3 THEN NULL
-        WHEN strpos('{ALPHA}', substr(word, 1, 1)) = 0 OR strpos('{ALPHA}', substr(word, 2, 1)) = 0 OR strpos('{ALPHA}', substr(word, 3, 1)) = 0 THEN -1
-        ELSE CAST((strpos('{ALPHA}', substr(word, 1, 1)) - 1) * 400 + (strpos('{ALPHA}', substr(word, 2, 1)) - 1) * 20
-          + strpos('{ALPHA}', substr(word, 3, 1)) - 1 AS BIGINT) END AS kmer3
-    FROM s""",
+    f"""WITH {SITES}, s AS (SELECT protein, string_agg(aa, '' ORDER BY col) AS word FROM sites GROUP BY protein),
+      w AS (SELECT protein, word, unnest(generate_series(1, length(word))) AS pos FROM s),
+      i AS (SELECT protein, pos, length(word) - pos + 1 AS rest, strpos('{ALPHA}', substr(word, pos, 1)) AS a,
+        strpos('{ALPHA}', substr(word, pos + 1, 1)) AS b, strpos('{ALPHA}', substr(word, pos + 2, 1)) AS c FROM w)
+    SELECT protein, pos, CAST(a AS BIGINT) AS letter, CASE WHEN rest < 3 THEN NULL WHEN a = 0 OR b = 0 OR c = 0 THEN -1
+        ELSE CAST((a - 1) * 400 + (b - 1) * 20 + c - 1 AS BIGINT) END AS kmer3 FROM i""",
 )
 def _(spark, sf):
     # The letters of one protein of this table: at most seven.
     word = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "aa"))), lambda x: x["aa"]), "")
     rows = sites(spark, sf).groupBy("protein").agg(word.alias("word"))
-    return rows.select(
+    windows = rows.withColumn("pos", F.explode(F.sequence(F.lit(1), F.length("word"))))
+    at = F.expr("substring(word, pos, 3)")
+    return windows.select(
         "protein",
-        letters.letter_index(F.substring("word", 1, 1)).alias("first_letter"),
-        F.when(F.length("word") >= 3, letters.kmer_index(F.substring("word", 1, 3))).alias("kmer3"),
+        F.col("pos").cast("bigint").alias("pos"),
+        letters.letter_index(F.substring(at, 1, 1)).alias("letter"),
+        F.when(F.length(at) == 3, letters.kmer_index(at)).alias("kmer3"),
     )
 
 
