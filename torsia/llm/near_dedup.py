@@ -200,8 +200,12 @@ def _classes(rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     bags = written(bags_of(docs, nodes.join(ends, "node").select("node", "id", "digest")), "bags")
     links = written(verified(stars, bags).filter(F.col("similarity") >= least).select("a", "b"), "links")
-    links = links.unionByName(written(outlying(bags, components(stars), components(links), least), "links"))
+    # Each run of the rounds starts from the stars of the one before, which hold its components.
     roots = components(links)
+    merged = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    more = written(outlying(bags, components(merged.unionByName(stars)), roots, least), "links")
+    if not more.isEmpty():
+        roots = components(merged.unionByName(more))
     of = (
         rows.select("row", "id", "digest")
         .join(nodes.select("digest", "node"), "digest")
