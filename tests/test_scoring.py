@@ -135,3 +135,14 @@ def test_patterns_give_the_same_total(spark):
     scores = spark.createDataFrame([("t", 1, -2.0), ("t", 3, -1.0)], "tree string, col bigint, loglik double")
     weights = spark.createDataFrame([("t", 1, 3), ("t", 3, 1)], "tree string, col bigint, weight bigint")
     assert S.weighted_loglik(scores, weights).head().loglik == -7.0
+
+
+def test_states_keep_their_ids(spark):
+    """Of states 5 and 9, the latter knows no C: a C has one row, of state 5."""
+    params = [S.parameter_row(k, aa, 0.5, 0.0, 0.0, 1.0, 1.0, 0.0) for k, aa in ((9, "A"), (5, "A"), (5, "C"))]
+    sites = [("f", "p", 1, "A", 0.1, 0.2), ("f", "p", 2, "C", 0.1, 0.2)]
+    got = S.score_sites(
+        spark.createDataFrame(sites, "family string, protein string, col bigint, aa string, phi double, psi double"),
+        spark.createDataFrame(params, S.PARAMS),
+    )
+    assert sorted((r.col, r.state) for r in got.collect()) == [(1, 5), (1, 9), (2, 5)]

@@ -122,8 +122,8 @@ def _(spark, sf):
 
 @query(
     "family_composition",
-    f"""WITH {SITES}, p AS (SELECT o_custkey // 2 AS family, count(*) AS s, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS t FROM orders WHERE o_orderdate >= TIMESTAMP '2000-12-01' GROUP BY 1),
-      c AS (SELECT family // 2 AS family, sum(CASE WHEN {RES} THEN 1 ELSE 0 END) AS r, sum(CASE WHEN phi IS NOT NULL OR psi IS NOT NULL THEN 1 ELSE 0 END) AS a FROM sites GROUP BY 1),
+    f"""WITH {SITES}, p AS (SELECT o_custkey * 8 + o_orderkey % 8 AS family, count(*) AS s, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS t FROM orders GROUP BY 1),
+      c AS (SELECT family * 8 + protein % 8 AS family, sum(CASE WHEN {RES} THEN 1 ELSE 0 END) AS r, sum(CASE WHEN phi IS NOT NULL OR psi IS NOT NULL THEN 1 ELSE 0 END) AS a FROM sites GROUP BY 1),
       f AS (SELECT p.family, s, t, coalesce(r, 0) AS r, coalesce(a, 0) AS a, CASE WHEN s = 1 AND t = 0 THEN 'one sequence' WHEN s = 2 AND t = 0 THEN 'two sequences'
         WHEN t = 0 THEN 'three or more sequences' WHEN s = 1 AND t = 1 THEN 'one sequence and structure' WHEN t = 1 THEN 'one structure'
         WHEN t = 2 THEN 'two structures' ELSE 'three or more structures' END AS class FROM p LEFT JOIN c USING (family))
@@ -133,11 +133,11 @@ def _(spark, sf):
     FROM f GROUP BY ROLLUP (class)""",
 )
 def _(spark, sf):
-    proteins = table(spark, sf, "orders").filter("o_orderdate >= timestamp_ntz'2000-12-01 00:00:00'").select(
-        F.floor(F.col("o_custkey") / 2).alias("family"), F.col("o_orderkey").alias("protein"),
+    proteins = table(spark, sf, "orders").select(
+        (F.col("o_custkey") * 8 + F.col("o_orderkey") % 8).alias("family"), F.col("o_orderkey").alias("protein"),
         (F.col("o_orderstatus") == "F").alias("has_structure"),
     )
-    rows = sites(spark, sf).withColumn("family", F.floor(F.col("family") / 2))
+    rows = sites(spark, sf).withColumn("family", F.col("family") * 8 + F.col("protein") % 8)
     _, classes = ops.family_composition(proteins, rows)
     return classes.withColumns(
         {c: F.round(c, 6) for c in ("residues_per_sequence", "angles_per_structure")}

@@ -50,14 +50,16 @@ def parameter_row(state: int, aa: str, p_aa: float, mu_phi: float, mu_psi: float
 
 
 def _model(params: DataFrame) -> DataFrame:
-    """(key, states): per residue, and for '*', each state's list of parameter rows."""
+    """(key, states, ids): per residue, and for '*', each state's list of parameter rows, and which states these are."""
     fields = [c for c in params.columns if c not in ("state", "aa")]
     row = F.struct(*fields)
     by_state = params.groupBy("aa", "state").agg(F.collect_list(row).alias("_l"))
     any_aa = params.groupBy("state").agg(F.collect_list(row).alias("_l")).select(F.lit("*").alias("aa"), "state", "_l")
     both = by_state.unionByName(any_aa)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("state", "_l"))), lambda x: x["_l"])
-    return both.groupBy(F.col("aa").alias("_key")).agg(ordered.alias("_states"))
+    listed = F.array_sort(F.collect_list(F.struct("state", "_l")))
+    return both.groupBy(F.col("aa").alias("_key")).agg(
+        F.transform(listed, lambda x: x["_l"]).alias("_states"), F.transform(listed, lambda x: x["state"]).alias("_ids")
+    )
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -66,7 +68,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def emissions(sites: DataFrame, params: DataFrame, letters: bool = True) -> DataFrame:
-    """``e``: log score of a site under each state, in the order of the states.
+    """``e``: log score of a site under each state, in the order of ``state_ids``.
 
     ``params`` has one row per state and residue. Two observed angles use the
     joint density, one its own, none adds nothing. A site without residue is
@@ -98,16 +100,15 @@ def emissions(sites: DataFrame, params: DataFrame, letters: bool = True) -> Data
     keyed = sites.withColumn("_key", F.when(known, F.col("aa")).otherwise("*"))
     model = cut(_model(params))
     return keyed.join(_small(model, 21), "_key").select(
-        "family", "protein", "col", F.transform("_states", state_score).alias("e")
+        "family", "protein", "col", F.transform("_states", state_score).alias("e"), F.col("_ids").alias("state_ids")
     )
 
 
 def score_sites(sites: DataFrame, params: DataFrame) -> DataFrame:
-    """(family, protein, col, state, loglik), states numbered from 0 in their order."""
+    """(family, protein, col, state, loglik); a state without parameters for the site's residue gives no row."""
     e = emissions(sites, params, letters=False)
-    return e.select("family", "protein", "col", F.posexplode("e").alias("state", "loglik")).withColumn(
-        "state", F.col("state").cast("bigint")
-    )
+    each = e.select("family", "protein", "col", "state_ids", F.posexplode("e").alias("_k", "loglik"))
+    return each.select("family", "protein", "col", F.get("state_ids", F.col("_k")).alias("state"), "loglik")
 
 
 def family_loglik(scores: DataFrame) -> DataFrame:

@@ -235,8 +235,13 @@ def representatives(sequences: DataFrame, nodes: DataFrame, n: int, k: int = 2,
         bound.select("tree", F.col("node").alias("b"), F.col("rank").alias("rb")), "tree"
     ).filter("ra < rb")
     weak = trees_ops.pair_support(nodes, anc, pairs).filter(F.col("support") < least_support)
-    clash = weak.join(pairs, ["tree", "a", "b"]).select(F.col("ra").alias("id_a"), F.col("rb").alias("id_b"))
-    kept = non_redundant(bound.select(F.col("rank").alias("seq_no"), "tree", "node"), clash)
+
+    def place(rank: str, node: str) -> Column:
+        # A leaf of one tree never stands for that of another.
+        return F.struct(F.col(rank).alias("rank"), "tree", F.col(node).alias("node"))
+
+    clash = weak.join(pairs, ["tree", "a", "b"]).select(place("ra", "a").alias("id_a"), place("rb", "b").alias("id_b"))
+    kept = non_redundant(bound.select(place("rank", "node").alias("seq_no"), "tree", "node"), clash)
     return trees_ops.prune(nodes, anc, kept.select("tree", "node"))
 
 
