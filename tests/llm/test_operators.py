@@ -186,6 +186,34 @@ def test_suffix_dedup(spark, hot):
     assert suffix_dedup.remove_repeats(none(df)).count() == 0
 
 
+def test_windows_around_repeated_anchors():
+    """Short character runs and repeated words at the edges of shared passages: an anchor's bytes occur several times in a piece."""
+    rng = random.Random(5)
+    words = [chr(c) * 20 for c in range(33, 127)] + ["".join(rng.choice("abcdefgh ") for _ in range(16)) for _ in range(900)]
+    least = lambda w: suffix_dedup.gram_hashes(np.frombuffer(w.encode(), np.uint8)).min()
+    runs = sorted(words[:94], key=least)[:3] + sorted(words[94:], key=least)[:3]  # likely to be anchors
+    several = 0
+    for _ in range(300):
+        noise = lambda n: "".join(rng.choice("abcdefgh -") for _ in range(n))
+        shared = "".join(x for _ in range(3) for x in (noise(rng.randrange(20)), rng.choice(runs)))
+        texts = [(noise(rng.randrange(25)) + shared[rng.randrange(15) :] + rng.choice([noise(rng.randrange(25)), *runs])).encode() for _ in range(4)]
+        groups: dict[int, dict[bytes, int]] = {}
+        for i, t in enumerate(texts):
+            for start, size, anchor in suffix_dedup.anchors(np.frombuffer(t, np.uint8), np.array([len(t)])):
+                for a, w, g in zip(start.tolist(), size.tolist(), anchor.tolist()):
+                    groups.setdefault(g, {}).setdefault(t[a : a + w + 49], i)
+        for group in groups.values():
+            pieces = sorted(group)
+            several += len(pieces) > 1 and any(len(at) > 1 for at in suffix_dedup.anchor_places(pieces))
+            first: dict[bytes, int] = {}
+            for p in pieces:
+                for x in range(len(p) - 49):
+                    first[p[x : x + 50]] = min(group[p], first.get(p[x : x + 50], group[p]))
+            told = suffix_dedup.least_ids(pieces, [group[p] for p in pieces])
+            assert told == [[first[p[x : x + 50]] for x in range(len(p) - 49)] for p in pieces]
+    assert several > 100
+
+
 def test_chat_format(spark):
     rows = [
         (1, 0, "u", "Hello there.\nHow are you?"),
