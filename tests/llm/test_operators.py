@@ -395,6 +395,27 @@ def test_toxicity_tolerates_gaps(spark, odd):
     assert 0 < toxicity.learn(odd, empty).scores([""])[0] < 1
 
 
+def test_toxicity_reads_every_letter(monkeypatch):
+    texts = ["you are an idiot today"] * 40 + ["you are an early bird today"] * 60
+    texts = [t + " %s%d" % (chr(97 + k % 26) * 3, k) for k, t in enumerate(texts)]
+    machine = toxicity.train(texts, np.arange(100) < 40)
+    rng = random.Random(4)
+    for n in [*range(28, 60), 500, 5000]:
+        before = "".join(rng.choice("bcfghjklm") for _ in range(n))
+        glued = [before + "idiotidiot" + "xyz" * (n % 5), "漢字" * n + "idiot", f"{before}-i-d-i-o-t", f"{before[:30]}.{before}.idi.ot"]
+        plain = [before + "early" + "xyz" * (n % 5), "漢字" * n + "early", f"{before}-e-a-r-l-y"]
+        assert min(machine.scores(glued)) > max(machine.scores([*plain, "a fine day"]))
+    word = "".join(rng.choice("abcdefgh") for _ in range(1000))
+    parts = list(toxicity.stretches(word))
+    assert max(map(len, parts)) <= toxicity.LONGEST + 1
+    for at in range(len(word) - toxicity.OVERLAP + 1):
+        assert any(word[at : at + toxicity.OVERLAP] in p for p in parts)
+    long = [word + "idiot", "a", "", word[:50], "idiot"]
+    whole = toxicity.Similar(machine.landmarks).sentences(long)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 40)
+    assert all((a == b).all() for a, b in zip(whole, toxicity.Similar(machine.landmarks).sentences(long)))
+
+
 def test_lm_scores(spark, docs):
     df = docs.select("doc_id", "text").union(spark.createDataFrame([(None, None), (7, "")], "doc_id long, text string"))
     df = df.withColumn("row", F.lit("x")).withColumn("word", F.lit("y"))

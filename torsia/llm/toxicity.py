@@ -6,7 +6,8 @@ letters count, so gaps and inserted letters lower the value without ending the
 match. A mark stands before a word's first letter. Landmarks are beginnings of
 words that set toxic sentences apart. A word's similarity to a landmark is their
 kernel over the landmark's own, at most 1, so longer forms of a stem match it
-whole; similarities up to FLOOR count as none. A sentence is compared with a
+whole; similarities up to FLOOR count as none. A word above LONGEST letters counts
+by the most similar of overlapping stretches, so every letter is read. A sentence is compared with a
 landmark by its most similar word, and the vector of similarities is whitened by
 the inverse root of the landmarks' own kernel matrix (Nyström).
 
@@ -47,13 +48,17 @@ FLOOR = 0.45
 #: Likelihood-ratio statistic that a landmark must exceed, and lengths of landmarks.
 EVIDENCE = 30.0
 STEMS = (4, 5, 6, 7, 8, 10, 12)
-#: Letters kept of a word, and words that a worker remembers.
-LONGEST, CACHE = 32, 400_000
+#: Letters of a word that are compared at once, letters that two stretches of a longer word share, and words that a worker remembers.
+LONGEST, OVERLAP, CACHE = 32, 2 * max(STEMS), 400_000
+#: Letters whose sequences are in memory at once.
+AT_ONCE = 200_000
 #: Digits and signs that stand for letters.
 SHAPES = str.maketrans("013457@$", "oieastas")
 SPLIT = re.compile(r"[\W\d_]+")
 #: Letters are numbered below 64: the mark before a word, a to z, and 35 numbers for all others.
 MARK, LETTERS = "`", 64
+#: Stands before a stretch inside a word; no landmark has it.
+INSIDE = "_"
 #: Letters written apart: three or more in a row, each alone.
 APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_](?![^\W_])){2,}")
 STOP = (".", "!", "?")
@@ -61,20 +66,27 @@ SENTENCE = re.compile(r"[.!?\n]+\s*")
 
 
 def pieces(chunk: str) -> list[str]:
-    """Words of a chunk without white space, and their letters as one word if they are short parts."""
+    """Words of a chunk without white space, and the letters of several as one word."""
     low = chunk.lower()
     runs = [low] if low.isalpha() else [r for r in SPLIT.split(low.translate(SHAPES)) if r]
     if len(runs) > 1:
-        joined = "".join(runs)
-        if len(joined) <= LONGEST:
-            runs.append(joined)
-    return [r[:LONGEST] for r in runs if len(r) >= 3]
+        runs.append("".join(runs))
+    return [r for r in runs if len(r) >= 3]
+
+
+def stretches(word: str) -> Iterator[str]:
+    """The word in stretches of LONGEST letters, of which the later ones begin inside it."""
+    yield word[:LONGEST]
+    step = LONGEST - OVERLAP
+    for at in range(step, len(word) - OVERLAP, step):
+        yield INSIDE + word[at : at + LONGEST]
 
 
 def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, triple, weight) of every sequence of three letters within SPAN, the mark included."""
-    n = np.array([len(w) + 1 for w in words], dtype=np.int64)
-    text = "".join([MARK + w for w in words])
+    marked = [w if w.startswith(INSIDE) else MARK + w for w in words]
+    n = np.array([len(w) for w in marked], dtype=np.int64)
+    text = "".join(marked)
     letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     letters = np.where(letters < 128, letters - 95, 28 + letters % 35)
     owner = np.repeat(np.arange(len(words)), n)
@@ -128,6 +140,22 @@ def kernel(words: list[str], landmarks: tuple[str, ...], floor: float = FLOOR) -
     return out
 
 
+def parts_of(chunks: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """(chunk, stretch) of all words of the chunks, AT_ONCE letters at a time."""
+    who, words, held = [], [], 0
+    for k, c in enumerate(chunks):
+        for w in pieces(c):
+            for s in stretches(w) if len(w) > LONGEST else (w,):
+                who.append(k)
+                words.append(s)
+                held += len(s)
+                if held >= AT_ONCE:
+                    yield who, words
+                    who, words, held = [], [], 0
+    if words:
+        yield who, words
+
+
 class Similar(dict):
     """chunk -> 2 * row of ``vectors`` + whether it ends a sentence; row 0 is all zeros."""
 
@@ -147,18 +175,15 @@ class Similar(dict):
             new = list(chunks)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            own = [pieces(c) for c in part]
-            like = kernel([w for p in own for w in p], self.landmarks)
-            who = np.repeat(np.arange(len(part)), [len(p) for p in own])
+            like = np.zeros((len(part), len(self.landmarks)), np.float32)
+            for who, words in parts_of(part):
+                own = kernel(words, self.landmarks)
+                some = np.flatnonzero(own.any(axis=1))
+                np.maximum.at(like, np.array(who)[some], own[some])
             code = np.fromiter((c.endswith(STOP) for c in part), np.int64, len(part))
-            some = like.any(axis=1)
-            rows = np.zeros((0, like.shape[1]), np.float32)
-            if some.any():
-                who, rows = who[some], like[some]
-                starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-                rows = np.maximum.reduceat(rows, starts, axis=0)
-                code[who[starts]] += 2 * (len(self.vectors) + np.arange(len(starts)))
-            self.vectors.extend(rows)
+            some = np.flatnonzero(like.any(axis=1))
+            code[some] += 2 * (len(self.vectors) + np.arange(len(some)))
+            self.vectors.extend(like[some])
             self.update(zip(part, code.tolist()))
 
     def sentences(self, texts: list[str]) -> list[np.ndarray]:
