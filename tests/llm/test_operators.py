@@ -243,6 +243,27 @@ def test_chat_format(spark):
     assert chat_format.format_conversations(none(df)).count() == 0
 
 
+def test_chat_format_links_deeper_quotes(spark):
+    rows = [
+        (1, 0, "u", "First words.\n\nMore of it."),
+        (1, 1, "a", "Second words."),
+        (1, 2, "u", "digest\n>> First words.\n>>\n>> More of it.\nThird words."),
+        (1, 3, "u", "> Second words.\n>> First words.\n> > > unknown\nyes"),
+        (1, 4, "u", "> unknown\n>>> Second words.\n>> First words.\n>> Second words.\n>> and more\nno"),
+        (1, 5, "a", "> First words.\n>> First words.\nboth"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: (r["parent_turn"], r["root_turn"], r["depth"], r["n_linked"]) for r in chat_format.format_conversations(df).collect()}
+    assert got == {
+        0: (None, 0, 0, 0),
+        1: (None, 1, 0, 0),
+        2: (0, 0, 1, 3),  # whole, and two paragraphs that are lines too
+        3: (1, 1, 1, 2),  # the first level decides
+        4: (1, 1, 1, 2),  # of level 2 the longer unit
+        5: (0, 0, 1, 1),
+    }
+
+
 def test_bag_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(5)
     items = rng.integers(1, 1 << 62, 300).astype(np.uint64)

@@ -4,10 +4,11 @@ A line that starts with ``>`` is quoted, once per mark; blanks may stand between
 marks. Lines in a row with one level form a passage. Passages and what messages
 say themselves are hashed after white space is made single and A-Z lower-cased:
 whole, by paragraph and by line. A quoted unit's original is the earliest turn of
-the conversation that says it itself. A message replies to the earlier turn from
-which most characters of its first-level quotes come, of equals the latest.
-Deeper levels are dropped from the text but decide nothing, as they were quoted
-by the message that is quoted.
+the conversation that says it itself; passages of all levels are linked, a unit
+that is quoted at several levels once, at its least. A message replies to the
+earlier turn from which most characters of its first-level quotes come, of equals
+the latest. Deeper levels were quoted by the message that is quoted, so the least
+of them decides only where no unit of a level before it is found.
 
 Following replies up gives each message a root and a depth, by pointer doubling.
 The order is conversation, root, depth, turn: every reply follows its parent.
@@ -33,15 +34,20 @@ def normal(c: Column) -> Column:
     return lower_ascii(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
-def units(messages: DataFrame, level: int) -> DataFrame:
-    """(conv, turn, unit, chars): normalised texts of one level: whole, paragraphs and lines, each once.
+def depth(line: Column) -> Column:
+    return F.length(F.translate(F.regexp_extract(line, QUOTE, 1), " ", ""))
+
+
+def units(messages: DataFrame, quoted: bool) -> DataFrame:
+    """(conv, turn, level, unit, chars): normalised texts of each quote level, or of level 0: whole, paragraphs and lines, each once a level.
 
     The lines of a message come together in one row, as long as the message.
     """
     raw = F.split("text", "\n")
-    depth = lambda x: F.length(F.translate(F.regexp_extract(x, QUOTE, 1), " ", ""))
+    levels = F.filter(F.array_distinct(F.transform(raw, depth)), lambda x: x > 0) if quoted else F.array(F.lit(0))
+    messages = messages.select("conv", "turn", "text", F.explode(levels).alias("level"))
     own = F.transform(
-        raw, lambda x: F.when(depth(x) == level, F.regexp_replace(x, QUOTE, "") if level else x)
+        raw, lambda x: F.when(depth(x) == F.col("level"), F.regexp_replace(x, QUOTE, "") if quoted else x)
     )
     # Lines of another level end a passage; blank lines end a paragraph.
     body = F.array_join(own, "\n", "\n\x00\n")
@@ -49,18 +55,18 @@ def units(messages: DataFrame, level: int) -> DataFrame:
         F.array(F.split(body, "\x00"), F.split(body, "\x00|\n[ \t\r]*\n"), F.split(body, "[\x00\n]"))
     )
     said = F.array_distinct(F.filter(F.transform(parts, normal), lambda x: x != ""))
-    return messages.select("conv", "turn", F.explode(said).alias("unit")).select(
-        "conv", "turn", F.sha2(F.col("unit").cast("binary"), 256).alias("unit"), F.length("unit").alias("chars")
+    return messages.select("conv", "turn", "level", F.explode(said).alias("unit")).select(
+        "conv", "turn", "level", F.sha2(F.col("unit").cast("binary"), 256).alias("unit"), F.length("unit").alias("chars")
     )
 
 
 def parents(messages: DataFrame) -> DataFrame:
     """(conv, turn, parent, linked): the turn that each quoting message replies to."""
     quoting = messages.filter(F.col("text").rlike(r"(?m)^\s{0,3}>") & F.col("turn").isNotNull())
-    quoted = units(quoting, 1).distinct()
+    quoted = units(quoting, True).groupBy("conv", "turn", "unit", "chars").agg(F.min("level").alias("level"))
     asked = quoted.select("conv", "unit").distinct()
     said = (
-        units(messages.join(quoting.select("conv").distinct(), "conv", "left_semi"), 0)
+        units(messages.join(quoting.select("conv").distinct(), "conv", "left_semi"), False)
         .join(asked, ["conv", "unit"], "left_semi")
         .groupBy("conv", "unit")
         .agg(F.min("turn").alias("source"))
@@ -68,10 +74,10 @@ def parents(messages: DataFrame) -> DataFrame:
     votes = (
         quoted.join(said, ["conv", "unit"])
         .filter(F.col("source") < F.col("turn"))
-        .groupBy("conv", "turn", "source")
+        .groupBy("conv", "turn", "level", "source")
         .agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n"))
     )
-    best = F.max(F.struct("chars", "source")).alias("best")
+    best = F.max(F.struct((-F.col("level")).alias("up"), "chars", "source")).alias("best")
     return votes.groupBy("conv", "turn").agg(best, F.sum("n").alias("linked")).select(
         "conv", "turn", F.col("best.source").alias("parent"), "linked"
     )
