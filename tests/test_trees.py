@@ -88,3 +88,37 @@ def test_pure_clades(spark, nodes, anc):
     marks = {r.node: r.mark for r in T.pure_clades(nodes, anc, traits).collect()}
     inner = {r.support: r.node for r in nodes.collect() if r.support}
     assert marks[inner["0.9"]] == 1 and marks[inner["x"]] == 2 and marks[ids["e"]] == 1 and marks[ids["a"]] == 0
+
+
+def test_root_choice_reads_the_whole_tree(spark):
+    """The query against all inner nodes x leaves of region > nation > customer > orders, walked node by node."""
+    from __spark_entry__ import queries
+    from torsia.catalog.tables import tree_nodes
+
+    sf = "/root/testdata/sf0.001"
+    parent, branch = {}, {}
+    for r in tree_nodes(spark, sf).collect():
+        parent[r.node], branch[r.node] = r.parent, r.branch_length
+
+    def up(node):
+        out, far = {}, 0.0
+        while node is not None:
+            out[node] = far
+            far, node = far + branch[node], parent[node]
+        return out
+
+    above = {n: up(n) for n in parent}
+    inner = set(parent.values()) - {None}
+    leaves = [n for n in parent if n not in inner]
+    assert sum(n > 1000000000 for n in leaves) > 1000
+    sd = {}
+    for v in inner:
+        own = above[v]
+        d = []
+        for leaf in leaves:
+            d.append(next(own[a] + far for a, far in above[leaf].items() if a in own))
+        mean = sum(d) / len(d)
+        sd[v] = (sum((x - mean) ** 2 for x in d) / (len(d) - 1)) ** 0.5
+    best = min(sd, key=lambda v: (sd[v], v))
+    (got,) = queries()["root_choice_whole"](spark, sf).collect()
+    assert got.node == best and got.sd == pytest.approx(sd[best], abs=2e-6)

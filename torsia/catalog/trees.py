@@ -83,6 +83,22 @@ def _(spark, sf):
     return ops.root_choice(nodes, anc).select("node", r6(F.col("sd")).alias("sd"))
 
 
+# The twin of ``root_choice`` lists inner nodes x leaves of the tree without orders; this one has sums at ancestors.
+@query(
+    "root_choice_whole",
+    f"""{TREE}, {_LEAF}, b AS (SELECT anc AS node, count(*) AS n, sum(length) AS s1, sum(length * length) AS s2 FROM anc WHERE node IN (FROM leaf) GROUP BY anc),
+      w AS (SELECT x.node, x.length AS l, b.n - coalesce(c.n, 0) AS n, b.s1 - coalesce(c.s1 + c.n * m.branch_length, 0) AS s1,
+          b.s2 - coalesce(c.s2 + 2 * m.branch_length * c.s1 + c.n * m.branch_length * m.branch_length, 0) AS s2
+        FROM anc x JOIN b ON b.node = x.anc LEFT JOIN anc y ON y.node = x.node AND y.steps = x.steps - 1
+        LEFT JOIN nodes m ON m.node = y.anc LEFT JOIN b c ON c.node = y.anc WHERE x.node NOT IN (FROM leaf)),
+      d AS (SELECT node, sum(n) AS n, sum(n * l + s1) AS t1, sum(n * l * l + 2 * l * s1 + s2) AS t2 FROM w GROUP BY node)
+    SELECT node, round(sqrt((t2 - t1 * t1 / n) / (n - 1)), 6) + 0.0 AS sd FROM d ORDER BY (t2 - t1 * t1 / n) / (n - 1), node LIMIT 1""",
+)
+def _(spark, sf):
+    nodes, anc = _tree(spark, sf)
+    return ops.root_choice(nodes, anc).select("node", r6(F.col("sd")).alias("sd"))
+
+
 @query(
     "reroot_edges",
     f"""{TREE}, p AS (SELECT anc AS node, steps FROM anc WHERE node = 1000000007), q AS (SELECT p.node, p.steps, n.parent, n.branch_length FROM p JOIN nodes n ON n.node = p.node),
