@@ -463,6 +463,13 @@ def test_lm_scores(spark, docs):
     assert lm_score.score_texts(df.limit(5), F.lit(True)).count() == 5
 
 
+def test_lm_classes_tell_contexts_apart():
+    """Words with 48 different surroundings get more than 24 classes, each surrounding one."""
+    kinds = np.eye(48, 2 * lm_score.CONTEXTS)[np.arange(960) % 48] * 100
+    own = lm_score.cluster(np.vstack([kinds, kinds[:100]]), np.ones(1060))
+    assert len(np.unique(own)) > 24 and (own[:48] == own[48:96]).all()
+
+
 def test_url_filter(spark):
     urls = [
         "http://Example.ORG/es/1?x",
