@@ -37,7 +37,7 @@ def compare(df, con, sql: str) -> str | None:
     at = [names.index(c) for c in cols]
     want = sorted([tuple(_cell(r[i]) for i in at) for r in rel.fetchall()], key=str)
     spark_types = dict(df.dtypes)
-    same = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    same = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     odd = [f"{c}: {spark_types[c]} / {types[c]}" for c in cols if same.get(spark_types[c]) != types[c]]
     if len(got) != len(want):
         extra = [r for r in got if r not in set(want)][:2]
