@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, lm_score, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter
+from . import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    line_crf,
+    lm_score,
+    near_dedup,
+    packing,
+    prefix_trie,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    url_filter,
+    va_clusters,
+)
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +155,88 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
         F.col("_rule").alias("rule"),
         F.col("_verdict").alias("verdict"),
     )
+
+
+@query("op11_quality")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").filter(fold("doc_id") != 0)
+    score = line_crf.quality(F.col("text"), line_crf.learn(docs, labels))
+    return docs.select("doc_id", (fold("doc_id") == 0).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.3).cast("int")
+    )
+
+
+SQL_APART = "list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def sql_clusters(count: int = 40, rounds: int = 5) -> str:
+    """Every round as two named tables: nearest centroids, then their means."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS v
+          FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, v AS w FROM (
+          SELECT sha256('2:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT {count}))""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (SELECT vec_id, v, cluster, distance FROM (SELECT vec_id, v, cluster, {SQL_APART} AS distance,
+              row_number() OVER (PARTITION BY vec_id ORDER BY {SQL_APART}, cluster) AS k FROM kept, c{k}) WHERE k = 1)"""
+        )
+        steps.append(
+            f"""m{k} AS (SELECT cluster, d, (sum(v[d]) - (((sum(v[d]) % count(*)) + count(*)) % count(*))) // count(*) AS x
+              FROM a{k}, range(1, 65) t(d) GROUP BY cluster, d)"""
+        )
+        steps.append(
+            f"""c{k + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.w, c.w) AS w FROM c{k} c
+              LEFT JOIN (SELECT cluster, list(x::BIGINT ORDER BY d) AS w FROM m{k} GROUP BY cluster) n USING (cluster))"""
+        )
+    return f"""WITH {", ".join(steps[:-2])}
+    SELECT vec_id, cluster::INT AS cluster, distance::BIGINT AS distance,
+      (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+      sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+@query("op12_clusters", sql_clusters())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return va_clusters.clusters(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+#: crc32 of decimal digits, from the table of its 256 byte steps.
+SQL_CRC = """(SELECT list(list_reduce(list_concat([i], range(8)),
+  lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS tab FROM range(256) r(i))"""
+
+
+@query(
+    "op13_prefix_trie",
+    f"""WITH crc AS MATERIALIZED {SQL_CRC},
+    turns AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS spot
+      FROM conversations WHERE conv_id IS NOT NULL),
+    heads AS MATERIALIZED (SELECT c, c - c % 100 AS b, xor(list_reduce(list_concat([4294967295],
+        list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda x, y: xor(tab[(xor(x, y) & 255) + 1], x >> 8)), 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM turns), crc),
+    whole AS (SELECT c, spot, role, text FROM turns JOIN heads USING (c) WHERE spot > h
+      UNION ALL SELECT heads.c, spot, role, text FROM heads JOIN turns ON turns.c = heads.b WHERE spot <= h),
+    spots AS MATERIALIZED (SELECT c, row_number() OVER w AS depth, list([role, text]) OVER w AS path, length(text) AS n
+      FROM whole WINDOW w AS (PARTITION BY c ORDER BY spot)
+      UNION ALL SELECT c, 0, [], 0 FROM heads),
+    longest AS (SELECT c, max(depth) AS depth FROM spots GROUP BY c),
+    nodes AS MATERIALIZED (SELECT s.depth, path, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+        coalesce(string_agg(c, ',' ORDER BY c) FILTER (l.depth = s.depth), '') AS ends
+      FROM spots s JOIN longest l USING (c) GROUP BY s.depth, path),
+    lines AS MATERIALIZED (SELECT s.depth, min(s.c) OVER (PARTITION BY s.depth, s.path) AS conv_id, s.c AS rep FROM spots s),
+    kids AS (SELECT u.conv_id, u.depth, count(*) AS n_children FROM nodes n
+      JOIN lines u ON u.rep = n.conv_id AND u.depth = n.depth - 1 GROUP BY ALL),
+    parents AS (SELECT n.depth, n.conv_id, u.conv_id AS parent_conv_id FROM nodes n
+      JOIN lines u ON u.rep = n.conv_id AND u.depth = n.depth - 1),
+    below AS (SELECT u.depth, u.conv_id, sum((n.n_convs - 1) * n.n) AS saved_tokens,
+        count(*) FILTER (k.n_children IS NULL) AS n_leaves
+      FROM nodes n JOIN lines u ON u.rep = n.conv_id AND u.depth <= n.depth
+      LEFT JOIN kids k ON k.depth = n.depth AND k.conv_id = n.conv_id GROUP BY ALL)
+    SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children,
+      n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(ends) AS ends_sha256
+    FROM nodes LEFT JOIN kids USING (depth, conv_id) LEFT JOIN parents USING (depth, conv_id) JOIN below USING (depth, conv_id)""",
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf, "conversations"))
