@@ -24,4 +24,4 @@ def test_stages(spark):
 
 def test_registered():
     names = set(queries())
-    assert {"pipeline"} <= names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert {"pipeline"} <= names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
