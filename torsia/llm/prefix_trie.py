@@ -5,13 +5,18 @@ the turns of a number drawn from a turn's place, role and text (two sums of 60
 bits each), so taking the last turn's number away gives the key of the node
 above. A row carries its path: the numbers and lengths of its turns.
 
-Peeling goes from the greatest depth to the root. At depth d the conversations
-that end there join the nodes that survive from depth d + 1; rows with one key
-are merged, with partial sums before the shuffle, into the nodes of depth d. Each
-node is written once, complete with members, children, leaves and savings below
-it, and handed on without its last turn. So equal conversations are one row from
-the depth where they end, and nodes are found and summed up in the same pass:
-one round of grouping per depth, each reading what the last one wrote.
+Peeling goes from the greatest depth to the root. Conversations that end at a node
+are one row from the start, by their key. At depth d the rows that end there join
+the nodes that survive from depth d + 1; rows with one key are merged, with partial
+sums before the shuffle, into the nodes of depth d. Each node is written once,
+complete with members, children, leaves and savings below it, and handed on without
+its last turn, so nodes are found and summed up in the same pass.
+
+Deep stretches of depths are peeled at once where nothing can merge in them: a row
+whose beginning at the stretch's foot is that of no other row meets none on the
+way down, and its nodes are written in one go. The other rows go through the upper
+and then the lower half of the stretch. Below depth SHALLOW every depth is a round
+of its own, and so is one of a short stretch with rows that meet.
 
 Members that end at a node are told by a hash of their ids in ascending order.
 Ids are first joined into strings of one BLOCK of the id range each, so a node
@@ -21,8 +26,8 @@ hashes them in order, in constant memory.
 Defined results: null roles and texts are empty; turns go by number, null first,
 equal numbers by role and text; rows without conversation id belong to no
 conversation; repeated rows are turns of their own; a turn's length counts code
-points; an empty table has no conversation and so no root. The work takes one
-round per depth of the deepest conversation.
+points; an empty table has no conversation and so no root. The rounds are about the
+depths in which different conversations meet, and logarithmic in the greatest depth.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -97,84 +102,158 @@ def paths(turns: DataFrame, convs: DataFrame) -> DataFrame:
 
 
 PATH = "array<struct<place:int,a:bigint,b:bigint,n:bigint>>"
-NODE = f"k1 {SUM}, k2 {SUM}, c bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved bigint, path {PATH}"
+NODE = f"depth bigint, k1 {SUM}, k2 {SUM}, c bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved bigint"
+ROW = f"{NODE}, path {PATH}"
+COLUMNS = ("depth", "k1", "k2", "c", "n_convs", "n_children", "n_leaves", "saved", "path")
+#: Depths up to here are rounds of their own, and so are the depths of stretches up to SHORT.
+SHALLOW, SHORT = 8, 2
+
+
+def tail_sum(field: str, depth: int) -> Column:
+    """Sum over the turns of a path beyond ``depth``."""
+    return F.aggregate(F.slice("path", depth + 1, 1 << 30), F.lit(0).cast(SUM), lambda x, s: (x + s[field]).cast(SUM))
+
+
+def cut_to(rows: DataFrame, depth: int, counted: bool = False) -> DataFrame:
+    """Rows without the turns beyond ``depth``, of which each has some: one child of the node above.
+
+    What those turns save is added, unless it is ``counted`` already.
+    """
+    lost = F.lit(0).cast("long") if counted else (F.col("n_convs") - 1) * tail_sum("n", depth).cast("long")
+    return rows.select(
+        F.lit(depth).cast("long").alias("depth"),
+        (F.col("k1") - tail_sum("a", depth)).cast(SUM).alias("k1"),
+        (F.col("k2") - tail_sum("b", depth)).cast(SUM).alias("k2"),
+        "c",
+        "n_convs",
+        F.lit(1).cast("long").alias("n_children"),
+        F.greatest("n_leaves", F.lit(1)).alias("n_leaves"),
+        (F.col("saved") + lost).alias("saved"),
+        F.slice("path", 1, depth).alias("path"),
+    )
 
 
 def merged(rows: DataFrame) -> DataFrame:
-    """One row per node of a depth, from its ending members and the nodes below."""
-    node = rows.groupBy("k1", "k2").agg(
+    """One row per node of a depth, from what ends there and the nodes below; its own turn isn't counted as saved yet."""
+    return rows.groupBy("depth", "k1", "k2").agg(
         F.min("c").alias("c"),
-        F.sum("n_convs").alias("n_convs"),
-        F.sum("n_children").alias("n_children"),
-        F.sum("n_leaves").alias("n_leaves"),
-        F.sum("saved").alias("saved"),
+        *[F.sum(x).alias(x) for x in ("n_convs", "n_children", "n_leaves", "saved")],
         F.any_value("path").alias("path"),
     )
-    last = F.coalesce(F.try_element_at("path", F.lit(-1))["n"], F.lit(0))
-    return node.select(
-        "k1",
-        "k2",
+
+
+def nodes_down_to(rows: DataFrame, depth: int) -> DataFrame:
+    """The nodes that a row which meets no other passes, from its own to the one below ``depth``."""
+    steps = rows.select(*COLUMNS[:-1], F.explode(F.slice("path", depth + 1, 1 << 30)).alias("s"))
+    on = W.partitionBy("c").orderBy(F.col("s.place").desc())
+    so_far = on.rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = on.rowsBetween(W.unboundedPreceding, -1)
+
+    def key(k: str, field: str) -> Column:
+        return (F.col(k) - F.coalesce(F.sum(F.col(f"s.{field}").cast(SUM)).over(before), F.lit(0))).cast(SUM)
+
+    own = F.col("s.place") == F.col("depth")
+    return steps.select(
+        F.col("s.place").cast("long").alias("depth"),
+        key("k1", "a").alias("k1"),
+        key("k2", "b").alias("k2"),
         "c",
         "n_convs",
-        "n_children",
+        F.when(own, F.col("n_children")).otherwise(1).alias("n_children"),
         F.greatest("n_leaves", F.lit(1)).alias("n_leaves"),
-        (F.col("saved") + (F.col("n_convs") - 1) * last).alias("saved"),
-        "path",
+        (F.col("saved") + (F.col("n_convs") - 1) * F.sum("s.n").over(so_far)).alias("saved"),
+        F.col("s.a").alias("a"),
+        F.col("s.b").alias("b"),
     )
 
 
-def above(nodes: DataFrame) -> DataFrame:
-    """Nodes without their last turn, each one child of the node above."""
-    last = F.element_at("path", -1)
-    return nodes.select(
-        (F.col("k1") - last["a"]).cast(SUM).alias("k1"),
-        (F.col("k2") - last["b"]).cast(SUM).alias("k2"),
-        "c",
-        "n_convs",
-        F.lit(1).cast("long").alias("n_children"),
-        "n_leaves",
-        "saved",
-        F.slice("path", 1, F.size("path") - 1).alias("path"),
-    )
+class Peeling:
+    """Writes the nodes of one depth or stretch after the other."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.out, self.parts = spark, scratch_path(spark, "nodes"), 0
+
+    def write(self, nodes: DataFrame) -> str:
+        path = f"{self.out}/part={self.parts}"
+        nodes.write.parquet(path)
+        self.parts += 1
+        return path
+
+    def level(self, rows: DataFrame, depth: int) -> DataFrame:
+        """Merges the rows of one depth; returns them cut to the depth above."""
+        last = F.element_at("path", -1)
+        nodes = merged(rows).select(
+            *COLUMNS[:6],
+            F.greatest("n_leaves", F.lit(1)).alias("n_leaves"),
+            (F.col("saved") + (F.col("n_convs") - 1) * last["n"]).alias("saved"),
+            "path",
+            last["a"].alias("a"),
+            last["b"].alias("b"),
+        )
+        return cut_to(self.spark.read.schema(ROW).parquet(self.write(nodes)), depth - 1, counted=True)
+
+    def stretch(self, rows: DataFrame, low: int, high: int) -> DataFrame | None:
+        """Peels rows of depths in (low, high]; returns what is left at depth ``low``."""
+        if high - low <= SHORT or high <= SHALLOW:
+            left = None
+            for d in range(high, low, -1):
+                here = both(rows.filter(F.col("depth") == d), left)
+                left = self.level(here, d)
+            return left
+        rows = written(rows, "stretch")
+        total = rows.count()
+        if not total:
+            return None
+        foot = [(F.col(k) - tail_sum(f, low)).cast(SUM).alias(u) for k, f, u in (("k1", "a", "u1"), ("k2", "b", "u2"))]
+        alone = (
+            rows.select(*foot, F.struct(*COLUMNS).alias("row"))
+            .groupBy("u1", "u2")
+            .agg(F.count(F.lit(1)).alias("n"), F.any_value("row").alias("row"))
+            .filter("n = 1")
+            .select("row.*")
+        )
+        alone = written(alone, "alone")
+        self.write(nodes_down_to(alone, low))
+        left = cut_to(alone, low)
+        if alone.count() < total:
+            rest = written(rows.join(alone.select("c"), "c", "left_anti").select(*COLUMNS), "rest")
+            middle = (low + high) // 2
+            upper = self.stretch(rest.filter(F.col("depth") > middle), middle, high)
+            lower = self.stretch(both(rest.filter(F.col("depth") <= middle), upper), low, middle)
+            left = both(left, lower)
+        return left
+
+
+def both(a: DataFrame, b: DataFrame | None) -> DataFrame:
+    return a if b is None else a.unionByName(b)
 
 
 def peeled(convs: DataFrame) -> DataFrame:
-    """All nodes, (depth, node columns, keys of the node above as u1 and u2)."""
+    """All nodes, (node columns, keys of the node above as u1 and u2)."""
     spark = convs.sparkSession
-    folder = scratch_path(spark, "ends")
-    # Every depth is a folder of its own, so a round reads only what ends there.
-    convs.repartitionByRange("depth", "c").write.partitionBy("depth").parquet(folder)
-    stored = spark.read.schema(f"c bigint, k1 {SUM}, k2 {SUM}, path {PATH}, depth int").parquet(folder)
-    depth = stored.agg(F.max("depth")).first()[0]
-    if depth is None:
-        return spark.createDataFrame([], f"depth long, {NODE}, u1 {SUM}, u2 {SUM}")
-    lengths = {r["depth"] for r in stored.select("depth").distinct().collect()}
-    out = scratch_path(spark, "nodes")
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    below = None
-    for d in range(depth, -1, -1):
-        parts = []
-        if d in lengths:
-            ended = stored.filter(F.col("depth") == d)
-            parts.append(
-                ended.select(
-                    "k1", "k2", "c", one.alias("n_convs"), zero.alias("n_children"), zero.alias("n_leaves"), zero.alias("saved"), "path"
-                )
-            )
-        if below is not None:
-            parts.append(above(below))
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        here = f"{out}/depth={d}"
-        merged(rows).write.parquet(here)
-        below = spark.read.schema(NODE).parquet(here)
-    last = F.try_element_at("path", F.lit(-1))
-    return (
-        spark.read.schema(f"{NODE}, depth long")
-        .parquet(out)
-        .withColumn("u1", (F.col("k1") - last["a"]).cast(SUM))
-        .withColumn("u2", (F.col("k2") - last["b"]).cast(SUM))
-        .drop("path")
+    ended = convs.groupBy("depth", "k1", "k2").agg(
+        F.min("c").alias("c"), F.count(F.lit(1)).alias("n_convs"), F.any_value("path").alias("path")
+    )
+    zero = F.lit(0).cast("long")
+    ended = ended.select(
+        F.col("depth").cast("long").alias("depth"), "k1", "k2", "c", "n_convs",
+        zero.alias("n_children"), zero.alias("n_leaves"), zero.alias("saved"), "path",
+    )
+    # In the order of depth, so a round reads few parts beside what ends there.
+    ended = written(ended.repartitionByRange("depth", "c").sortWithinPartitions("depth"), "ended")
+    depth = ended.agg(F.max("depth")).first()[0]
+    peeling, left = Peeling(spark), None
+    while depth:
+        low = depth - 1 if depth <= SHALLOW else max(SHALLOW, depth // 2)
+        here = ended.filter((F.col("depth") > low) & (F.col("depth") <= depth))
+        left = peeling.stretch(both(here, left), low, depth)
+        depth = low
+    root = merged(both(ended.filter(F.col("depth") == 0), left)).select(
+        *COLUMNS[:6], F.greatest("n_leaves", F.lit(1)).alias("n_leaves"), "saved", zero.alias("a"), zero.alias("b")
     )
+    peeling.write(root)
+    nodes = spark.read.schema(f"{NODE}, a bigint, b bigint").parquet(peeling.out)
+    return nodes.select("*", (F.col("k1") - F.col("a")).cast(SUM).alias("u1"), (F.col("k2") - F.col("b")).cast(SUM).alias("u2"))
 
 
 def ends(convs: DataFrame) -> DataFrame:
