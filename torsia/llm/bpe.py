@@ -18,6 +18,8 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
+from .common import LONG
+
 #: Entries that a worker's dictionary may hold.
 CACHE = 400_000
 #: Characters on which Python's classes and the vocabulary's pre-tokenizer agree.
@@ -67,6 +69,14 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(s for s, e in zip(strings, codes) if len(e.ids) == 1 and s == s.lower() and SPECIAL not in s)
 
 
+def keep(known: dict, chunk: str, value: int | bytes) -> None:
+    """Remember a chunk unless it is long; a full dictionary starts anew."""
+    if len(chunk) <= LONG:
+        if len(known) >= CACHE:
+            known.clear()
+        known[chunk] = value
+
+
 class WordCounts(dict):
     """chunk without white space -> tokens, for vocabularies that end words.
 
@@ -81,21 +91,18 @@ class WordCounts(dict):
         self.library, self.whole, self.merged = tokenizer(path), whole, {}
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
         if PLAIN.fullmatch(chunk) and SPECIAL not in chunk:
             n = sum(1 if p in self.whole else self.merge(p) for p in self.pieces.findall(chunk.lower()))
         else:
             n = self.by_library(chunk)
-        self[chunk] = n
+        keep(self, chunk, n)
         return n
 
     def merge(self, piece: str) -> int:
         n = self.merged.get(piece)
         if n is None:
-            if len(self.merged) >= CACHE:
-                self.merged.clear()
-            n = self.merged[piece] = len(self.library.model.tokenize(as_letters(piece)))
+            n = len(self.library.model.tokenize(as_letters(piece)))
+            keep(self.merged, piece, n)
         return n
 
     def by_library(self, text: str) -> int:
@@ -133,23 +140,20 @@ class SpacedIds(dict):
         self.library, self.merges, self.tails = tokenizer(path), merger(path), {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
         m = self.word.fullmatch(chunk)
         if m is not None and SPECIAL not in chunk:
             # Punctuation after a word stands alone, whatever the word.
             ids = self[m[1]] + self.tail(m[2])
         else:
             ids = self.encoded(" " + chunk)
-        self[chunk] = ids
+        keep(self, chunk, ids)
         return ids
 
     def tail(self, marks: str) -> bytes:
         ids = self.tails.get(marks)
         if ids is None:
-            if len(self.tails) >= CACHE:
-                self.tails.clear()
-            ids = self.tails[marks] = self.encoded(marks)
+            ids = self.encoded(marks)
+            keep(self.tails, marks, ids)
         return ids
 
     def encoded(self, text: str) -> bytes:

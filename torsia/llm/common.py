@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Chunks of text above so many characters aren't remembered by workers.
+LONG = 64
+_HELD: dict[tuple[str, str], tuple[Any, Any]] = {}
+
+
+def held(group: str, name: str, key: Any, make: Callable[[], Any]) -> Any:
+    """What a worker keeps for the tasks that follow: one thing a name, and the things of one group at a time.
+
+    Workers live on from stage to stage; what the last operator kept goes when the next one asks.
+    """
+    at = (group, name)
+    if at not in _HELD or _HELD[at][0] != key:
+        for k in [k for k in _HELD if k[0] != group or k == at]:
+            del _HELD[k]
+        _HELD[at] = (key, make())
+    return _HELD[at][1]
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

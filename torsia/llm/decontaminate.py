@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .common import batch_rows, id_type, text_rows, texts_of
+from .common import batch_rows, held, id_type, text_rows, texts_of
 from .shingles import SHINGLE, U64, mix, overlap, shingles, words
 
 SIMILAR = 0.8
@@ -81,25 +81,28 @@ class Items:
             sum(1 << b for b in bits) for n in range(1, NEAR + 1) for bits in combinations(range(CELL), n)
         ]
         self.ball = np.array(near, dtype=np.int64)
+        small = np.uint16 if len(self.length) <= 1 << 16 else np.int32
         self.index: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in set(self.length):
             of = np.array([k for k, m in enumerate(self.length) if m == n])
-            keys, owner = [], []
-            for c in range(BITS // CELL):
-                keys.append(((self.prints[of, c][:, None] ^ self.ball[None]) + (c << CELL)).ravel())
-                owner.append(np.repeat(of, len(self.ball)))
-            key, item = np.concatenate(keys), np.concatenate(owner)
-            order = np.argsort(key, kind="stable")
-            self.index[n] = key[order], item[order]
+            each = len(of) * len(self.ball)
+            key = np.empty(each * (BITS // CELL), np.int32)
+            item = np.empty(len(key), small)
+            for c in range(BITS // CELL):  # keys of a block lie below those of the next
+                own = ((self.prints[of, c][:, None] ^ self.ball[None]) + (c << CELL)).astype(np.int32).ravel()
+                order = np.argsort(own, kind="stable")
+                key[c * each : (c + 1) * each] = own[order]
+                item[c * each : (c + 1) * each] = of.astype(small)[order // len(self.ball)]
+            self.index[n] = key, item
 
     def within(self, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) with distance at most RADIUS, among items of n words."""
         key, item = self.index[n]
-        asked = (prints + (np.arange(BITS // CELL) << CELL)[None]).ravel()
+        asked = (prints + (np.arange(BITS // CELL) << CELL)[None]).astype(np.int32).ravel()
         lo, hi = np.searchsorted(key, asked), np.searchsorted(key, asked, side="right")
         many = hi - lo
         window = np.repeat(np.arange(len(asked)) // (BITS // CELL), many)
-        found = item[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        found = item[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())].astype(np.int64)
         pairs = np.unique(window * len(self.length) + found)
         window, found = pairs // max(len(self.length), 1), pairs % max(len(self.length), 1)
         near = distances(prints[window], self.prints[found]) <= RADIUS
@@ -142,15 +145,9 @@ class Items:
                     best[i] = (like, first + k, m + SHINGLE - 1)
 
 
-_PARTS: dict[str, Items] = {}
-
-
 def items_of(key: str, rows: Broadcast) -> Items:
     """The index of a part, built once per worker."""
-    if key not in _PARTS:
-        _PARTS.clear()
-        _PARTS[key] = Items(rows.value)
-    return _PARTS[key]
+    return held("words", "items", key, lambda: Items(rows.value))
 
 
 def parts_of(benchmark: DataFrame, item_col: str, item_text: str, items: int) -> Iterator[tuple[str, Broadcast, list]]:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import SpacedIds, tokenizer
-from .common import batch_rows, id_type, text_rows, texts_of
+from .common import batch_rows, held, id_type, text_rows, texts_of
 
 WINDOW = 1024
 #: Tokens of a block, and how many of them are taken back at its end.
@@ -44,10 +44,9 @@ END_ID = 0
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-@lru_cache(maxsize=2)
 def ids_of(path: str) -> SpacedIds:
     """Kept for the tasks that follow in a worker."""
-    return SpacedIds(path)
+    return held("tokens", "ids", path, lambda: SpacedIds(path))
 
 
 @lru_cache(maxsize=2)

@@ -9,11 +9,12 @@ words has none.
 from __future__ import annotations
 
 import string
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 
+from .common import LONG, held
+
 SHINGLE = 5
 CACHE = 400_000
 MARKS = string.punctuation + "¡¿«»„“”‘’…–—"
@@ -21,20 +22,21 @@ U64 = np.uint64
 
 
 class WordNumbers(dict):
-    """chunk -> 64-bit number of its word, 0 for none; starts anew when full."""
+    """chunk -> 64-bit number of its word, 0 for none; starts anew when full; long chunks aren't kept."""
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
         word = chunk.strip(MARKS).lower()
         n = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
-        self[chunk] = n = n if word else 0
+        n = n if word else 0
+        if len(chunk) <= LONG:
+            if len(self) >= CACHE:
+                self.clear()
+            self[chunk] = n
         return n
 
 
-@lru_cache(maxsize=1)
 def numbers() -> WordNumbers:
-    return WordNumbers()
+    return held("words", "numbers", None, WordNumbers)
 
 
 def words(text: str) -> np.ndarray:

@@ -19,16 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WordCounts, whole_tokens
-from .common import batch_rows
-
-_COUNTS: dict[str, WordCounts] = {}
+from .common import batch_rows, held
 
 
 def counts_of(path: str, whole: Broadcast) -> WordCounts:
     """Kept for the tasks that follow in a worker."""
-    if path not in _COUNTS:
-        _COUNTS[path] = WordCounts(path, whole.value)
-    return _COUNTS[path]
+    return held("tokens", "counts", path, lambda: WordCounts(path, whole.value))
 
 
 def token_count(path: str, text: Column, spark) -> Column:

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows
+from .common import batch_rows, held
 
 TRAIN = 3000
 LANDMARKS = 32
@@ -50,6 +50,8 @@ EVIDENCE = 30.0
 STEMS = (4, 5, 6, 7, 8, 10, 12)
 #: Letters of a word that are compared at once, letters that two stretches of a longer word share, and words that a worker remembers.
 LONGEST, OVERLAP, CACHE = 32, 2 * max(STEMS), 400_000
+#: Characters of the words that a worker remembers.
+LETTERS_KEPT = 16_000_000
 #: Letters whose sequences are in memory at once.
 AT_ONCE = 200_000
 #: Digits and signs that stand for letters.
@@ -166,13 +168,15 @@ class Similar(dict):
 
     def reset(self) -> None:
         self.clear()
+        self.letters = 0
         self.vectors = [np.zeros(len(self.landmarks), np.float32)]
 
     def learn(self, chunks: set[str]) -> None:
         new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > CACHE:
+        if len(self) + len(new) > CACHE or self.letters + sum(map(len, new)) > LETTERS_KEPT:
             self.reset()
             new = list(chunks)
+        self.letters += sum(map(len, new))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             like = np.zeros((len(part), len(self.landmarks)), np.float32)
@@ -196,9 +200,10 @@ class Similar(dict):
             split.append(chunks)
         out, at = [], 0
         while at < len(split):  # as many texts at once as the dictionary can hold
-            stop, unknown = at, set()
-            while stop < len(split) and len(unknown) < CACHE // 4:
+            stop, unknown, letters = at, set(), 0
+            while stop < len(split) and len(unknown) < CACHE // 4 and letters < LETTERS_KEPT // 4:
                 unknown.update(split[stop])
+                letters += len(texts[stop])
                 stop += 1
             self.learn(unknown)
             for chunks in split[at:stop]:
@@ -215,10 +220,9 @@ class Similar(dict):
         return out
 
 
-@lru_cache(maxsize=2)
 def similar(landmarks: tuple[str, ...]) -> Similar:
     """Kept for the tasks that follow in a worker."""
-    return Similar(landmarks)
+    return held("toxicity", "similar", landmarks, lambda: Similar(landmarks))
 
 
 @dataclass(frozen=True)
