@@ -115,7 +115,7 @@ def test_tree_score_against_sum_over_states(spark):
     assert np.allclose(p(0.0), np.eye(4)) and np.allclose(p(1e4)[0], freqs)
     letters = {1: {"a": "A", "b": "C", "c": "A"}, 2: {"a": "D", "b": "?", "c": "E"}}
     cells = spark.createDataFrame([("t", ids[n], c, a) for c, d in letters.items() for n, a in d.items()], "tree string, node bigint, col bigint, aa string")
-    got = {r.col: r.loglik for r in S.tree_site_loglik(nodes, anc, cells, "ACDE", (left, values, right), freqs, (0.5, 2.0)).collect()}
+    got = {r.col: r.loglik for r in S.tree_site_loglik(nodes, cells, "ACDE", (left, values, right), freqs, (0.5, 2.0)).collect()}
     for c, d in letters.items():
         tip = {n: np.ones(4) if a == "?" else np.eye(4)["ACDE".index(a)] for n, a in d.items()}
         classes = []

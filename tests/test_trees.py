@@ -68,8 +68,8 @@ def test_prune_merges(spark, nodes, anc):
     assert got == {"a": 1.5, "c": 1.25, "e": 2.0}
 
 
-def test_layout_fills_the_unit_interval(nodes, anc):
-    rows = T.tree_layout(nodes, anc).collect()
+def test_layout_fills_the_unit_interval(nodes):
+    rows = T.tree_layout(nodes).collect()
     tips = sorted((r.lower, r.upper) for r in rows if r.leaves == 1 and r.name)
     assert tips[0][0] == 0.0 and abs(tips[-1][1] - 1.0) < 1e-12
     assert all(abs(a[1] - b[0]) < 1e-12 for a, b in zip(tips, tips[1:]))
@@ -82,10 +82,55 @@ def test_deep_tree(spark):
     assert T.ancestors(df).count() == n * (n + 1) // 2
 
 
-def test_pure_clades(spark, nodes, anc):
+def chain(spark, n, extra=()):
+    rows = [("t", i, i - 1 if i else None, 1.0 if i else 0.0, str(i)) for i in range(n)]
+    return spark.createDataFrame([*rows, *extra], "tree string, node bigint, parent bigint, branch_length double, name string")
+
+
+def test_long_chain_in_few_rounds(spark):
+    n = 300
+    rows = T.tree_layout(chain(spark, n, [("t", n, n - 3, 0.5, "side")])).filter(f"node >= {n - 3} or node = 0").collect()
+    got = {r.node: (r.depth, r.root_distance, r.leaves, r.lower, r.upper) for r in rows}
+    assert got == {
+        0: (0, 0.0, 2, 0.0, 1.0), n - 3: (n - 3, n - 3.0, 2, 0.0, 1.0), n - 2: (n - 2, n - 2.0, 1, 0.0, 0.5),
+        n - 1: (n - 1, n - 1.0, 1, 0.0, 0.5), n: (n - 2, n - 2.5, 1, 0.5, 1.0),
+    }
+    short = {r.node: (r.parent, r.branch_length) for r in T.without_relays(chain(spark, 50, [("t", 50, 20, 0.5, "side")])).collect()}
+    assert short == {0: (None, 0.0), 20: (0, 20.0), 49: (20, 29.0), 50: (20, 0.5)}
+
+
+def test_sums_equal_walks_on_random_trees(spark):
+    import random
+
+    rng = random.Random(4)
+    parent = {(t, i): rng.randrange(max(0, i - 1 - 9 * t), i) if i > t else None for t in range(3) for i in range(60)}
+    rows = [(f"t{t}", i, p, float(i)) for (t, i), p in parent.items()]
+    df = spark.createDataFrame(rows, "tree string, node bigint, parent bigint, x double")
+    up, down = {}, {}
+    for t, i in parent:
+        at = i
+        while at is not None:
+            up[t, at] = up.get((t, at), 0) + i
+            down[t, i] = down.get((t, i), 0) + at
+            top, at = at, parent[t, at]
+        up["top", t, i] = top
+    got = T.tree_sums(df, {"u": df["x"]}, {"d": df["x"]}).collect()
+    assert len(got) == len(parent)
+    for r in got:
+        t = int(r.tree[1:])
+        assert (r.u, r.d, r.top) == (up[t, r.node], down[t, r.node], up["top", t, r.node])
+
+
+def test_circle_is_an_error(spark):
+    rows = [("t", 1, None, 1.0), ("t", 2, 4, 1.0), ("t", 3, 2, 1.0), ("t", 4, 3, 1.0)]
+    with pytest.raises(ValueError, match="circle"):
+        T.tree_sums(spark.createDataFrame(rows, "tree string, node bigint, parent bigint, x double"))
+
+
+def test_pure_clades(spark, nodes):
     ids = {r.name: r.node for r in nodes.collect() if r.name}
     traits = spark.createDataFrame([("t", ids[n], v) for n, v in zip("abcdef", (1, 1, 2, 2, 1, 2))], "tree string, node bigint, trait int")
-    marks = {r.node: r.mark for r in T.pure_clades(nodes, anc, traits).collect()}
+    marks = {r.node: r.mark for r in T.pure_clades(nodes, traits).collect()}
     inner = {r.support: r.node for r in nodes.collect() if r.support}
     assert marks[inner["0.9"]] == 1 and marks[inner["x"]] == 2 and marks[ids["e"]] == 1 and marks[ids["a"]] == 0
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from torsia.functions import densities as den
 from torsia.operators import scoring as ops
-from torsia.operators import trees as trees_ops
 from torsia.operators.columns import LETTER_LIST, transitions
 from torsia.session import cut
 
@@ -181,10 +180,9 @@ def _up(level: str, name: str) -> str:
 )
 def _(spark, sf):
     nodes = cut(tree_nodes(spark, sf))
-    anc = trees_ops.ancestors(nodes)
     letter = F.when(F.col("aa").isin("-", "X"), "?").when(F.col("aa") <= "L", "A").otherwise("C")
     cells = sites(spark, sf).select(F.lit("t").alias("tree"), (F.col("protein") + 1000000000).alias("node"), "col", letter.alias("aa"))
     freqs = np.array([0.5, 0.5])
     eigen = ops.rate_eigen(np.ones((2, 2)), freqs)
-    out = ops.tree_site_loglik(nodes, anc, cells, "AC", eigen, freqs, _RATES)
+    out = ops.tree_site_loglik(nodes, cells, "AC", eigen, freqs, _RATES)
     return out.select("col", F.round("loglik", 4).alias("loglik"))

@@ -64,11 +64,11 @@ def _(spark, sf):
     SELECT 't' AS tree, round(sum(branch_length), 4) AS length FROM nodes WHERE node IN (FROM u)""",
 )
 def _(spark, sf):
-    nodes, anc = _tree(spark, sf)
+    nodes = cut(tree_nodes(spark, sf))
     chosen = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(
         F.lit("t").alias("tree"), (F.col("o_orderkey") + 1000000000).alias("node")
     )
-    return ops.spanned_length(nodes, anc, chosen).withColumn("length", F.round("length", 4))
+    return ops.spanned_length(nodes, chosen).withColumn("length", F.round("length", 4))
 
 
 @query(
@@ -144,8 +144,8 @@ def _(spark, sf):
       round(before / (SELECT n FROM t), 6) + 0.0 AS lower, round((before + leaves) / (SELECT n FROM t), 6) + 0.0 AS upper FROM s JOIN p ON p.node = s.node""",
 )
 def _(spark, sf):
-    nodes, anc = _tree(spark, sf)
-    out = ops.tree_layout(nodes, anc, rows_per_block=50)
+    nodes = cut(tree_nodes(spark, sf))
+    out = ops.tree_layout(nodes, rows_per_block=50)
     return out.select(
         "node", "depth", r6(F.col("root_distance"), 9).alias("root_distance"), "leaves", "child_no",
         r6(F.col("lower")).alias("lower"), r6(F.col("upper")).alias("upper"),
@@ -175,12 +175,12 @@ def _(spark, sf):
     FROM f LEFT JOIN f p ON p.node = f.parent""",
 )
 def _(spark, sf):
-    nodes, anc = _tree(spark, sf)
+    nodes = cut(tree_nodes(spark, sf))
     traits = table(spark, sf, "orders").select(
         F.lit("t").alias("tree"), (F.col("o_orderkey") + 1000000000).alias("node"),
         F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).alias("trait"),
     )
-    return ops.pure_clades(nodes, anc, traits).select("node", "n1", "n2", "mark")
+    return ops.pure_clades(nodes, traits).select("node", "n1", "n2", "mark")
 
 
 @query(

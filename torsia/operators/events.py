@@ -170,23 +170,78 @@ def expanding_tail(trace: DataFrame, keys: Sequence[str] = ("run", "param"), par
     )
 
 
-def expanding_median(trace: DataFrame, keys: Sequence[str] = ("run", "param"), at: Sequence[int] = (), parts: int = 2,
-                     rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Median of the kept tail at the given iterations counted from 1.
+#: Digits of a rank: 16 values each.
+DIGIT_BITS = 4
+
+
+def _same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on columns of one name, nulls included; the right ones go."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in right.columns if c not in on])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(named, cond, how).drop(*[f"_r_{c}" for c in on])
 
-    A median has no running form, so it is worked out where it is reported:
-    each row goes to the report points whose tail holds it.
+
+def expanding_median(trace: DataFrame, keys: Sequence[str] = ("run", "param"), parts: int = 2,
+                     rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """(keys, iter, n, median): median at each iteration i of the tail kept so far, rows max(1, i div parts) to i.
+
+    Order statistics of a sliding range by the digits of ranks. Each value has its
+    rank within the trace. The values whose ranks share their leading digits form a
+    node, in the order of the trace, and each row of a node knows how many up to it
+    have which next digit. An iteration asks a node with a stretch of its rows: the
+    counts at both ends tell the next digit of the wanted rank, and which stretch of
+    the node below to go on with. So all iterations walk down together, two
+    equi-joins a digit; no row is copied to the iterations whose tail holds it.
+
+    Null values count as rows of the trace and are no value; a tail without values
+    has a null median. ``n`` counts rows.
     """
-    placed = numbered(trace, keys, "iter", "_i", rows_per_block)
-    ends = F.array(*[F.lit(a).cast("bigint") for a in at])
-    inside = F.filter(
-        ends, lambda e: (e >= F.col("_i")) & (F.greatest(F.lit(1), F.floor(e / parts)) <= F.col("_i"))
-    )
-    spread = placed.withColumn("at", F.explode(inside))
-    by = [*keys, "at"]
-    # Only points that a trace has reached are reported.
-    reached = spread.groupBy(*by).agg(F.max("_i").alias("_last")).filter("_last = at").drop("_last")
-    return exact_percentiles(spread, by, "value", {"median": 0.5}, rows_per_block).join(reached, by, "left_semi")
+    keys = list(keys)
+    rows = trace.select(*keys, "iter", "value")
+    placed = cut(running(rows, keys, "iter", {"_i": ("count", F.lit(1)), "_c": ("count", F.col("value"))}, rows_per_block))
+    known = placed.filter("value is not null").select(*keys, "_c", "value")
+    ranked = cut(numbered(known, keys, ["value", "_c"], "_rank", rows_per_block).withColumn("_rank", F.col("_rank") - 1))
+    most = ranked.agg(F.max("_rank")).head()[0] or 0
+    before = placed.select(*keys, (F.col("_i") + 1).alias("_start"), F.col("_c").alias("_from"))
+    start = F.greatest(F.lit(1), F.floor(F.col("_i") / parts)).cast("bigint")
+    tails = _same(placed.withColumn("_start", start), before, [*keys, "_start"], "left")
+    tails = cut(tails.select(
+        *keys, "iter", "_i", (F.col("_i") - F.col("_start") + 1).alias("n"), F.coalesce("_from", F.lit(0)).alias("_from"), F.col("_c").alias("_to")
+    ))
+    values = F.col("_to") - F.col("_from")
+    # The middle one, or the two middle ones, counted from 0.
+    middle = F.array_distinct(F.array(F.floor((values - 1) / 2), F.floor(values / 2)))
+    asked = tails.filter("_to > _from").select(*keys, "_i", "_from", "_to", F.lit(0).cast("bigint").alias("_node"), F.explode(middle).alias("_k"))
+    size = 1 << DIGIT_BITS
+    for level in range(max(1, -(-int(most).bit_length() // DIGIT_BITS)) - 1, -1, -1):
+        digit = F.shiftright("_rank", DIGIT_BITS * level).bitwiseAND(size - 1)
+        node = ranked.select(*keys, "_c", F.shiftright("_rank", DIGIT_BITS * (level + 1)).alias("_node"), digit.alias("_digit"))
+        counts = {f"_{d}": ("sum", (F.col("_digit") == d).cast("bigint")) for d in range(size)}
+        here = running(node, [*keys, "_node"], "_c", {"_at": ("count", F.lit(1)), **counts}, rows_per_block)
+        here = cut(here.select(*keys, "_node", "_at", F.array(*counts).alias("_upto")))
+        ends = asked
+        for end in ("_from", "_to"):
+            side = here.withColumnsRenamed({"_at": end, "_upto": f"{end}_upto"})
+            ends = _same(ends, side, [*keys, "_node", end], "left")
+        none = F.array_repeat(F.lit(0).cast("bigint"), size)
+        ends = ends.withColumns({c: F.coalesce(c, none) for c in ("_from_upto", "_to_upto")})
+        inside = F.zip_with("_to_upto", "_from_upto", lambda b, a: b - a)
+        # Passes the digits whose values all lie before the wanted one.
+        walk = F.aggregate(
+            inside,
+            F.struct(F.lit(0).alias("d"), F.col("_k").alias("k"), F.lit(False).alias("found")),
+            lambda acc, x: F.when(acc["found"], acc).when(acc["k"] < x, F.struct(acc["d"].alias("d"), acc["k"].alias("k"), F.lit(True).alias("found")))
+            .otherwise(F.struct((acc["d"] + 1).alias("d"), (acc["k"] - x).alias("k"), F.lit(False).alias("found"))),
+        )
+        asked = ends.withColumn("_w", walk).select(
+            *keys, "_i", F.get("_from_upto", F.col("_w")["d"]).alias("_from"), F.get("_to_upto", F.col("_w")["d"]).alias("_to"),
+            (F.col("_node") * size + F.col("_w")["d"]).alias("_node"), F.col("_w")["k"].alias("_k"),
+        )
+    found = _same(asked.select(*keys, "_i", F.col("_node").alias("_rank")), ranked.select(*keys, "_rank", "value"), [*keys, "_rank"], "inner")
+    medians = found.groupBy(*keys, "_i").agg(F.avg("value").alias("median"))
+    return _same(tails, medians, [*keys, "_i"], "left").select(*keys, "iter", "n", "median")
 
 
 def running_rate(trace: DataFrame, keys: Sequence[str], accepted: str = "accepted",

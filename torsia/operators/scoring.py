@@ -15,6 +15,7 @@ from torsia.session import cut
 
 from .columns import is_residue
 from .ordered import ROWS_PER_BLOCK, neighbour
+from .trees import tree_sums, without_relays
 
 NEG_INF = float("-inf")
 
@@ -386,7 +387,7 @@ def rate_eigen(rates: np.ndarray, freqs: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def tree_site_loglik(
-    nodes: DataFrame, anc: DataFrame, cells: DataFrame, letters: str,
+    nodes: DataFrame, cells: DataFrame, letters: str,
     eigen: tuple[np.ndarray, np.ndarray, np.ndarray], freqs: Sequence[float], rates: Sequence[float] = (1.0,),
 ) -> DataFrame:
     """(tree, col, loglik) of leaf letters ``cells(tree, node, col, aa)``.
@@ -395,12 +396,14 @@ def tree_site_loglik(
     scores of all letters of a (node, column, rate class); messages of children
     are added in logs by plain sums, which aggregate partially. A letter that
     is not one of ``letters`` counts as unknown. The transition matrix of a
-    branch is worked out in its node row from the one eigen system.
+    branch is worked out in its node row from the one eigen system. Inner nodes
+    of one child are left out first, their branches added up.
     """
     s = len(letters)
     left, values, right = eigen
-    depth = cut(anc.groupBy("tree", "node").agg(F.max("steps").alias("depth")))
-    placed = cut(nodes.join(depth, ["tree", "node"]).select("tree", "node", "parent", "branch_length", "depth"))
+    short = cut(without_relays(nodes))
+    depth = tree_sums(short, {}, {"depth": F.col("parent").isNotNull().cast("int")})
+    placed = cut(short.join(depth, ["tree", "node"]).select("tree", "node", "parent", "branch_length", "depth"))
     deepest = placed.agg(F.max("depth")).head()[0]
     classes = F.array(*[F.struct(F.lit(i).alias("cls"), F.lit(float(r)).alias("rate")) for i, r in enumerate(rates)])
     hit = [F.when((F.col("aa") == a) | ~F.col("aa").isin(*letters), 0.0).otherwise(NEG_INF) for a in letters]

@@ -1,14 +1,15 @@
 """Phylogenies as node tables: (tree, node, parent, branch_length, name, child_no).
 
-The closure (tree, node, anc, steps, length) is the base of most operators. It
-has one row per node and ancestor, made in log2(depth) joins.
+Sums over subtrees and over paths to the root come from ``tree_sums``: rows as many
+as nodes, in log2(depth) rounds. Operators on pairs use the closure (tree, node,
+anc, steps, length), one row per node and ancestor, made in as many joins.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torsia.session import cut
@@ -93,6 +94,68 @@ def ancestors(nodes: DataFrame, with_self: bool = True) -> DataFrame:
     return out
 
 
+def tree_sums(nodes: DataFrame, up: dict[str, Column] = {}, down: dict[str, Column] = {}) -> DataFrame:
+    """(tree, node, top, names of up and down): sums over each node's subtree and over its path to the root.
+
+    Both hold the node itself; ``top`` is the root that it hangs from. Every round
+    doubles the reach: a node knows its ancestor 2^k steps up, the ``down`` values of
+    the 2^k nodes on the way there, and the ``up`` values of all nodes less than 2^k
+    steps below. What lies twice as far is what the ancestor knows of its own way,
+    and what those 2^k steps below know of theirs. So no round has more rows than
+    there are nodes, whatever the shape, and nodes that have reached the root rest.
+    """
+    state = cut(nodes.select(*KEY, F.col("parent").alias("_at"), F.col("node").alias("top"),
+                             *[c.alias(n) for n, c in {**up, **down}.items()]))
+    total, span = state.count(), 1
+    while True:
+        front = state.filter("_at is not null")
+        if front.isEmpty():
+            return state.drop("_at")
+        if span > total:
+            raise ValueError("the parents form a circle")
+        above = state.select("tree", F.col("node").alias("_at"), F.col("_at").alias("_next"), F.col("top").alias("_top"),
+                             *[F.col(n).alias(f"_m_{n}") for n in down])
+        moved = front.join(above, ["tree", "_at"], "left").select(
+            *KEY, F.col("_next").alias("_at"), F.coalesce("_top", "_at").alias("top"), *up,
+            *[(F.col(n) + F.coalesce(f"_m_{n}", F.lit(0))).alias(n) for n in down],
+        )
+        new = moved.unionByName(state.filter("_at is null"))
+        if up:
+            gained = front.groupBy("tree", F.col("_at").alias("node")).agg(*[F.sum(n).alias(f"_g_{n}") for n in up])
+            new = new.join(gained, KEY, "left").select(
+                *KEY, "_at", "top", *[(F.col(n) + F.coalesce(f"_g_{n}", F.lit(0))).alias(n) for n in up], *down
+            )
+        state = cut(new)
+        span *= 2
+
+
+def with_children(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``_kids``, the number of children."""
+    kids = nodes.filter("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_kids"))
+    return nodes.join(kids, KEY, "left").withColumn("_kids", F.coalesce("_kids", F.lit(0)))
+
+
+def without_relays(nodes: DataFrame) -> DataFrame:
+    """Nodes (tree, node, parent, branch_length) without inner nodes of one child, whose branch goes to the child.
+
+    The root stays. A run of such nodes, however long, is passed in a logarithmic
+    number of rounds.
+    """
+    counted = cut(with_children(nodes.select(*KEY, "parent", "branch_length")))
+    relay = (F.col("_kids") == 1) & F.col("parent").isNotNull()
+    if counted.filter(relay).isEmpty():
+        return counted.drop("_kids")
+    links = counted.withColumn("parent", F.when(relay, F.col("parent")))
+    runs = tree_sums(links, {}, {"_run": F.when(relay, F.col("branch_length")).otherwise(0.0)})
+    above = runs.select("tree", F.col("node").alias("parent"), F.col("top").alias("_up"), "_run")
+    kept = counted.filter(~relay)
+    return kept.filter("parent is null").drop("_kids").unionByName(
+        kept.filter("parent is not null").join(above, ["tree", "parent"]).select(
+            *KEY, F.col("_up").alias("parent"), (F.col("branch_length") + F.col("_run")).alias("branch_length")
+        )
+    )
+
+
 def leaves(nodes: DataFrame) -> DataFrame:
     """Nodes that are nobody's parent."""
     inner = nodes.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
@@ -135,9 +198,11 @@ def pair_support(nodes: DataFrame, anc: DataFrame, pairs: DataFrame) -> DataFram
     )
 
 
-def spanned_length(nodes: DataFrame, anc: DataFrame, chosen: DataFrame) -> DataFrame:
+def spanned_length(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """Total length of the branches from the chosen leaves to the root, each counted once."""
-    used = anc.join(chosen.select(*KEY).distinct(), KEY).select("tree", F.col("anc").alias("node")).distinct()
+    marks = chosen.select(*KEY).distinct().withColumn("_chosen", F.lit(1).cast("bigint"))
+    marked = nodes.join(marks, KEY, "left").withColumn("_chosen", F.coalesce("_chosen", F.lit(0)))
+    used = tree_sums(marked, {"_n": F.col("_chosen")}).filter("_n > 0").select(*KEY)
     return nodes.join(used, KEY).groupBy("tree").agg(F.sum("branch_length").alias("length"))
 
 
@@ -221,25 +286,28 @@ def prune(nodes: DataFrame, anc: DataFrame, keep: DataFrame) -> DataFrame:
     )
 
 
-def tree_layout(nodes: DataFrame, anc: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def tree_layout(nodes: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """depth, distance to root, leaves below, child number and vertical interval per node.
 
     Children share their parent's interval by leaf count, so a node's share is
     leaves / all leaves, and its lower end the leaves of all earlier siblings
     along the path to the root.
     """
-    tips = leaves(nodes).select(*KEY)
-    below = anc.join(tips, KEY).groupBy("tree", F.col("anc").alias("node")).agg(F.count(F.lit(1)).alias("leaves"))
+    inner = F.col("parent").isNotNull()
+    marked = cut(with_children(nodes.select(*KEY, "parent", "branch_length", "name"))).withColumn("_tip", (F.col("_kids") == 0).cast("bigint"))
+    sums = tree_sums(
+        marked,
+        {"leaves": F.col("_tip")},
+        {"depth": inner.cast("bigint"), "root_distance": F.when(inner, F.col("branch_length")).otherwise(0.0)},
+    ).drop("top")
     # Read by the size check, the scan and its summary: written once.
-    kids = cut(nodes.join(below, KEY).select("tree", "node", "parent", "branch_length", "name", "leaves"))
-    ordered = running(
+    kids = cut(marked.select(*KEY, "parent", "name").join(sums, KEY))
+    ordered = cut(running(
         kids, ["tree", "parent"], "node", {"_upto": ("sum", F.col("leaves")), "child_no": ("count", F.lit(1))}, rows_per_block
-    ).withColumn("_earlier", F.when(F.col("parent").isNull(), 0).otherwise(F.col("_upto") - F.col("leaves")))
-    place = ordered.select("tree", F.col("node").alias("anc"), "_earlier")
-    path = anc.join(place, ["tree", "anc"]).groupBy(*KEY).agg(
-        F.sum("_earlier").alias("_before"), F.max("steps").alias("depth"), F.max("length").alias("root_distance")
-    )
-    total = tips.groupBy("tree").agg(F.count(F.lit(1)).alias("_all"))
+    ))
+    earlier = F.when(F.col("parent").isNull(), 0).otherwise(F.col("_upto") - F.col("leaves"))
+    path = tree_sums(ordered, {}, {"_before": earlier}).select(*KEY, "_before")
+    total = marked.groupBy("tree").agg(F.sum("_tip").alias("_all"))
     lower = F.col("_before") / F.col("_all")
     upper = (F.col("_before") + F.col("leaves")) / F.col("_all")
     return ordered.join(path, KEY).join(total, "tree").select(
@@ -260,17 +328,18 @@ def branch_scaling(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.withColumn("ratio", F.col("share_b") / F.nullif(F.col("share_a"), F.lit(0.0)))
 
 
-def pure_clades(nodes: DataFrame, anc: DataFrame, traits: DataFrame) -> DataFrame:
+def pure_clades(nodes: DataFrame, traits: DataFrame) -> DataFrame:
     """Counts of traits 1 and 2 below each node, and ``mark``: the trait of a clade's top node.
 
     A node tops a clade when all its traits agree and its parent's do not.
     ``traits(tree, node, trait)`` for leaves. Leaves without trait do not count.
     """
-    t = anc.join(traits.filter(F.col("trait").isin(1, 2)), KEY)
-    counts = t.groupBy("tree", F.col("anc").alias("node")).agg(
-        F.sum((F.col("trait") == 1).cast("bigint")).alias("n1"), F.sum((F.col("trait") == 2).cast("bigint")).alias("n2")
+    own = traits.filter(F.col("trait").isin(1, 2)).groupBy(*KEY).agg(
+        *[F.sum((F.col("trait") == k).cast("bigint")).alias(f"n{k}") for k in (1, 2)]
     )
-    full = nodes.select("tree", "node", "parent").join(counts, KEY, "left").na.fill(0, ["n1", "n2"])
+    marked = nodes.select(*KEY, "parent").join(own, KEY, "left").na.fill(0, ["n1", "n2"])
+    sums = tree_sums(marked, {"n1": F.col("n1"), "n2": F.col("n2")}).drop("top")
+    full = nodes.select(*KEY, "parent").join(sums, KEY)
     up = full.select("tree", F.col("node").alias("parent"), ((F.col("n1") > 0) & (F.col("n2") > 0)).alias("_mixed"))
     pure = (F.col("n1") == 0) | (F.col("n2") == 0)
     top = pure & F.coalesce(F.col("_mixed"), F.lit(False))
