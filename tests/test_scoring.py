@@ -88,7 +88,7 @@ def test_viterbi_is_the_best_string(spark):
     rng = random.Random(4)
     draws = ["".join(rng.choice("ACD") for _ in range(6)) for _ in range(15)]
     rows = [("p", i, c, a) for i, s in enumerate(draws) for c, a in enumerate(s, 1)]
-    got = S.chain_viterbi(spark.createDataFrame(rows, "protein string, iter bigint, col bigint, aa string"), rows_per_block=20).head().sequence
+    got = S.chain_viterbi(spark.createDataFrame(rows, "protein string, iter bigint, col bigint, aa string")).head().sequence
 
     def prob(s):
         p = sum(d[0] == s[0] for d in draws) / len(draws)
@@ -101,6 +101,21 @@ def test_viterbi_is_the_best_string(spark):
     assert len(got) == 6 and abs(prob(got) - best) < 1e-12
 
 
+def test_viterbi_across_gaps(spark):
+    def best(draws):
+        rows = [(k, i, c, a) for k, own in draws.items() for i, d in enumerate(own) for c, a in enumerate(d, 3) if a != " "]
+        got = S.chain_viterbi(spark.createDataFrame(rows, "protein string, iter bigint, col bigint, aa string").repartition(3))
+        return {r.protein: r.sequence for r in got.collect()}
+
+    draws = {
+        "gap": ["A-DE"] * 3 + ["ACDE"], "one": ["C"], "tie": ["CA", "AC"], "odd": ["AX?", "AX?"],
+        "missing": ["AC D", "AC D", "ACDD"], "long": ["ACDEFGHIKLMNP" * 5] * 2 + ["-" * 65],
+    }
+    assert best(draws) == {
+        "gap": "A-DE", "one": "C", "tie": "CA", "odd": "A--", "missing": "AC-D", "long": "ACDEFGHIKLMNP" * 5,
+    }
+
+
 def test_tree_score_against_sum_over_states(spark):
     nodes = T.newick_nodes(spark.createDataFrame([("t", "((a:0.1,b:0.4):0.3,c:0.7);")], "tree string, newick string"))
     anc = T.ancestors(nodes)

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from torsia.functions import densities as den
+from torsia.functions.letters import RESIDUES
 from torsia.operators import scoring as ops
 from torsia.operators.columns import LETTER_LIST, transitions
 from torsia.session import cut
@@ -136,10 +137,25 @@ def _(spark, sf):
     return out.select("family", "protein", "col", r6(F.col("posterior")[0]).alias("p0"))
 
 
-@query("chain_viterbi")
+@query(
+    "chain_viterbi",
+    f"""WITH RECURSIVE {SITES}, s AS (SELECT family, protein, col, CASE WHEN instr('{RESIDUES}', aa) > 0 THEN instr('{RESIDUES}', aa) - 1 ELSE 20 END AS s FROM sites),
+      span AS (SELECT family, min(col) AS lo, max(col) AS hi FROM s GROUP BY family),
+      g AS MATERIALIZED (SELECT family, protein, col, coalesce(s, 20) AS s FROM (SELECT family, protein, unnest(range(lo, hi + 1)) AS col
+        FROM (SELECT DISTINCT family, protein FROM s) JOIN span USING (family)) LEFT JOIN s USING (family, protein, col)),
+      c AS (SELECT family, b.col, coalesce(a.s, 21) AS f, b.s AS t, count(*) AS n FROM g b LEFT JOIN g a USING (family, protein)
+        WHERE a.col = b.col - 1 GROUP BY ALL
+        UNION ALL SELECT family, col, 21, s, count(*) FROM g JOIN span USING (family) WHERE col = lo GROUP BY ALL),
+      m AS MATERIALIZED (SELECT family, col, f, t, CAST(round(ln(n / sum(n) OVER (PARTITION BY family, col, f)) * {ops.SCORE_UNIT}) AS BIGINT) AS lp FROM c),
+      v AS (SELECT family, col, t, {{'s': lp, 'b': -21}} AS w FROM m WHERE f = 21
+        UNION ALL SELECT family, m.col, m.t, max({{'s': v.w.s + lp, 'b': -m.f}}) FROM v JOIN m USING (family) WHERE m.col = v.col + 1 AND m.f = v.t GROUP BY family, m.col, m.t),
+      e AS (SELECT family, col, -(max({{'s': w.s, 'b': -t}})).b AS t FROM v JOIN span USING (family) WHERE col = hi GROUP BY family, col),
+      p AS (SELECT family, col, t FROM e UNION ALL SELECT p.family, v.col - 1, -v.w.b FROM p JOIN v ON v.family = p.family AND v.col = p.col AND v.t = p.t WHERE v.w.b > -21)
+    SELECT family, string_agg(substr('{RESIDUES}-', CAST(t + 1 AS INT), 1), '' ORDER BY col) AS sequence FROM p GROUP BY family""",
+)
 def _(spark, sf):
     draws = sites(spark, sf).select("family", F.col("protein").alias("iter"), "col", "aa")
-    return ops.chain_viterbi(draws, ["family"], rows_per_block=100_000)
+    return ops.chain_viterbi(draws, ["family"])
 
 
 _SQ = ", ".join(

@@ -14,7 +14,7 @@ from torsia.functions.letters import RESIDUES
 from torsia.session import cut
 
 from .columns import is_residue
-from .ordered import ROWS_PER_BLOCK, neighbour
+from .ordered import numbered
 from .trees import tree_sums, without_relays
 
 NEG_INF = float("-inf")
@@ -219,47 +219,45 @@ def hmm_posterior(
     """(family, protein, col, posterior): probability of each state per column.
 
     Forward vectors enter a block from the left and backward vectors from the
-    right; both come from the block matrices. Within a block two short folds
-    keep every column.
+    right; both come from the block matrices, multiplied two by two until one is
+    left, and handed down again the same way, in a logarithmic number of rounds with
+    one block to a row. Within a block two short folds keep every column.
     """
     s = len(initial)
     t_cols = F.array(*[_const([transition[i][j] for i in range(s)]) for j in range(s)])
     t_rows = F.array(*[_const(r) for r in transition])
     blocks = cut(_block_matrices(_blocks(e, width), transition, initial))
-    per = blocks.groupBy("family", "protein").agg(F.array_sort(F.collect_list(F.struct("block", "m"))).alias("ms"))
+    chain = ["family", "protein"]
 
     def unit(v: Column) -> Column:
         top = F.array_max(v)
         return F.transform(v, lambda x: x / top)
 
-    ones = _const([1.0] * s)
-    # Vector that enters each block: the initial one, then the product so far.
-    enter = F.aggregate(
-        "ms",
-        F.struct(F.array().cast("array<array<double>>").alias("list"), _const(initial).alias("v"), F.lit(True).alias("first")),
-        lambda acc, x: F.struct(
-            F.concat(acc["list"], F.array(acc["v"])).alias("list"),
-            F.when(acc["first"], x["m"]["rows"][0]).otherwise(unit(_times(acc["v"], _columns_of(x["m"]["rows"], s)))).alias("v"),
-            F.lit(False).alias("first"),
-        ),
-        lambda acc: acc["list"],
-    )
-    # Backward vector at the end of each block, from the last block on. The first
-    # block's matrix is one row and is never needed here.
-    leave = F.aggregate(
-        F.reverse("ms"),
-        F.struct(F.array().cast("array<array<double>>").alias("list"), ones.alias("v")),
-        lambda acc, x: F.struct(
-            F.concat(F.array(acc["v"]), acc["list"]).alias("list"),
-            F.when(F.size(x["m"]["rows"]) == s, unit(F.transform(x["m"]["rows"], lambda r: _dot(r, acc["v"])))).otherwise(ones).alias("v"),
-        ),
-        lambda acc: acc["list"],
-    )
-    ends = per.select("family", "protein", "ms", enter.alias("_in"), leave.alias("_out")).select(
-        "family", "protein", F.posexplode(F.arrays_zip(F.col("ms"), F.col("_in"), F.col("_out"))).alias("_i", "_z")
-    ).select(
-        "family", "protein", F.col("_z")["ms"]["block"].alias("block"), F.col("_z")["_in"].alias("_in"), F.col("_z")["_out"].alias("_out")
+    placed = numbered(blocks.select(*chain, "block", F.col("m")["rows"].alias("rows")), chain, "block", "_no")
+    placed = cut(placed.withColumn("b", F.col("_no") - 1).drop("_no"))
+    levels, most = [placed.select(*chain, "b", "rows")], placed.agg(F.max("b")).head()[0] or 0
+    while most > 0:
+        left, right = _halves(levels[-1], chain)
+        rows = F.when(F.col("_right").isNull(), F.col("_left")).otherwise(
+            _scaled(F.transform("_left", lambda r: _times(r, _columns_of(F.col("_right"), s))), F.lit(0.0))["rows"]
+        )
+        levels.append(cut(left.join(right, [*chain, "b"], "left").select(*chain, "b", rows.alias("rows"))))
+        most //= 2
+    ends = placed.select(*chain).distinct().select(
+        *chain, F.lit(0).cast("bigint").alias("b"), _const(initial).alias("_in"), _const([1.0] * s).alias("_out")
     )
+    for level in levels[-2::-1]:
+        left, right = _halves(level, chain)
+        both = ends.join(left, [*chain, "b"]).join(right, [*chain, "b"], "left")
+        # The first block's matrix is one row, the initial vector carried through it.
+        after_left = unit(F.when(F.col("b") == 0, F.col("_left")[0]).otherwise(_times(F.col("_in"), _columns_of(F.col("_left"), s))))
+        before_right = unit(F.transform("_right", lambda r: _dot(r, F.col("_out"))))
+        kids = F.array(
+            F.struct((2 * F.col("b")).alias("b"), F.col("_in"), F.coalesce(before_right, F.col("_out")).alias("_out")),
+            F.when(F.col("_right").isNotNull(), F.struct((2 * F.col("b") + 1).alias("b"), after_left.alias("_in"), F.col("_out"))),
+        )
+        ends = cut(both.select(*chain, F.explode(kids).alias("_k")).filter("_k is not null").select(*chain, "_k.*"))
+    ends = ends.join(placed.select(*chain, "block", "b"), [*chain, "b"]).drop("b")
     j = blocks.select("family", "protein", "block", "_first", "cells").join(ends, ["family", "protein", "block"])
 
     def weights(cell: Column) -> Column:
@@ -293,65 +291,95 @@ def hmm_posterior(
     )
 
 
+def _halves(level: DataFrame, chain: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Matrices of even and of odd blocks, under the number of the block that both make."""
+    pair = F.floor(F.col("b") / 2).alias("b")
+    left = level.filter(F.col("b") % 2 == 0).select(*chain, pair, F.col("rows").alias("_left"))
+    return left, level.filter(F.col("b") % 2 == 1).select(*chain, pair, F.col("rows").alias("_right"))
+
+
 def _keep(acc: Column, v: Column) -> Column:
     return F.struct(F.concat(acc["list"], F.array(v)).alias("list"), v.alias("v"), F.lit(True).alias("move"))
 
 
-def chain_viterbi(samples: DataFrame, keys: Sequence[str] = ("protein",), rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Most probable string per key, from the draws' start and column-to-column shares.
+#: Logs of shares are summed as whole numbers of this part, so equal products tie exactly.
+SCORE_UNIT = 1 << 30
+#: States of a chain: the residues in order, a gap, and what stands before the first column.
+GAP_STATE, BEFORE = len(RESIDUES), len(RESIDUES) + 1
+
+
+def chain_moves(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, b, n, f, t, lp): scores of the moves into column b of n, from what the draws do; b counts from 0.
 
-    ``samples(keys, iter, col, aa)``. The draws are first reduced to counts of
-    (column, letter, next letter), at most 400 rows per column; only those are
-    folded. Ties go to the first letter.
+    Only columns next to each other are joined: a letter that is no residue, and a
+    column that a draw doesn't have, is a gap, a state like any other.
     """
     keys = list(keys)
-    index = (F.instr(F.lit(RESIDUES), F.col("aa")) - 1).alias("f")
-    letters = samples.filter(is_residue(F.col("aa"))).select(*keys, "iter", "col", index)
-    steps = neighbour(letters, [*keys, "iter"], "col", {"t": "f"}, 1, rows_per_block).filter("t is not null")
-    counts = cut(steps.groupBy(*keys, "col", "f", "t").agg(F.count(F.lit(1)).alias("n")))
-    outgoing = counts.groupBy(*keys, "col", "f").agg(F.sum("n").alias("_n"))
-    moves = (
-        counts.join(outgoing, [*keys, "col", "f"])
-        .groupBy(*keys, "col")
-        .agg(F.collect_list(F.struct("f", "t", F.ln(F.col("n") / F.col("_n")).alias("lp"))).alias("moves"))
+    state = F.when(is_residue(F.col("aa")), F.instr(F.lit(RESIDUES), F.col("aa")) - 1).otherwise(GAP_STATE)
+    seen = samples.groupBy(*keys, "iter", "col").agg(F.min(state).alias("s"))
+    span = seen.groupBy(*keys).agg(F.min("col").alias("_lo"), (F.max("col") - F.min("col") + 1).alias("n"))
+    draws = seen.select(*keys, "iter").distinct().join(span, keys)
+    grid = draws.select(*keys, "iter", "n", "_lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("b"))
+    full = cut(
+        grid.withColumn("col", F.col("_lo") + F.col("b")).join(seen, [*keys, "iter", "col"], "left")
+        .select(*keys, "iter", "n", "b", F.coalesce("s", F.lit(GAP_STATE)).alias("s"))
     )
-    lowest = letters.groupBy(*keys).agg(F.min("col").alias("_lo"))
-    starts = letters.join(lowest, keys).filter("col = _lo").groupBy(*keys, "f").agg(F.count(F.lit(1)).alias("n"))
-    total = starts.groupBy(*keys).agg(F.sum("n").alias("_n"))
-    begin = starts.join(total, keys).groupBy(*keys).agg(
-        F.collect_list(F.struct("f", F.ln(F.col("n") / F.col("_n")).alias("lp"))).alias("begin")
-    )
-    chains = begin.join(
-        moves.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col", "moves"))).alias("chain")), keys, "left"
-    )
-    all20 = F.sequence(F.lit(0), F.lit(19))
-
-    def score_of(rows: Column, wanted: Column) -> Column:
-        hit = F.filter(rows, lambda r: r["f"] == wanted)
-        return F.when(F.size(hit) > 0, F.try_element_at(hit, F.lit(1))["lp"]).otherwise(NEG_INF)
-
-    def advance(acc: Column, x: Column) -> Column:
-        options = F.transform(all20, lambda t: F.array_max(F.transform(
-            F.filter(x["moves"], lambda m: m["t"] == t),
-            lambda m: F.struct((F.get(acc["score"], m["f"]) + m["lp"]).alias("s"), (-m["f"]).alias("b")),
-        )))
-        # One lambda over a one-element list keeps the options from being worked out twice.
-        return F.transform(F.array(options), lambda o: F.struct(
-            F.transform(o, lambda v: F.coalesce(v["s"], F.lit(NEG_INF))).alias("score"),
-            F.concat(acc["back"], F.array(F.transform(o, lambda v: F.coalesce(-v["b"], F.lit(0))))).alias("back"),
-        ))[0]
-
-    first = F.struct(
-        F.transform(all20, lambda i: score_of(F.col("begin"), i)).alias("score"), F.array().cast("array<array<int>>").alias("back")
+    before = full.select(*keys, "iter", (F.col("b") + 1).alias("b"), F.col("s").alias("f"))
+    moves = full.withColumnRenamed("s", "t").join(before, [*keys, "iter", "b"], "left").withColumn("f", F.coalesce("f", F.lit(BEFORE)))
+    counts = moves.groupBy(*keys, "n", "b", "f", "t").agg(F.count(F.lit(1)).alias("_c"))
+    out = counts.groupBy(*keys, "b", "f").agg(F.sum("_c").alias("_all"))
+    lp = F.round(F.ln(F.col("_c") / F.col("_all")) * SCORE_UNIT).cast("bigint")
+    return counts.join(out, [*keys, "b", "f"]).select(*keys, "b", "n", "f", "t", lp.alias("lp"))
+
+
+def chain_viterbi(samples: DataFrame, keys: Sequence[str] = ("protein",)) -> DataFrame:
+    """(keys, sequence): most probable string per key, from the draws' start and column-to-column shares.
+
+    ``samples(keys, iter, col, aa)``. Moves between neighbouring columns are rows of
+    small matrices under (maximum, plus). Neighbouring matrices are multiplied two by
+    two until one is left; on the way back, each block gets the best scores with which
+    it is entered. That gives every column's scores, and so its best moves, in a
+    logarithmic number of rounds. The moves that lead to the best end are the path
+    from there to the root of a tree, found by doubling as well. No row holds a chain
+    but the string itself. Ties go to the first letter, from the end on; the gap comes
+    last and is written as a hyphen.
+    """
+    keys = list(keys)
+    moves = cut(chain_moves(samples, keys))
+    levels, most = [moves], moves.agg(F.max("n")).head()[0] or 1
+    while most > 1:
+        m = levels[-1]
+        up = [*keys, F.floor(F.col("b") / 2).alias("b"), F.ceil(F.col("n") / 2).alias("n")]
+        even = m.filter(F.col("b") % 2 == 0)
+        left = even.select(*up, "f", F.col("t").alias("_mid"), F.col("lp").alias("_first"))
+        right = m.filter(F.col("b") % 2 == 1).select(*up[:-1], F.col("f").alias("_mid"), "t", "lp")
+        pairs = left.join(right, [*keys, "b", "_mid"]).groupBy(*keys, "b", "n", "f", "t").agg(F.max(F.col("_first") + F.col("lp")).alias("lp"))
+        alone = even.filter(F.col("b") == F.col("n") - 1).select(*up, "f", "t", "lp")
+        levels.append(cut(pairs.unionByName(alone)))
+        most = -(-most // 2)
+    enter = moves.select(*keys).distinct().select(
+        *keys, F.lit(0).cast("bigint").alias("b"), F.lit(BEFORE).alias("f"), F.lit(0).cast("bigint").alias("score")
     )
-    folded = chains.withColumn("_v", F.aggregate(F.coalesce("chain", F.array().cast(chains.schema["chain"].dataType)), first, advance))
-    last = (F.array_position(F.col("_v")["score"], F.array_max(F.col("_v")["score"])) - 1).cast("int")
-    path = F.aggregate(
-        F.reverse(F.col("_v")["back"]), F.array(last), lambda acc, b: F.concat(F.array(F.get(b, acc[0])), acc)
+    for m in levels[-2::-1]:
+        here = enter.withColumn("b", 2 * F.col("b"))
+        through = here.join(m.filter(F.col("b") < F.col("n") - 1), [*keys, "b", "f"])
+        right = through.groupBy(*keys, (F.col("b") + 1).alias("b"), F.col("t").alias("f")).agg(F.max(F.col("score") + F.col("lp")).alias("score"))
+        enter = cut(here.unionByName(right))
+    reached = enter.join(moves, [*keys, "b", "f"]).groupBy(*keys, "b", "n", "t").agg(
+        F.max(F.struct((F.col("score") + F.col("lp")).alias("score"), (-F.col("f")).alias("back"))).alias("_w")
     )
-    return folded.select(
-        *keys, F.array_join(F.transform(path, lambda i: F.substring(F.lit(RESIDUES), i + 1, F.lit(1))), "").alias("sequence")
+    steps = cut(reached.select(*keys, "b", "n", "t", F.col("_w")["score"].alias("score"), (-F.col("_w")["back"]).alias("f")))
+    ends = steps.filter(F.col("b") == F.col("n") - 1).groupBy(*keys).agg(F.max(F.struct("score", (-F.col("t")).alias("back"))).alias("_e"))
+    width = BEFORE + 1
+    nodes = steps.join(ends, keys).select(
+        F.struct(*keys).alias("tree"), (F.col("b") * width + F.col("t")).alias("node"),
+        F.when(F.col("b") > 0, (F.col("b") - 1) * width + F.col("f")).alias("parent"),
+        ((F.col("b") == F.col("n") - 1) & (F.col("t") == -F.col("_e")["back"])).cast("int").alias("end"),
     )
+    path = tree_sums(nodes, {"ends": F.col("end")}).filter("ends > 0")
+    place = F.struct((F.col("node") / width).cast("bigint").alias("b"), (F.col("node") % width).cast("int").alias("t"))
+    letters = F.transform(F.array_sort(F.collect_list(place)), lambda x: F.substring(F.lit(RESIDUES + "-"), x["t"] + 1, F.lit(1)))
+    return path.groupBy("tree").agg(F.array_join(letters, "").alias("sequence")).select("tree.*", "sequence")
 
 
 def stationary(transitions: DataFrame, squarings: int = 7) -> DataFrame:
