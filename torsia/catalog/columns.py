@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from torsia.operators import columns as ops
 
 from . import query
-from .tables import SITES, documents, r6, sites, table
+from .tables import SITES, documents, r6, sites, sql_number, table
 
 _L = "('" + "'),('".join(ops.LETTER_LIST) + "')"
 LETTERS20 = f"letters(aa) AS (VALUES {_L})"
@@ -144,9 +144,13 @@ def _(spark, sf):
     )
 
 
-@query("fingerprint")
+@query(
+    "fingerprint",
+    f"""SELECT count(*) AS rows, bit_xor(x) AS hash, CAST(sum(x) AS VARCHAR) AS total FROM (
+      SELECT {sql_number('o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority')} AS x FROM orders)""",
+)
 def _(spark, sf):
-    return ops.fingerprint(table(spark, sf, "customer"), "c_custkey", "c_name", "c_acctbal")
+    return ops.fingerprint(table(spark, sf, "orders"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 
 
 @query(

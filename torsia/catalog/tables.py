@@ -33,6 +33,12 @@ def micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', {ts})")
 
 
+def sql_number(*columns: str) -> str:
+    """The number that ``md5_number`` gives."""
+    told = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+    return f"CAST('0x' || md5({told})[1:15] AS BIGINT)"
+
+
 def sites(spark: SparkSession, sf: str) -> DataFrame:
     """(family, protein, seq_no, col, aa, phi, psi), angles null at gaps and X."""
     lines = (

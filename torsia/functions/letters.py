@@ -89,3 +89,14 @@ def structure_name(name: Column) -> tuple[Column, Column]:
 def length_ratio_ok(a: Column, b: Column, cutoff: float = 0.5) -> Column:
     r = F.when(b > 0, a / b)
     return (r >= cutoff) & (r <= 1.0 / cutoff)
+
+
+def md5_number(*columns: str) -> Column:
+    """A number below 2^60 from the columns' texts: the first 15 digits of their md5.
+
+    Each text stands behind its length and a null is a dash, so no two rows share a
+    string. Any engine with md5 gives the same.
+    """
+    texts = [F.col(c).cast("string") for c in columns]
+    told = F.concat(*[F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in texts])
+    return F.conv(F.substring(F.md5(told.cast("binary")), 1, 15), 16, 10).cast("bigint")

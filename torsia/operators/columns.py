@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from torsia.functions.letters import RESIDUES
+from torsia.functions.letters import RESIDUES, md5_number
 from torsia.session import cut
 
 from .ordered import ROWS_PER_BLOCK, neighbour, numbered, running
@@ -61,7 +61,7 @@ def column_consensus(samples: DataFrame, keys: Sequence[str] = ("protein",)) ->
 def fingerprint(df: DataFrame, *columns: str) -> DataFrame:
     """Hashes of all rows, whatever their order and counting repeats: (rows, hash, total)."""
     cols = columns or df.columns
-    row = F.xxhash64(*cols)
+    row = md5_number(*cols)
     # A xor alone loses equal rows in pairs, so the hashes are summed as well.
     return df.agg(
         F.count(F.lit(1)).alias("rows"), F.bit_xor(row).alias("hash"), F.sum(row.cast("decimal(20,0)")).cast("string").alias("total")

@@ -14,6 +14,7 @@ from torsia.functions.letters import (
     canonical,
     entry_name,
     has_unnatural_word,
+    md5_number,
     structure_name,
     upper_ascii,
 )
@@ -70,7 +71,7 @@ def blind(sites: DataFrame, proteins: DataFrame, structures: DataFrame) -> DataF
 def hash_sample(df: DataFrame, keys: Sequence[str], n: int, keep: Sequence[int]) -> DataFrame:
     """Keep ``keep`` of ``n`` slots. The slot depends on the keys only, so a rerun or a
     different partitioning keeps the same rows."""
-    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(n)).isin(list(keep)))
+    return df.filter((md5_number(*keys) % n).isin(list(keep)))
 
 
 def class_from_name(df: DataFrame, column: str, rules: Sequence[tuple[str, int]] = (("_D_", 1), ("_S_", 2))) -> DataFrame:
