@@ -71,6 +71,17 @@ def test_header_files(spark, tmp_path):
     assert got == [("fam1", "1abc", "A"), ("fam1", "2xyz", "")]
 
 
+def test_traces_by_blanks_and_run_from_file(spark, tmp_path):
+    (tmp_path / "one.log").write_text("# sampler\n\niter  alpha   beta\n 1  0.5  2\n2   1e-3  nan\n")
+    (tmp_path / "two.b.log").write_text("beta\titer\tlog lik\n7\t1\t-3.5\n\t2\t-4\n")
+    got = {(r.run, r.iter, r.param): r.value for r in tables.read_trace(spark, str(tmp_path), run=None).collect()}
+    assert str(got.pop(("one", 2, "beta"))) == "nan"
+    assert got == {
+        ("one", 1, "alpha"): 0.5, ("one", 1, "beta"): 2.0, ("one", 2, "alpha"): 0.001,
+        ("two.b", 1, "beta"): 7.0, ("two.b", 1, "log lik"): -3.5, ("two.b", 2, "log lik"): -4.0,
+    }
+
+
 def test_trace_columns_found_at_run_time(spark, tmp_path):
     long = spark.createDataFrame([(1, "p", 1.0), (1, "q", 2.0), (2, "p", 3.0)], "iter bigint, param string, value double")
     path = str(tmp_path / "t")

@@ -4,20 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import ordered_text
+
 # Fixed value: order of the rows in published rate files.
 RATE_ORDER = "ARNDCQEGHILKMFPSTWYV"
 
 
-def read_trace(spark: SparkSession, path: str, run: str = "run", index: str = "iter") -> DataFrame:
-    """Wide tab-separated trace to (run, iter, param, value); absent values are dropped."""
-    wide = spark.read.option("sep", "\t").option("header", True).csv(path)
-    values = [c for c in wide.columns if c != index]
-    typed = wide.select(F.col(index).cast("bigint").alias("iter"), *[F.col(f"`{c}`").cast("double").alias(c) for c in values])
-    long = typed.unpivot(["iter"], values, "param", "value").filter("value is not null")
-    return long.select(F.lit(run).alias("run"), "iter", "param", "value")
+def read_trace(spark: SparkSession, path: str | Sequence[str], run: str | None = "run", index: str = "iter") -> DataFrame:
+    """Wide trace files to (run, iter, param, value); absent values are dropped.
+
+    The first line of each file that is neither blank nor a comment (``#``) names its
+    columns, so files may differ in columns and order. Columns are set apart by tabs
+    if that line has one, else by blanks. Without ``run`` the file's name without its
+    ending is the run.
+    """
+    lines = ordered_text(spark, path).filter((F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
+    heads = lines.groupBy("source").agg(F.min_by("line", "no").alias("_head"), F.min("no").alias("_at"))
+    blanks = F.when(F.col("_head").contains("\t"), "\t").otherwise(r"\s+")
+
+    def cells(c: str) -> Column:
+        return F.split(F.when(F.col("_head").contains("\t"), F.col(c)).otherwise(F.trim(c)), blanks)
+
+    rows = lines.join(heads, "source").filter(F.col("no") > F.col("_at")).select("source", cells("_head").alias("names"), cells("line").alias("cells"))
+    name = F.lit(run) if run is not None else F.regexp_extract("source", r"([^/]+?)(\.[^./]*)?$", 1)
+    at = F.get("cells", (F.array_position("names", index) - 1).cast("int"))
+    long = rows.select(
+        name.alias("run"), F.trim(at).try_cast("bigint").alias("iter"), F.explode(F.arrays_zip("names", "cells")).alias("_c")
+    )
+    value = F.trim(F.col("_c")["cells"]).try_cast("double")
+    return long.select("run", "iter", F.col("_c")["names"].alias("param"), value.alias("value")).filter(
+        (F.col("param") != index) & F.col("value").isNotNull()
+    )
 
 
 def trace_wide(long: DataFrame, params: Sequence[str] | None = None) -> DataFrame:
