@@ -463,6 +463,62 @@ def test_lm_scores(spark, docs):
     assert lm_score.score_texts(df.limit(5), F.lit(True)).count() == 5
 
 
+def test_lm_scores_by_plain_loop(spark, docs):
+    """Each token's log probability, worked out alone from the table; the classes' shares sum to 1."""
+    texts = docs.select("text").limit(60)
+    v = lm_score.vocabulary(lm_score.word_counts(texts), texts)
+    weights = lm_score.learn(texts, v)
+    rows = docs.select(F.col("doc_id").alias("id"), F.lit(False).alias("held_out"), "text").limit(20)
+    got = {r["id"]: r["score"] for r in lm_score.scored(rows, v, weights).collect()}
+    reader = lm_score.Reader(v)
+    for r in rows.collect():
+        numbers, want, before, two = reader.read(r["text"])[0], 0.0, 0, 0
+        for k in numbers.tolist():
+            pair = (before * 40503 + two * 9973 + ((before * two) >> 5)) % lm_score.PAIR
+            skip = (two * 2654435761 >> 7) % lm_score.SKIP
+            at = [before % lm_score.LAST, lm_score.LAST + pair, lm_score.LAST + lm_score.PAIR + skip, -1]
+            z = [sum(float(weights[i][c]) for i in at) for c in range(weights.shape[1])]
+            own = int(lm_score.class_of(reader, np.array([k]))[0])
+            want += (z[own] - max(z) - math.log(sum(math.exp(x - max(z)) for x in z))) / math.log(10)
+            if k < reader.size:  # others' counts are joined later
+                want += math.log10(v.counts[k] + 0.5)
+            want -= v.share[own]
+            before, two = int(reader.row[k]) + 1, before
+        assert abs(got[r["id"]] - want) < 1e-4 * max(1, len(numbers) / 10)
+    known = np.zeros(len(v.share))
+    np.add.at(known, v.classes, v.counts + 0.5)
+    assert len(v.number) == v.types and (known[: lm_score.CLASSES] > 0).all()
+    assert np.allclose(known[: lm_score.CLASSES], 10 ** v.share[: lm_score.CLASSES])
+    # Each tail class keeps one half for a word never seen.
+    assert np.allclose(known[lm_score.CLASSES :] + 0.5, 10 ** v.share[lm_score.CLASSES :])
+
+
+def test_lm_step_by_plain_loop():
+    rng = np.random.default_rng(5)
+    table = rng.normal(size=(40, 6)).astype(np.float32)
+    learner = lm_score.Learner(table)
+    f = (rng.integers(0, 4, 50), rng.integers(4, 30, 50), rng.integers(30, 39, 50))
+    y = rng.integers(0, 6, 50)
+    z = table[f[0]] + table[f[1]] + table[f[2]] + table[-1]
+    g = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    g[np.arange(50), y] -= 1
+    want = table.astype(np.float64)
+    for rows in (*f, np.full(50, 39)):
+        for r in np.unique(rows):
+            mean = g[rows == r].sum(axis=0) / math.sqrt((rows == r).sum())
+            want[r] -= lm_score.RATE / math.sqrt(1e-3 + (mean**2).sum()) * mean
+    learner.step(f, y)
+    assert np.allclose(learner.table, want, atol=1e-4) and learner.met.sum() == 200
+
+
+def test_lm_sums_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    one = np.arange(2 * 3, dtype=np.float64).reshape(2, 3)
+    rows = [tuple(c[0].as_py() for c in lm_score.blobs_of(one * k, k).columns) for k in range(1, 8)]
+    blobs = spark.createDataFrame(rows, "block long, sender long, blob binary")
+    assert np.allclose(lm_score.summed(blobs, 8, 2, 3), one * 28)
+
+
 def test_lm_classes_tell_contexts_apart():
     """Words with 48 different surroundings get more than 24 classes, each surrounding one."""
     kinds = np.eye(48, 2 * lm_score.CONTEXTS)[np.arange(960) % 48] * 100

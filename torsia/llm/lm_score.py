@@ -9,9 +9,10 @@ the frequent words next to them; every other word belongs to one of TAILS classe
 by its last two bytes. Shares are counts plus one half; each tail class also has
 one half for a word never seen.
 
-Training passes over all training texts once: each partition takes AdaGrad steps
-on minibatches from the same start, and the tables are averaged row by row,
-weighted by how often a partition met the row. Counts cover all training texts.
+Training passes over all training texts once. Each learner, WAVES to a task slot,
+reads many partitions and takes AdaGrad steps on minibatches from the same start;
+the tables are averaged row by row, weighted by how often a learner met the row,
+in a tree of FAN tables to a task. Counts cover all training texts.
 The HEAD most frequent words go to the workers with their counts, a table of
 fixed size; the rest of a text's words are joined with the counts.
 
@@ -51,6 +52,8 @@ END = b" "
 #: Distinct words that a partition counts before it hands them on.
 COUNTED = 400_000
 BLOCK = 2048
+#: Learners to a task slot, and tables that one task adds up.
+WAVES, FAN = 4, 32
 
 
 def tokens(text: str) -> list[bytes]:
@@ -157,6 +160,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
+def log_softmax(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural log of the share of ``y`` in each row; ``z`` is used up."""
+    z -= z.max(axis=1, keepdims=True)
+    picked = z[np.arange(len(z)), y].astype(np.float64)
+    np.exp(z, out=z)
+    return picked - np.log(z.sum(axis=1).astype(np.float64))
+
+
 class Learner:
     """One partition's table and how often it met each row."""
 
@@ -172,7 +183,17 @@ class Learner:
             order = np.argsort(rows, kind="stable")
             own = rows[order]
             at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            self._move(own[at], np.add.reduceat(g[order], at, axis=0), np.diff(np.append(at, len(own))))
+            times = np.diff(np.append(at, len(own)))
+            for n in (1, 2, 3):  # most rows: few terms, added side by side
+                some = at[times == n]
+                total = g[order[some]]
+                for k in range(1, n):
+                    total += g[order[some + k]]
+                self._move(own[some], total, times[times == n])
+            many = times[times > 3]
+            if len(many):
+                again = order[np.repeat(times > 3, times)]
+                self._move(own[at[times > 3]], np.add.reduceat(g[again], np.cumsum(many) - many, axis=0), many)
         self._move(np.array([len(self.table) - 1]), g.sum(axis=0, keepdims=True), np.array([len(y)]))
 
     def _move(self, rows: np.ndarray, total: np.ndarray, times: np.ndarray) -> None:
@@ -203,22 +224,29 @@ def add_blobs(blobs: Iterator[bytes], width: int) -> np.ndarray:
     return out
 
 
-def summed(blobs: DataFrame, rows: int, width: int) -> np.ndarray:
-    """(rows, width) sum of the senders' blobs, in two steps, so that no task holds all of a block's."""
+def few(texts: DataFrame) -> tuple[DataFrame, int]:
+    """``texts`` in at most WAVES partitions to a slot, no row moved, and that number."""
+    most = WAVES * texts.sparkSession.sparkContext.defaultParallelism
+    return texts.coalesce(most), most
+
+
+def summed(blobs: DataFrame, senders: int, rows: int, width: int) -> np.ndarray:
+    """(rows, width) sum of the blobs of senders 0, 1, ..., FAN of them to a task until one is left."""
 
     def run(t: pa.Table) -> pa.Table:
-        total = add_blobs((x.as_py() for x in t.column("blob")), width)
-        own = blobs_of(total, 0)
-        block = pa.array([t.column("block")[0].as_py()] * own.num_rows, pa.int64())
-        return pa.table({"block": block, "blob": own.column("blob")})
-
-    first = (
-        blobs.withColumn("some", F.pmod(F.col("sender"), F.lit(64)))
-        .groupBy("block", "some")
-        .applyInArrow(run, "block long, blob binary")
-    )
+        own = blobs_of(add_blobs((x.as_py() for x in t.column("blob")), width), 0)
+        block, sender = (pa.array([t.column(c)[0].as_py()] * own.num_rows, pa.int64()) for c in ("block", "sender"))
+        return pa.table({"block": block, "sender": sender, "blob": own.column("blob")})
+
+    while senders > 1:
+        blobs = (
+            blobs.withColumn("sender", F.floor(F.col("sender") / FAN))
+            .groupBy("block", "sender")
+            .applyInArrow(run, "block long, sender long, blob binary")
+        )
+        senders = -(-senders // FAN)
     out = np.zeros((-(-rows // BLOCK) * BLOCK, width), np.float32)
-    for r in first.groupBy("block").applyInArrow(run, "block long, blob binary").collect():  # a table of fixed size
+    for r in blobs.collect():  # a table of fixed size
         lo = r["block"] * BLOCK
         out[lo : lo + BLOCK] = add_blobs([bytes(r["blob"])], width)
     return out[:rows]
@@ -277,8 +305,8 @@ def neighbours(texts: DataFrame, v: Vocabulary) -> np.ndarray:
             total += np.bincount(before[on] * 2 * CONTEXTS + CONTEXTS + here[on], minlength=size)[:size]
         yield blobs_of(total.reshape(TOP, 2 * CONTEXTS), TaskContext.get().partitionId())
 
-    sent = texts.mapInArrow(run, "block long, sender long, blob binary")
-    return summed(sent, TOP, 2 * CONTEXTS)
+    dealt, senders = few(texts)
+    return summed(dealt.mapInArrow(run, "block long, sender long, blob binary"), senders, TOP, 2 * CONTEXTS)
 
 
 def cluster(m: np.ndarray, weight: np.ndarray, rounds: int = 15) -> np.ndarray:
@@ -286,12 +314,23 @@ def cluster(m: np.ndarray, weight: np.ndarray, rounds: int = 15) -> np.ndarray:
     x = np.sqrt(m / np.maximum(m.sum(axis=1, keepdims=True), 1.0))
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     centre = x[np.unique(np.linspace(0, min(len(x), 1024) - 1, CLASSES).astype(int))]
+
+    def nearest() -> np.ndarray:
+        """Own classes; an empty class gets a row that is far from its own."""
+        like = x @ centre.T
+        own = np.argmax(like, axis=1)
+        empty = np.setdiff1d(np.arange(len(centre)), own)
+        far = np.where(x.any(axis=1), (1.0 - like.max(axis=1)) * np.sqrt(weight), 0.0)
+        worst = np.argsort(-far, kind="stable")[: len(empty)]
+        own[worst] = empty
+        return own
+
     for _ in range(rounds):
-        own = np.argmax(x @ centre.T, axis=1)
+        own = nearest()
         total = np.zeros_like(centre)
         np.add.at(total, own, x * np.sqrt(weight)[:, None])
         centre = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
-    return np.argmax(x @ centre.T, axis=1)
+    return nearest()
 
 
 def vocabulary(counts: DataFrame, texts: DataFrame) -> Vocabulary:
@@ -333,7 +372,7 @@ def class_of(reader: Reader, n: np.ndarray) -> np.ndarray:
 
 
 def learn(texts: DataFrame, v: Vocabulary) -> np.ndarray:
-    """The table after one pass of all partitions."""
+    """The table after one pass of all learners."""
     shared = broadcast(texts.sparkSession, v)
 
     def run(batches):
@@ -349,8 +388,9 @@ def learn(texts: DataFrame, v: Vocabulary) -> np.ndarray:
         weighted = np.c_[learner.table * learner.met[:, None], learner.met]
         yield blobs_of(weighted, TaskContext.get().partitionId())
 
-    sent = texts.mapInArrow(run, "block long, sender long, blob binary")
-    total = summed(sent, ROWS, CLASSES + TAILS + 1)
+    dealt, senders = few(texts)
+    sent = dealt.mapInArrow(run, "block long, sender long, blob binary")
+    total = summed(sent, senders, ROWS, CLASSES + TAILS + 1)
     met = total[:, -1:]
     return np.where(met > 0, total[:, :-1] / np.maximum(met, 1.0), first_table(v)).astype(np.float32)
 
@@ -379,10 +419,7 @@ def scored(docs: DataFrame, v: Vocabulary, table: np.ndarray) -> DataFrame:
                 log_class = np.empty(len(n))
                 for at in range(0, len(n), MINIBATCH):
                     to = slice(at, at + MINIBATCH)
-                    z = logits(weights, tuple(x[to] for x in f)).astype(np.float64)
-                    z -= z.max(axis=1, keepdims=True)
-                    picked = z[np.arange(len(z)), y[to]]
-                    log_class[to] = (picked - np.log(np.exp(z).sum(axis=1))) / np.log(10.0)
+                    log_class[to] = log_softmax(logits(weights, tuple(x[to] for x in f)), y[to]) / np.log(10.0)
                 score = np.add.reduceat(log_class + log_count[n] - vocab.share[y], first)
                 base = np.add.reduceat(log_count[n] - lowest, first)
                 known = np.add.reduceat((n < reader.size).astype(np.int64), first)
