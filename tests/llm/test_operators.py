@@ -569,3 +569,37 @@ def test_url_filter(spark):
     assert got.columns[:3] == df.columns
     assert url_filter.filter_urls(none(df), table).count() == 0
     assert url_filter.filter_urls(df, none(table)).filter("_verdict = 'allow'").count() == len(urls)
+
+
+def test_clashing_names(spark):
+    """Columns named like the operators' own keep their values, whatever their case."""
+    extra = ["_host", "_PATH", "_rule", "verdict", "_h", "_p", "_url", "_bare", "_id", "_digest", "_own", "_label", "_row"]
+    extra += ["_text", "n_tokens", "row", "id"]
+    df = spark.createDataFrame(
+        [(1, "one two three four five six seven", "http://a.org/x"), (2, "ONE two three four five six seven", None),
+         (2, "ONE two three four five six seven", None), (None, None, "http://b.com/de/")],
+        "doc_id long, text string, url string",
+    )
+    for k, c in enumerate(extra):
+        df = df.withColumn(c, F.lit(k))
+
+    def same(out, rows):
+        assert out.columns[: len(df.columns)] == df.columns
+        got = out.select(*df.columns).collect()
+        assert len(got) == rows and all([r[c] for c in extra] == list(range(len(extra))) for r in got)
+
+    rules = spark.createDataFrame([("org", "/", "block")], "host string, path string, verdict string")
+    judged = url_filter.filter_urls(df, rules)
+    same(judged, 4)
+    assert judged.columns[len(df.columns) :] == ["__host", "__path", "__rule", "_verdict"]
+    assert {(r["__host"], r["__path"], r["__rule"], r["_verdict"]) for r in judged.collect()} == {
+        ("a.org", "/x", "org/", "block"), ("", "", None, "allow"), ("b.com", "/de/", None, "allow"),
+    }
+    same(exact_dedup.drop_copies(df, "doc_id", "text"), 2)
+    same(near_dedup.drop_near_copies(df), 2)
+    counted = token_counts.count_tokens(df, WORD_BPE)
+    same(counted, 4)
+    assert counted.columns[-1] == "_n_tokens" and counted.filter("_n_tokens = 0").count() == 1
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    texts, marks = toxicity.labelled_sample(df, labels, "doc_id", "text", "toxic")
+    assert len(texts) == 2 and marks.tolist() == [True, False]

@@ -44,6 +44,17 @@ def held(group: str, name: str, key: Any, make: Callable[[], Any]) -> Any:
     return _HELD[at][1]
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores put before it until no column of ``df`` has it, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -54,8 +65,9 @@ def fold(id_col: str, parts: int = 5) -> Column:
 
 
 def batch_rows(spark: SparkSession, rows: int = 2000) -> None:
-    """Limit the rows of an Arrow batch, as rows hold whole texts."""
+    """Limit the rows and bytes of an Arrow batch, as rows hold whole texts; the session keeps both."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, written
+from .common import free, lower_ascii, written
 
 #: Counters of a summary. A digest with 2/(SLOTS+1) of all rows is always split off.
 SLOTS = 1000
@@ -106,13 +106,14 @@ def drop_copies(df: DataFrame, id_col: str, text_col: str, slots: int = SLOTS) -
     """The rows of ``df`` that stay, with their columns as they were."""
     told = written(decide(df, id_col, text_col, slots).filter(~F.col("kept")), "dropped")
     same = F.col("id").eqNullSafe(F.col("keep_id"))
-    away = told.filter(~same).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+    own, key, its = free(df, "_own", "_id", "_digest")
+    away = told.filter(~same).select(F.col("id").alias(key), F.col("digest").alias(its))
     # Rows that repeat id and text: the winner is among them, so one stays.
-    again = told.filter(same).select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    named = df.withColumn("_own", digest(text_col))
-    match = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
+    again = told.filter(same).select(F.col("id").alias(key), F.col("digest").alias(its)).distinct()
+    named = df.withColumn(own, digest(text_col))
+    match = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(its))
     left = named.join(away, match, "left_anti")
     if again.isEmpty():
-        return left.drop("_own")
-    once = left.join(again, match, "left_semi").dropDuplicates([id_col, "_own"])
-    return left.join(again, match, "left_anti").unionByName(once).drop("_own")
+        return left.drop(own)
+    once = left.join(again, match, "left_semi").dropDuplicates([id_col, own])
+    return left.join(again, match, "left_anti").unionByName(once).drop(own)

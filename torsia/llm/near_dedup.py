@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, text_rows, texts_of, written
+from .common import batch_rows, free, text_rows, texts_of, written
 from .components import components
 from .shingles import U64, bag, from_blob, mix, overlap, shingles, to_blob, words
 
@@ -295,8 +295,9 @@ def drop_near_copies(
 ) -> DataFrame:
     """One row of each class, with its columns as they were."""
     batch_rows(df.sparkSession)
-    kept = written(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    docs = kept.select(F.col("_row").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    (number,) = free(df, "_row")
+    kept = written(df.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    docs = kept.select(F.col(number).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = written(signed(docs).withColumn("row", F.col("id")), "signed")
-    gone = _classes(rows, docs, least).filter(~F.col("kept")).select(F.col("row").alias("_row"))
-    return kept.join(written(gone, "gone"), "_row", "left_anti").select(*df.columns)
+    gone = _classes(rows, docs, least).filter(~F.col("kept")).select(F.col("row").alias(number))
+    return kept.join(written(gone, "gone"), number, "left_anti").select(*df.columns)

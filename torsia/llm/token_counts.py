@@ -6,7 +6,8 @@ pre-token in the proven set counts one, the rest are merged. No shuffle.
 
 Defined results: null text counts as empty and has no token; control characters
 that Python takes for spaces, special strings and letters outside Latin-1 go
-through the library; all columns of the input stay, whatever their names.
+through the library; all columns of the input stay. Where one is named like the
+count, the count's name gets underscores in front.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WordCounts, whole_tokens
-from .common import batch_rows, held
+from .common import batch_rows, free, held
 
 
 def counts_of(path: str, whole: Broadcast) -> WordCounts:
@@ -42,4 +43,4 @@ def token_count(path: str, text: Column, spark) -> Column:
 def count_tokens(df: DataFrame, path: str, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
     """``df`` with the number of tokens of each text under ``out``."""
     batch_rows(df.sparkSession)
-    return df.withColumn(out, token_count(path, F.col(text_col), df.sparkSession))
+    return df.withColumn(*free(df, out), token_count(path, F.col(text_col), df.sparkSession))

@@ -343,9 +343,10 @@ def labelled_sample(
         own = marks.filter(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
         drawn = own if drawn is None else drawn.unionByName(own)
     rows = (
-        docs.join(F.broadcast(drawn), F.col(id_col) == F.col("_id"))  # at most 2 * ``most`` rows
+        docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+        .join(F.broadcast(drawn), "_id")  # at most 2 * ``most`` rows
         .groupBy("_id", "_label")
-        .agg(F.max(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
+        .agg(F.max("_text").alias("_text"))
         .orderBy("_id")
         .collect()
     )

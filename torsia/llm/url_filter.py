@@ -19,23 +19,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, written
+from .common import free, lower_ascii, written
 
 ALLOW, BLOCK = "allow", "block"
 
 
-def with_parts(pages: DataFrame, url_col: str) -> DataFrame:
-    """``pages`` with ``_host`` (A-Z lower-cased) and ``_path``."""
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substr(_url, instr(_url, '://') + 3)")).otherwise(F.lit(""))
+def parts_of(url: Column) -> Column:
+    """(host, path) of a url, the host with A-Z lower-cased."""
+    given = F.coalesce(url, F.lit(""))
+    at = F.instr(given, "://")
+    rest = F.when(at > 0, F.substring(given, at + 3, F.length(given))).otherwise(F.lit(""))
     bare = F.regexp_extract(rest, r"(?s)^([^?#]*)", 1)
-    return (
-        pages.withColumn("_url", url)
-        .withColumn("_bare", bare)
-        .withColumn("_host", lower_ascii(F.substring_index("_bare", "/", 1)))
-        .withColumn("_path", F.expr("substr(_bare, length(_host) + 1)"))
-        .drop("_url", "_bare")
-    )
+    host = F.substring_index(bare, "/", 1)
+    path = F.substring(bare, F.length(host) + 1, F.length(bare))
+    return F.struct(lower_ascii(host).alias("host"), path.alias("path"))
 
 
 def key(labels: Column, path: Column) -> Column:
@@ -128,15 +125,18 @@ def filter_urls(
 ) -> DataFrame:
     """All rows of ``pages`` with ``_host``, ``_path``, ``_rule`` and ``_verdict``.
 
-    ``rules`` has host, path and verdict (``allow`` or ``block``).
+    ``rules`` has host, path and verdict (``allow`` or ``block``). All columns of
+    ``pages`` stay; where one is named like a result, the result's name gets
+    underscores in front.
     """
-    parts = with_parts(pages, url_col)
-    found = judged(parts.select("_host", "_path").distinct(), rules, partitions)
-    found = found.select(
-        F.col("_host").alias("_h"), F.col("_path").alias("_p"), F.col("rule").alias("_rule"), F.col("verdict")
+    names = free(pages, "_host", "_path", "_rule", "_verdict")
+    host, path, rule, verdict = names
+    told = pages.select("*", parts_of(F.col(url_col)).alias(host)).select(
+        *pages.columns, F.col(host)["host"].alias(host), F.col(host)["path"].alias(path)
     )
-    return (
-        parts.join(found, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_p")), "left")
-        .withColumn("_verdict", F.coalesce("verdict", F.lit(default)))
-        .select(*pages.columns, "_host", "_path", "_rule", "_verdict")
+    urls = told.select(F.col(host).alias("_host"), F.col(path).alias("_path")).distinct()
+    found = judged(urls, rules, partitions)
+    found = found.select(*[F.col(c).alias(n) for c, n in zip(found.columns, names)])
+    return told.join(found, [host, path], "left").select(
+        *pages.columns, host, path, rule, F.coalesce(verdict, F.lit(default)).alias(verdict)
     )
