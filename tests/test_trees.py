@@ -167,3 +167,20 @@ def test_root_choice_reads_the_whole_tree(spark):
     best = min(sd, key=lambda v: (sd[v], v))
     (got,) = queries()["root_choice_whole"](spark, sf).collect()
     assert got.node == best and got.sd == pytest.approx(sd[best], abs=2e-6)
+
+
+def test_newick_quotes_and_comments(spark):
+    rows = [
+        ("1", "('a (b)':1,c[&x=1,y]:2)r;"),
+        ("2", " ( (a , 'it''s [x], y' : 3)0.9[c(,)]:2 , b_c:1e-2) ;\n"),
+        ("3", "(5'UTR:1,[pre]'q':2)'in n':3;"),
+        ("4", "(" + "x" * 20000 + "[" + "y" * 20000 + "]:1,b:2);"),
+    ]
+    nodes = T.newick_nodes(spark.createDataFrame(rows, "tree string, newick string")).collect()
+    got = {t: [(r.node, r.parent, r["name"], r.support, r.branch_length) for r in sorted(nodes, key=lambda r: r.node) if r.tree == t] for t, _ in rows}
+    assert got["1"] == [(1, None, "", "r", 0.0), (2, 1, "a (b)", None, 1.0), (3, 1, "c", None, 2.0)]
+    assert got["2"] == [
+        (1, None, "", "", 0.0), (2, 1, "", "0.9", 2.0), (3, 2, "a", None, 0.0), (4, 2, "it's [x], y", None, 3.0), (5, 1, "b_c", None, 0.01),
+    ]
+    assert got["3"] == [(1, None, "", "in n", 3.0), (2, 1, "5'UTR", None, 1.0), (3, 1, "q", None, 2.0)]
+    assert got["4"] == [(1, None, "", "", 0.0), (2, 1, "x" * 20000, None, 1.0), (3, 1, "b", None, 2.0)]

@@ -25,12 +25,18 @@ def newick_nodes(df: DataFrame, tree: str = "tree", text: str = "newick", rows_p
     The text becomes one row per token. A running sum gives the number of open
     brackets; the parent of a node is the last bracket opened at its level, a
     running ``last`` within (tree, level). No parser walks a tree in one task.
-    Node numbers follow the order of the text, from 1.
+    Node numbers follow the order of the text, from 1. Comments in square brackets and
+    blanks are left out, but for those in quoted labels, whose quotes are taken off
+    (two within stand for one). Tokens of one text come from one row.
     """
-    bare = F.regexp_replace(F.col(text), r"\s", "")
-    tokens = df.select(
-        F.col(tree).alias("tree"), F.posexplode(F.regexp_extract_all(bare, F.lit(r"(\(|\)[^(),;]*|[^(),;]+)"), F.lit(1))).alias("i", "tok")
-    )
+    comment, quoted = r"\[[^\]]*+\]", r"'[^']*+(?:''[^']*+)*+'"
+    label = rf"(?:\s++|{comment})*+(?:{quoted})?+(?:{comment}|[^(),;\[]++|\[)*+"
+    found = F.regexp_extract_all(F.col(text), F.lit(rf"(\(|\){label}|(?=[^(),;]){label})"), F.lit(1))
+    clean = F.regexp_replace("tok", rf"(^\)?+{quoted})|{comment}|\s++", "$1")
+    # Blanks and comments before a quoted label go first, so that the label stands at the start.
+    ahead = F.regexp_replace("tok", rf"^(\)?+)(?:\s++|{comment})++", "$1")
+    tokens = df.select(F.col(tree).alias("tree"), F.posexplode(found).alias("i", "tok")).withColumn("tok", ahead)
+    tokens = tokens.withColumn("tok", clean).filter(F.col("tok") != "")
     opens, closes = F.col("tok") == "(", F.col("tok").startswith(")")
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
     leveled = running(cut(tokens), ["tree"], "i", {"_open": ("sum", step), "_no": ("sum", F.when(closes, 0).otherwise(1))}, rows_per_block)
@@ -53,12 +59,15 @@ def newick_nodes(df: DataFrame, tree: str = "tree", text: str = "newick", rows_p
     children = held.filter("role = 'child'").select("tree", F.col("no").alias("node"), F.col("up").alias("parent"), "tok")
     labels = held.filter("role = 'close'").select("tree", F.col("up").alias("node"), F.expr("substring(tok, 2)").alias("_label"))
     j = children.join(labels, KEY, "left").withColumn("_text", F.when(F.col("tok") == "(", F.col("_label")).otherwise(F.col("tok")))
-    parts = F.split("_text", ":")
-    out = j.select(
+    own = F.regexp_extract("_text", rf"^({quoted})", 1)
+    parts = F.split(F.expr("substring(_text, length(_own) + 1)"), ":")
+    named = F.when(F.col("_own") != "", F.replace(F.expr("substring(_own, 2, length(_own) - 2)"), F.lit("''"), F.lit("'"))).otherwise(parts[0])
+    inner = F.col("tok") == "("
+    out = j.withColumn("_own", own).select(
         "tree", "node", "parent",
         F.coalesce(F.try_element_at(parts, F.lit(2)).try_cast("double"), F.lit(0.0)).alias("branch_length"),
-        F.when(F.col("tok") == "(", F.lit("")).otherwise(parts[0]).alias("name"),
-        F.when(F.col("tok") == "(", F.coalesce(parts[0], F.lit(""))).alias("support"),
+        F.when(inner, F.lit("")).otherwise(named).alias("name"),
+        F.when(inner, F.coalesce(named, F.lit(""))).alias("support"),
     )
     return numbered(out, ["tree", "parent"], "node", "child_no", rows_per_block)
 
