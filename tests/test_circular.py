@@ -93,3 +93,25 @@ def test_radius_share(spark, n):
     df = spark.createDataFrame([("k", 0.1 * i) for i in range(n)], "k string, distance double")
     r = C.radius_benchmark(df, ["k"]).head()
     assert r.within_2_0 is None if n == 1 else r.within_2_0 == 100.0
+
+
+def test_models_locations_and_insertions(spark):
+    def line(name, alt, res, num, code, x, share, b=1.0):
+        return f"ATOM  {1:5d}  {name:<3}{alt}{res} A{num:4d}{code}   {x:8.3f}{0:8.3f}{0:8.3f}{share:6.2f}{b:6.2f}"
+
+    text = [line(a, " ", "GLY", 52, " ", k, 1) for k, a in enumerate(("N", "CA", "C"))]
+    text += [line("N", " ", "ALA", 52, "A", 4, 1), line("CA", "B", "SER", 52, "A", 6, 0.3), line("CA", "A", "ALA", 52, "A", 5, 0.7, 9.0)]
+    text += [line("C", " ", "ALA", 52, "A", 7, 1)] + [line(a, " ", "TRP", 53, " ", 9 + k, 1) for k, a in enumerate(("N", "CA", "C"))]
+    text += ["MODEL        2"] + [line(a, " ", "LYS", 52, " ", 50 + k, 1) for k, a in enumerate(("N", "CA", "C"))]
+    rows = [("p", k, t) for k, t in enumerate(text)] + [("q", 1, text[0])]
+    for block in (4, 1000):
+        atoms = structures.parse_atoms(spark.createDataFrame(rows, "pdb string, line_no bigint, line string"), block)
+        got = {(r.pdb, r.model, r.resnum, r.icode): r for r in C.backbone_geometry(atoms).collect()}
+        assert sorted(got) == [("p", 1, 52, ""), ("p", 1, 52, "A"), ("p", 1, 53, ""), ("p", 2, 52, ""), ("q", 1, 52, "")]
+        inserted = got[("p", 1, 52, "A")]
+        assert (inserted.aa, inserted.bl1, inserted.bl2, inserted.b_ca) == ("A", 2.0, 1.0, 9.0)
+        assert got[("p", 1, 53, "")].bl1 == 2.0 and got[("p", 2, 52, "")].bl1 is None and got[("p", 2, 52, "")].aa == "K"
+        first = structures.first_model(atoms)
+        assert first.filter("pdb = 'p' and model = 1").count() == 10 and first.count() == 11
+    plan = C.backbone_geometry(spark.createDataFrame([("p", "A", 1, "GLY", "N", 0.0, 0.0, 0.0, 1.0)], "pdb string, chain string, resnum bigint, resname string, atom string, x double, y double, z double, bfactor double"))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

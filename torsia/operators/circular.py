@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from torsia.functions.angles import TWO_PI, chord_distance, mod2pi, pimod, torus_distance
@@ -256,20 +256,41 @@ def torus_smooth(grid: DataFrame, n: int, value: str = "n", dim: int = 13, scale
 def backbone_geometry(atoms: DataFrame) -> DataFrame:
     """phi, psi, omega, three bond angles and three lengths per residue.
 
-    ``atoms(pdb, chain, resnum, resname, atom, x, y, z, bfactor)``. A neighbour
-    counts only if its number differs by one, so it is found by an equi-join on
-    the number: no ordered window over a chain. A missing atom gives null.
+    ``atoms(pdb, chain, resnum, resname, atom, x, y, z, bfactor)``. A missing atom gives
+    null. Where there are such columns, models are chains of their own and a residue is
+    a number with an insertion code (``model``, ``icode``; both are returned). Of alternate
+    locations an atom has the one of greatest ``occupancy``, the least ``altloc`` on ties, and
+    the letter goes with the CA (else N, C).
+
+    A neighbour is the residue before or after in the file (``line_no``), else by
+    number and code, if the number differs by at most one. All works on one shuffle
+    by chain: a chain has at most as many residues as the format has numbers.
     """
-    point = F.struct("x", "y", "z")
-    keys = ["pdb", "chain", "resnum"]
-    cols = [F.max_by(F.when(F.col("atom") == a, point), F.when(F.col("atom") == a, 1)).alias(a) for a in ("N", "CA", "C")]
-    cols += [
-        F.max(F.when(F.col("atom") == a, F.col("bfactor"))).alias(b) for a, b in (("N", "b_n"), ("CA", "b_ca"), ("C", "b_c"))
-    ]
-    res = atoms.groupBy(*keys).agg(F.min("resname").alias("resname"), *cols)
-    prev = res.select("pdb", "chain", (F.col("resnum") + 1).alias("resnum"), F.col("CA").alias("pCA"), F.col("C").alias("pC"))
-    nxt = res.select("pdb", "chain", (F.col("resnum") - 1).alias("resnum"), F.col("N").alias("nN"))
-    j = res.join(prev, keys, "left").join(nxt, keys, "left")
+    has = lambda *names: [c for c in names if c in atoms.columns]
+    chain = ["pdb", *has("model"), "chain"]
+    keys = [*chain, "resnum", *has("icode")]
+    value = F.struct("x", "y", "z", "bfactor", "resname")
+    rank = F.struct(*[F.col(c) for c in has("occupancy")], *[-F.ascii(c) for c in has("altloc")], "x", "y", "z")
+    three = ("N", "CA", "C")
+    cols = [F.max_by(value, F.when(F.col("atom") == a, rank)).alias(f"_{a}") for a in three]
+    at = [F.min("line_no").alias("_line")] if has("line_no") else []
+    res = atoms.repartition(*chain).groupBy(*keys).agg(F.min("resname").alias("_resname"), *cols, *at)
+    found = lambda a, f: F.col(f"_{a}")[f]
+    res = res.select(
+        *keys, *(["_line"] if at else []),
+        F.coalesce(*[found(a, "resname") for a in ("CA", "N", "C")], "_resname").alias("resname"),
+        *[F.when(F.col(f"_{a}").isNotNull(), F.struct(*[found(a, v) for v in "xyz"])).alias(a) for a in three],
+        *[found(a, "bfactor").alias(f"b_{a.lower()}") for a in three],
+    )
+    order = ["_line"] if at else ["resnum", *[F.coalesce(c, F.lit("")) for c in has("icode")]]
+    along = Window.partitionBy(*chain).orderBy(*order)
+    before = (F.col("resnum") - F.lag("resnum").over(along)).between(0, 1)
+    after = (F.lead("resnum").over(along) - F.col("resnum")).between(0, 1)
+    j = res.select(
+        "*",
+        *[F.when(before, F.lag(a).over(along)).alias(f"p{a}") for a in ("CA", "C")],
+        F.when(after, F.lead("N").over(along)).alias("nN"),
+    )
     # Bonds and their normals become plain columns once, and nulls pass through
     # the arithmetic, so each angle is a short expression on them.
     bonds = {"v0": ("pC", "pCA"), "v1": ("N", "pC"), "v2": ("CA", "N"), "v3": ("C", "CA"), "v4": ("nN", "C")}

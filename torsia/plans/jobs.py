@@ -23,6 +23,7 @@ from torsia.operators.similarity import (
     similar_pairs,
 )
 from torsia.session import cut
+from torsia.sources.structures import first_model
 
 CHAIN = ["pdb", "chain"]
 
@@ -36,10 +37,12 @@ def letters_of(df: DataFrame, keys: Sequence[str], column: str = "aligned_sequen
 
 
 def chain_residues(atoms: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Geometry of every chain with number gaps filled and ``pos`` counted from 1."""
+    """Geometry of every chain with number gaps filled and ``pos`` counted from 1; of models only the first."""
     own = atoms.filter(~F.col("hetero")) if "hetero" in atoms.columns else atoms
+    own = first_model(own).drop("model") if "model" in own.columns else own
     filled = fill_missing_residues(backbone_geometry(own), rows_per_block).na.fill("X", ["aa"])
-    return numbered(filled, CHAIN, "resnum", "pos", rows_per_block)
+    order = ["resnum", "icode"] if "icode" in filled.columns else "resnum"
+    return numbered(filled, CHAIN, order, "pos", rows_per_block)
 
 
 def chain_sequences(residues: DataFrame) -> DataFrame:
