@@ -32,6 +32,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +127,7 @@ class Reader:
         """Numbers of the tokens and, in order, the words that are not in the head."""
         words = tokens(text)
         get = self.v.number.get
-        n = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
+        n = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         far = np.flatnonzero(n < 0)
         rest = [words[k] for k in far]
         n[far] = [self.size + tail_class(w) * 32 + zlib.crc32(w) % 32 for w in rest]
@@ -146,26 +147,37 @@ def features(row: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def logits(table: np.ndarray, f: tuple[np.ndarray, ...]) -> np.ndarray:
-    z = table[f[0]]
-    z += table[f[1]]
-    z += table[f[2]]
+    z = np.take(table, f[0], axis=0, mode="clip")
+    more = np.take(table, f[1], axis=0, mode="clip")
+    z += more
+    z += np.take(table, f[2], axis=0, mode="clip", out=more)
     z += table[-1]
     return z
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(z - shift) in place of ``z``, its sums by row, and the shift: each row's greatest where it is needed."""
+    shift: np.ndarray | float = 0.0
+    high, low = z.max(), z.min()
+    if not (high < 60 and low > -60):  # else no sum can overflow or vanish
+        shift = z.max(axis=1, keepdims=True)
+        z -= shift
+        shift = shift[:, 0]
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    return z, np.einsum("ij->i", z), shift
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    z, total, _ = exponentials(z)
+    z *= (1.0 / total)[:, None]
     return z
 
 
 def log_softmax(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log of the share of ``y`` in each row; ``z`` is used up."""
-    z -= z.max(axis=1, keepdims=True)
     picked = z[np.arange(len(z)), y].astype(np.float64)
-    np.exp(z, out=z)
-    return picked - np.log(z.sum(axis=1).astype(np.float64))
+    _, total, shift = exponentials(z)
+    return picked - shift - np.log(total.astype(np.float64))
 
 
 class Learner:
@@ -180,26 +192,28 @@ class Learner:
         g = softmax(logits(self.table, f))
         g[np.arange(len(y)), y] -= 1.0
         for rows in f:
-            order = np.argsort(rows, kind="stable")
+            order = np.argsort(rows.astype(np.uint16), kind="stable")  # fewer than 65,536 rows: by radix
             own = rows[order]
             at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             times = np.diff(np.append(at, len(own)))
             for n in (1, 2, 3):  # most rows: few terms, added side by side
                 some = at[times == n]
-                total = g[order[some]]
+                total = np.take(g, order[some], axis=0, mode="clip")
                 for k in range(1, n):
-                    total += g[order[some + k]]
+                    total += np.take(g, order[some + k], axis=0, mode="clip")
                 self._move(own[some], total, times[times == n])
             many = times[times > 3]
             if len(many):
                 again = order[np.repeat(times > 3, times)]
-                self._move(own[at[times > 3]], np.add.reduceat(g[again], np.cumsum(many) - many, axis=0), many)
+                self._move(own[at[times > 3]], np.add.reduceat(np.take(g, again, axis=0, mode="clip"), np.cumsum(many) - many, axis=0), many)
         self._move(np.array([len(self.table) - 1]), g.sum(axis=0, keepdims=True), np.array([len(y)]))
 
     def _move(self, rows: np.ndarray, total: np.ndarray, times: np.ndarray) -> None:
         mean = total / np.sqrt(times)[:, None].astype(np.float32)
-        self.square[rows] += np.einsum("ij,ij->i", mean, mean)
-        self.table[rows] -= (RATE / np.sqrt(self.square[rows]))[:, None] * mean
+        square = self.square[rows] + np.einsum("ij,ij->i", mean, mean)
+        self.square[rows] = square
+        mean *= (RATE / np.sqrt(square))[:, None]
+        self.table[rows] = np.take(self.table, rows, axis=0, mode="clip") - mean
         self.met[rows] += times
 
 
