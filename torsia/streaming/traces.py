@@ -38,20 +38,33 @@ def read_trace_stream(spark: SparkSession, folder: str, files_per_trigger: int =
     )
 
 
-def trace_stream(spark: SparkSession, folder: str, files_per_trigger: int = 4) -> DataFrame:
-    """Run the statistics over all files there now, and return the final table.
+STATISTICS = "run string, param string, n bigint, mean double, least double, most double"
+
+
+def newest_statistics(spark: SparkSession, out: str) -> DataFrame:
+    """The last row stored of each (run, param)."""
+    values = ("n", "mean", "least", "most")
+    stored = spark.read.schema(f"{STATISTICS}, batch bigint").parquet(out)
+    last = stored.groupBy("run", "param").agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return last.select("run", "param", *[F.col("_v")[c].alias(c) for c in values])
+
+
+def follow_traces(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_trigger: int = 4) -> None:
+    """Take in all files there now; a later call with the same folders goes on where this one ended.
 
-    Each batch replaces one table in the shared folder, so the result is
-    distributed data and nothing passes through the driver.
+    The stream keeps a row of state per (run, param) and gives changed rows
+    only, so what a batch writes follows the keys it touched. A batch that is
+    repeated after a failure replaces its own folder of ``out``.
     """
-    out, checkpoint = scratch_path(spark, "trace-stats"), scratch_path(spark, "trace-stream")
+    # So that the table can be read before the first file comes.
+    spark.createDataFrame([], STATISTICS).write.mode("ignore").parquet(f"{out}/batch=-1")
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = (
         running_statistics(read_trace_stream(spark, folder, files_per_trigger))
-        .writeStream.outputMode("complete")
+        .writeStream.outputMode("update")
         .queryName(f"trace_{uuid.uuid4().hex}")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -59,8 +72,10 @@ def trace_stream(spark: SparkSession, folder: str, files_per_trigger: int = 4) -
         .start()
     )
     query.awaitTermination()
-    last = query.lastProgress["batchId"]
-    # A last batch without new files writes nothing; then the one before holds.
-    stats = spark.read.parquet(out)
-    newest = stats.agg(F.max("batch").alias("batch"))
-    return stats.join(F.broadcast(newest), "batch").drop("batch") if last else stats.drop("batch")
+
+
+def trace_stream(spark: SparkSession, folder: str, files_per_trigger: int = 4) -> DataFrame:
+    """Statistics over all files there now, as the stream leaves them in a new table of the shared folder."""
+    out, checkpoint = scratch_path(spark, "trace-stats"), scratch_path(spark, "trace-stream")
+    follow_traces(spark, folder, out, checkpoint, files_per_trigger)
+    return newest_statistics(spark, out)
