@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,41 @@ def test_rename_and_mask(spark):
     df = spark.createDataFrame([(1, "x", "A-C"), (2, "y", "DE")], "seq_no bigint, name string, sequence string")
     got = {r.name: r.sequence for r in rename_and_mask(df, df.filter("name = 'x'")).collect()}
     assert got == {"seq1": "X-X", "seq1_1": "X-X", "seq1_2": "X-X", "seq2": "DE"}
+
+
+def exact_tails(a, b, c, d):
+    r, k, t = a + b, a + c, a + b + c + d
+    lo, hi = max(0, r + k - t), min(r, k)
+    weight = {x: math.comb(r, x) * math.comb(t - r, k - x) for x in range(lo, hi + 1)}
+    whole = math.comb(t, k)
+    return Fraction(sum(w for x, w in weight.items() if x <= a), whole), Fraction(sum(w for x, w in weight.items() if x >= a), whole)
+
+
+def test_exact_test_against_whole_numbers(spark):
+    rng = random.Random(5)
+    tables = [tuple(rng.randint(0, m) for _ in range(4)) for m in (2, 5, 20, 300) for _ in range(12)]
+    tables += [(0, 0, 0, 0), (7, 0, 0, 0), (0, 0, 5, 9), (3, 900, 900, 3), (900, 2, 3, 4000), (420, 418, 390, 391)]
+    df = spark.createDataFrame(sorted(set(tables)), "n11 bigint, n12 bigint, n21 bigint, n22 bigint")
+    for side, i in (("lower", 0), ("upper", 1)):
+        for x in C.fisher_exact(df, side).collect():
+            want = exact_tails(x.n11, x.n12, x.n21, x.n22)[i]
+            log = math.log(want.numerator) - math.log(want.denominator)
+            assert x.log_p_value == pytest.approx(log, rel=1e-9, abs=1e-9)
+
+
+def test_exact_test_of_large_counts(spark):
+    n = 2_500_000
+    df = spark.createDataFrame([(n, n, n, n)], "n11 bigint, n12 bigint, n21 bigint, n22 bigint")
+    # A symmetric table: half of all and half of the middle term, 1 / (sd sqrt(2 pi)) with sd^2 = 4 n / 16.
+    middle = 1.0 / math.sqrt(2.0 * math.pi * n / 4.0)
+    assert C.fisher_exact(df, "lower").head().p_value == pytest.approx(0.5 + middle / 2.0, abs=1e-7)
+
+
+def test_association_by_family(spark):
+    sites = spark.createDataFrame(
+        [(f, f"{f}{i}", 1, "A" if i % 2 else "C") for f in "xy" for i in range(6 if f == "x" else 4)], "family string, protein string, col bigint, aa string"
+    )
+    classes = sites.select("protein", (F.substring("protein", 2, 1).cast("int") % 2 + 1).alias("class"))
+    got = {(r.family, r.aa): (r.n11, r.n12, r.n21, r.n22) for r in C.column_association(sites, classes, ["family"]).collect()}
+    assert got["x", "A"] == (3, 0, 0, 3) and got["x", "C"] == (0, 3, 3, 0)
+    assert got["y", "A"] == (2, 0, 0, 2) and got["y", "D"] == (2, 2, 0, 0)

@@ -432,8 +432,8 @@ def chi_square(n11: Column, n12: Column, n21: Column, n22: Column) -> dict[str,
     return {"chi2": stat, "e11": e[0], "e12": e[1], "e21": e[2], "e22": e[3]}
 
 
-def column_association(sites: DataFrame, classes: DataFrame) -> DataFrame:
-    """2x2 table of letter against class per column and letter.
+def column_association(sites: DataFrame, classes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """2x2 table of letter against class per column and letter, and per ``keys`` of the sites (a family, say).
 
     ``classes(protein, class)`` with 1 or 2. Rows 1/2: other letter / letter;
     columns 1/2: the classes. The sign is minus when letter and class 2 meet
@@ -442,11 +442,12 @@ def column_association(sites: DataFrame, classes: DataFrame) -> DataFrame:
     known = sites.filter(F.col("aa") != GAP).join(classes.filter(F.col("class").isin(1, 2)), "protein")
     cls1 = (F.col("class") == 1).cast("bigint")
     cls2 = (F.col("class") == 2).cast("bigint")
-    letters = known.groupBy("col", "aa").agg(F.sum(cls1).alias("n21"), F.sum(cls2).alias("n22"))
-    totals = letters.groupBy("col").agg(F.sum("n21").alias("_c1"), F.sum("n22").alias("_c2"))
-    full = each_letter(totals).join(letters, ["col", "aa"], "left").na.fill(0, ["n21", "n22"])
+    at = [*keys, "col"]
+    letters = known.groupBy(*at, "aa").agg(F.sum(cls1).alias("n21"), F.sum(cls2).alias("n22"))
+    totals = letters.groupBy(*at).agg(F.sum("n21").alias("_c1"), F.sum("n22").alias("_c2"))
+    full = each_letter(totals).join(letters, [*at, "aa"], "left").na.fill(0, ["n21", "n22"])
     table = full.select(
-        "col", "aa", (F.col("_c1") - F.col("n21")).alias("n11"), (F.col("_c2") - F.col("n22")).alias("n12"), "n21", "n22"
+        *at, "aa", (F.col("_c1") - F.col("n21")).alias("n11"), (F.col("_c2") - F.col("n22")).alias("n12"), "n21", "n22"
     )
     c = chi_square(*[F.col(n).cast("double") for n in ("n11", "n12", "n21", "n22")])
     out = table.select("*", *[v.alias(k) for k, v in c.items()])
@@ -478,7 +479,12 @@ def fisher_exact(table: DataFrame, two_sided: str = "central") -> DataFrame:
     tail of n11. Every term of a tail counts: tails are cut into rows of
     ``TERMS_PER_ROW`` terms, summed per distinct table against the tail's largest
     term, so the log holds where the p-value itself is below the smallest double.
-    Null where a count is null or negative.
+    Terms sum to less than 1e-18 of the largest one beyond a distance of
+    sqrt(n (ln(n + 1) + 42) / 2) from it, n the least margin (Hoeffding's bound
+    for draws without replacement; the terms' logs are concave, and the largest is
+    at least 1 / (n + 1)), and end there: the work follows the spread, not the
+    counts. Logs of factorials cancel, so about 16 digits less those of the counts
+    hold. Null where a count is null or negative.
     """
     counts = ["n11", "n12", "n21", "n22"]
     n11, n12, n21, n22 = (F.col(f"_{n}") for n in counts)
@@ -496,10 +502,11 @@ def fisher_exact(table: DataFrame, two_sided: str = "central") -> DataFrame:
         )
 
     def pieces(side: str, first: Column, last: Column) -> Column:
-        starts = F.sequence(first, last, F.lit(TERMS_PER_ROW).cast("bigint"))
         # The terms rise up to the mode and fall after it.
         mode = F.floor((F.col("_r") + 1.0) * (F.col("_c") + 1.0) / (F.col("_t") + 2.0)).cast("bigint")
         top = F.greatest(first, F.least(last, mode))
+        first, last = F.greatest(first, top - F.col("_far")), F.least(last, top + F.col("_far"))
+        starts = F.sequence(first, last, F.lit(TERMS_PER_ROW).cast("bigint"))
         return F.transform(
             starts,
             lambda k: F.struct(
@@ -508,11 +515,13 @@ def fisher_exact(table: DataFrame, two_sided: str = "central") -> DataFrame:
             ),
         )
 
+    margin = F.least("_r", "_c", F.col("_t") - F.col("_r"), F.col("_t") - F.col("_c")).cast("double")
     tables = (
         table.select(*[F.col(n).cast("bigint").alias(f"_{n}") for n in counts])
         .filter(F.least(n11, n12, n21, n22) >= 0).dropna().distinct()
         .withColumns({"_r": r, "_c": c, "_t": t})
         .withColumns({"_base": base, "_lo": F.greatest(F.lit(0), F.col("_r") + F.col("_c") - F.col("_t")), "_hi": F.least("_r", "_c")})
+        .withColumn("_far", F.ceil(F.sqrt(margin * (F.ln(margin + 1.0) + 42.0) / 2.0)).cast("bigint") + 3)
     )
     rows = tables.withColumn(
         "_p", F.explode(F.concat(pieces("lower", F.col("_lo"), n11), pieces("upper", n11, F.col("_hi"))))
