@@ -78,3 +78,37 @@ def test_homologs_rules(spark):
     q = spark.createDataFrame([(7, base), (8, base)], "query_no bigint, sequence string")
     got = {r.pdb: (r.seq_no, r.query_no) for r in S.best_homologs(df, q).collect()}
     assert got == {"1abc": (1, 7), "4abc": (5, 7)}
+
+
+@pytest.mark.parametrize("cutoff,strict", [(0.2, True), (0.5, False), (1.0, True), (1.0, False)])
+def test_copies_and_links(spark, cutoff, strict):
+    rows = make(30, 8)
+    rows += [(100 + i, s) for i, s in rows[:12]] + [(200, "AC"), (201, "AC"), (202, ""), (203, None), (204, None)]
+    df = spark.createDataFrame(rows, "id bigint, sequence string")
+    want = {}
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and a and b:
+                x = score(a, b, 3)
+                if x > cutoff or not strict and x >= cutoff:
+                    want[i, j] = x
+    got = {(r.id_a, r.id_b): r.score for r in S.similar_pairs(df, df, 3, cutoff, self_join=True, strict=strict).collect()}
+    assert got == pytest.approx(want)
+    links = {r.id: (r.rep, r.copies, r.links) for r in S.similar_links(df, 3, cutoff, strict=strict).collect()}
+    for i, s in rows:
+        same = [j for j, t in rows if t == s and s is not None] or [i]
+        assert links[i] == (min(same), len(same), sum(i in pair for pair in want))
+
+
+@pytest.mark.parametrize("ratio", [None, 0.8])
+def test_two_sides_with_copies(spark, ratio):
+    a = make(30, 4)
+    b = [(i, s) for i, s in make(20, 4)] + [(50 + i, s) for i, s in a[:5]]
+    da, db = (spark.createDataFrame(x + x[:0], "id bigint, sequence string") for x in (a + [(60 + i, s) for i, s in a[:7]], b))
+    got = {(r.id_a, r.id_b): r.score for r in S.similar_pairs(da, db, 3, 0.25, ratio).collect()}
+    want = {}
+    for i, s in a + [(60 + i, s) for i, s in a[:7]]:
+        for j, t in b:
+            if score(s, t, 3) > 0.25 and (ratio is None or ratio <= len(s) / len(t) <= 1 / ratio):
+                want[i, j] = score(s, t, 3)
+    assert got == pytest.approx(want)
