@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from torsia.operators.ordered import neighbour, numbered, running, with_blocks
+from torsia.operators.ordered import block_count, neighbour, numbered, running, with_blocks
+from torsia.session import cut
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +79,25 @@ def test_far_value_leaves_even_blocks(spark):
     df = spark.range(10_000).select(F.lit(1).alias("k"), F.when(F.col("id") == 7, 1e12).otherwise(F.col("id") % 50).alias("t"), "id")
     sizes = [r["count"] for r in with_blocks(df, ["k"], ["t"], 32).groupBy("_block").count().collect()]
     assert sum(sizes) == 10_000 and max(sizes) <= 2 * 10_000 / 32 * 1.5
+
+
+def test_keys_smaller_than_a_block_are_not_cut(spark):
+    rows = spark.range(20000).selectExpr("id % 1000 AS k", "id AS t")
+    # 64 blocks at most: 312 rows each, and no key has more than 20.
+    assert block_count(rows, ["k"], 9) == 0
+    assert block_count(rows.selectExpr("k % 2 AS k", "t"), ["k"], 9) > 0
+
+
+def test_cut_stores_rows_once_and_as_they_are(spark):
+    odd = spark.sql("SELECT * FROM VALUES (1, 'a', double('NaN')), (2, NULL, -0.0D), (NULL, '', NULL) t(k, s, x)")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kept = cut(odd.coalesce(1).mapInArrow(counted, odd.schema))
+    assert seen.value == 3
+    assert sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
+    assert seen.value == 3

@@ -207,7 +207,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # Text of one order: at most seven lines in three groups.
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+    dealt = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_quantity").repartition("l_orderkey")
+    lines = dealt.groupBy("l_orderkey", "l_returnflag", "l_linenumber").agg(F.min("l_quantity").alias("q"))
 
     def listed(c):
         return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(c, "_t"))), lambda x: x["_t"]), ", ")
