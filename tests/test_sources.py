@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from torsia import session
 from torsia.operators import events as E
 from torsia.sources import families, fasta, structures, tables, text
+from __spark_entry__ import queries
+from torsia.sources.text import ordered_text
 
 
 def test_fasta_records(spark, tmp_path):
@@ -108,3 +110,25 @@ def test_equal_times_in_tracks(spark):
 def test_shared_folder_is_the_sessions(spark):
     assert session.scratch_path(spark, "a").startswith(session.shared_dir(spark))
     assert session.scratch_path(spark, "a") != session.scratch_path(spark, "a")
+
+
+def test_numbering_text_does_not_shuffle_it(spark, tmp_path):
+    path = str(tmp_path / "text")
+    spark.range(20000).selectExpr("concat(id, repeat('x', 50)) AS value").coalesce(1).write.text(path)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        out = ordered_text(spark, path)
+        assert [r["line"][: len(str(r["no"] - 1))] for r in out.orderBy("no").limit(3).collect()] == ["0", "1", "2"]
+        assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_models_start_before_their_lines(spark, tmp_path):
+    """Lines of two models of each structure as text and back; a line without a number stays before the first model."""
+    rows = spark.sql("SELECT * FROM VALUES (7L, 2L, 5.0D, 'F'), (7L, 1L, 4.0D, 'O'), (7L, 1L, 3.0D, 'P'), (8L, 3L, 1.0D, 'O') t(l_orderkey, l_linenumber, l_quantity, l_linestatus)")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = queries()["structure_models"](spark, str(tmp_path))
+    got = sorted((r["pdb"], r["model"], r["resnum"], r["icode"], r["aa"]) for r in found.collect())
+    assert got == [(7, 1, 1, "", "G"), (7, 1, 1, "A", "S"), (7, 2, 1, "", "G"), (7, 2, 1, "A", "S"), (8, 1, 2, "", "G"), (8, 2, 2, "", "G")]
