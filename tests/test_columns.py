@@ -165,3 +165,19 @@ def test_association_by_family(spark):
     got = {(r.family, r.aa): (r.n11, r.n12, r.n21, r.n22) for r in C.column_association(sites, classes, ["family"]).collect()}
     assert got["x", "A"] == (3, 0, 0, 3) and got["x", "C"] == (0, 3, 3, 0)
     assert got["y", "A"] == (2, 0, 0, 2) and got["y", "D"] == (2, 2, 0, 0)
+
+
+def test_constrained_subset_reads_sites_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    made = cells(spark, [("a", "ACDE"), ("b", "ACDF"), ("c", "AWWW"), ("d", "ACYE")])
+    sites = made.coalesce(1).mapInArrow(counted, made.schema)
+    members = made.select("family", "protein").distinct().withColumn("rank", F.ascii("protein"))
+    got = C.constrained_subset(sites, members, 0.5, 0.3, 0.9, 4)
+    assert sorted(r["protein"] for r in got.collect()) == ["a", "b", "d"]
+    assert seen.value == 16
