@@ -84,8 +84,13 @@ def test_far_value_leaves_even_blocks(spark):
 def test_keys_smaller_than_a_block_are_not_cut(spark):
     rows = spark.range(20000).selectExpr("id % 1000 AS k", "id AS t")
     # 64 blocks at most: 312 rows each, and no key has more than 20.
-    assert block_count(rows, ["k"], 9) == 0
-    assert block_count(rows.selectExpr("k % 2 AS k", "t"), ["k"], 9) > 0
+    assert block_count(rows, ["k"], 9) == 1
+    assert block_count(rows, ["k"], 20) == 0
+    assert block_count(rows.selectExpr("k % 2 AS k", "t"), ["k"], 9) > 1
+    tied = rows.selectExpr("k", "t DIV 2000 AS t", "t AS v")
+    got = numbered(tied, ["k"], "t", "n", 9).join(neighbour(tied, ["k"], "t", {"next": "v"}, 1, 9), ["k", "t", "v"])
+    assert got.filter("next is not null").count() == 19000
+    assert numbered(tied, ["k"], "t", "n", 9).agg(F.max("n"), F.sum("n")).head() == (20, 210000)
 
 
 def test_cut_stores_columns_with_rows_as_they_are(spark):
