@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from torsia.operators import overlaps as O
 from torsia.operators import similarity as S
 
 
@@ -112,3 +113,45 @@ def test_two_sides_with_copies(spark, ratio):
             if score(s, t, 3) > 0.25 and (ratio is None or ratio <= len(s) / len(t) <= 1 / ratio):
                 want[i, j] = score(s, t, 3)
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("cutoff,letters", [(0.15, "ACDE"), (0.4, "AC"), (0.6, "ACDEFGHIKLMNPQRSTVWY")])
+def test_blocks_tiles_and_folds_lose_no_pair(spark, monkeypatch, cutoff, letters):
+    # Cells of a few rows, tiles of three, no exact tile, words that share columns.
+    for name, value in (("BLOCK_ROWS", 7), ("TILE", 3), ("EXACT", 4), ("FOLD", 16), ("STRIP", 5)):
+        monkeypatch.setattr(O, name, value)
+    rows = make(45, 21, letters) + [(90, "A" * 60), (91, "A" * 50 + "C"), (92, "AC\u00df" + "ACDE" * 5)]
+    df = spark.createDataFrame(rows, "id bigint, sequence string")
+    want = {(i, j): score(a, b, 3) for i, a in rows for j, b in rows if i < j and "\u00df" not in a + b and score(a, b, 3) > cutoff}
+    # Built in this process, as the workers read the module's own limits.
+    got = {}
+    vectors = [r.asDict() for r in O.word_vectors(df, 3).collect()]
+    import pyarrow as pa
+    table = pa.table({c: [v[c] for v in vectors] for c in ("id", "total", "codes", "counts", "lens")})
+    side = O._Side(table, O._codes(3))
+    for i, j, x in O._found(side, side, True, cutoff, None, True):
+        for p, q, r in zip(i, j, x):
+            pair = tuple(sorted((side.ids[int(p)].as_py(), side.ids[int(q)].as_py())))
+            assert pair not in got
+            got[pair] = r
+    assert {p: s for p, s in got.items() if 92 not in p} == pytest.approx(want)
+    spread = {(r.id_a, r.id_b): r.score for r in S.similar_pairs(df, df, 3, cutoff, self_join=True).collect()}
+    assert spread == pytest.approx(got)
+
+
+def test_texts_alike_in_most_windows_store_no_rows_per_window_or_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("ACDEF") for _ in range(60))) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, sequence string")
+    stored = []
+
+    def counted(d, cut=S.cut):
+        out = cut(d)
+        stored.append(out.count())
+        return out
+
+    for module in (S, O):
+        monkeypatch.setattr(module, "cut", counted)
+    links = {r.id: r.links for r in S.similar_links(df, 3, 0.3).collect()}
+    assert links == {i: sum(i != j and score(a, b, 3) > 0.3 for j, b in rows) for i, a in rows}
+    assert stored and max(stored) <= len(rows)
