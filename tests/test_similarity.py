@@ -127,8 +127,8 @@ def test_blocks_tiles_and_folds_lose_no_pair(spark, monkeypatch, cutoff, letters
     got = {}
     vectors = [r.asDict() for r in O.word_vectors(df, 3).collect()]
     import pyarrow as pa
-    table = pa.table({c: [v[c] for v in vectors] for c in ("id", "total", "codes", "counts", "lens")})
-    side = O._Side(table, O._codes(3))
+    table = pa.table({c: [v[c] for v in vectors] for c in ("id", "total", "low", "high", "lens")})
+    side = O._Side(table)
     for i, j, x in O._found(side, side, True, cutoff, None, True):
         for p, q, r in zip(i, j, x):
             pair = tuple(sorted((side.ids[int(p)].as_py(), side.ids[int(q)].as_py())))
@@ -155,3 +155,12 @@ def test_texts_alike_in_most_windows_store_no_rows_per_window_or_pair(spark, mon
     links = {r.id: r.links for r in S.similar_links(df, 3, 0.3).collect()}
     assert links == {i: sum(i != j and score(a, b, 3) > 0.3 for j, b in rows) for i, a in rows}
     assert stored and max(stored) <= len(rows)
+
+
+def test_packed_windows_come_back():
+    import numpy as np
+    rows = [([5], [1]), ([0, 255, 256, 7999], [1, 255, 256, 70000]), ([1 << 30], [3]), ([2, 3, 4], [1, 2, 3])]
+    packed = [O._planes(np.array(c), np.array(n)) for c, n in rows]
+    ends, codes, counts = O._unplaned([x for x, _ in packed], [x for _, x in packed])
+    assert ends.tolist() == [0, 1, 5, 6, 9]
+    assert codes.tolist() == [x for c, _ in rows for x in c] and counts.tolist() == [x for _, n in rows for x in n]
