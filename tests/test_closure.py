@@ -60,3 +60,10 @@ def test_pairs_are_not_multiplied_by_ancestors(spark):
     assert {(r.a, r.b): (r.common, r.distance) for r in met.collect()} == {
         (100, 130): (10, 0.5), (100, 101): (0, 3.5), (100, 103): (1, 1.5), (100, 10): (10, 0.25)
     }
+
+
+def test_pairs_without_a_shared_ancestor_give_no_row(spark):
+    apart = spark.createDataFrame([("t", 9000, None, 0.0)], "tree string, node bigint, parent bigint, branch_length double")
+    pairs = spark.createDataFrame([("t", 100, 9000), ("t", 9000, 9000)], "tree string, a bigint, b bigint")
+    met = T.common_ancestor(T.ancestors(bushy(spark).unionByName(apart)), pairs)
+    assert [(r.a, r.b, r.common, r.distance) for r in met.collect()] == [(9000, 9000, 9000, 0.0)]
