@@ -121,6 +121,24 @@ def test_sums_equal_walks_on_random_trees(spark):
         assert (r.u, r.d, r.top) == (up[t, r.node], down[t, r.node], up["top", t, r.node])
 
 
+def test_wide_trees_need_no_rounds_of_jumps(spark, monkeypatch):
+    # 3 > 12 > 240: every node but the leaves has children, so layers alone give the sums.
+    rows = [("t", i, None if i < 3 else i % 3 if i < 15 else 3 + i % 12, 1) for i in range(255)]
+    df = spark.createDataFrame(rows, "tree string, node bigint, parent bigint, x bigint")
+    want = {(r.node, r.top, r.u, r.d) for r in T._doubled_sums(df.withColumns({"u": df["x"], "d": df["x"]}), 255, ["u"], ["d"]).collect()}
+    monkeypatch.setattr(T, "_doubled_sums", None)
+    got = {(r.node, r.top, r.u, r.d) for r in T.tree_sums(df, {"u": df["x"]}, {"d": df["x"]}).collect()}
+    assert got == want and sum(u for n, _, u, _ in got if n < 3) == 255
+
+
+def test_a_large_table_is_dealt_out_in_more_parts(spark):
+    from torsia.session import split
+
+    df = spark.range(100).withColumnRenamed("id", "k")
+    assert split(df, 10_000_000, ["k"]).rdd.getNumPartitions() == 20
+    assert split(df, 1000, ["k"]).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+
+
 def test_circle_is_an_error(spark):
     rows = [("t", 1, None, 1.0), ("t", 2, 4, 1.0), ("t", 3, 2, 1.0), ("t", 4, 3, 1.0)]
     with pytest.raises(ValueError, match="circle"):
