@@ -64,6 +64,31 @@ def test_posterior(e, width):
             assert np.allclose(got[(p, c)], want, atol=1e-9)
 
 
+def test_a_chain_of_many_rows_in_few_rounds(e, monkeypatch):
+    want = {(r.protein, r.col): r.posterior for r in S.hmm_posterior(e, TR.tolist(), START.tolist()).collect()}
+    rounds = []
+    monkeypatch.setattr(S, "cut", lambda df, cut=S.cut: rounds.append(1) or cut(df))
+    # 23 columns, two to a block and three blocks to a row: 4 rows, 2 rows, 1 row.
+    got = {(r.protein, r.col): r.posterior for r in S.hmm_posterior(e, TR.tolist(), START.tolist(), 2, fan=3).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    assert len(rounds) <= 7
+    # Chains of one row meet no join and store nothing.
+    rounds.clear()
+    assert S.hmm_posterior(e, TR.tolist(), START.tolist(), 3).count() == 26 and not rounds
+
+
+def test_a_missing_score_leaves_its_chain_without_answer(spark):
+    rows = [("f", p, c, [-1.0, None if (p, c) == ("x", 5) else -2.0]) for p in "xy" for c in range(1, 8)]
+    df = spark.createDataFrame(rows, "family string, protein string, col bigint, e array<double>")
+    for width in (2, 3, 100):
+        got = {r.protein: r.loglik for r in S.hmm_loglik(df, TR.tolist(), START.tolist(), width).collect()}
+        assert got["x"] is None and got["y"] is not None
+    for fan in (2, 64):
+        shares = S.hmm_posterior(df, TR.tolist(), START.tolist(), 2, fan).collect()
+        assert len(shares) == 14
+        assert all((r.posterior is None or None in r.posterior) == (r.protein == "x") for r in shares)
+
+
 def test_emissions_with_missing_parts(spark):
     rows = [("f", "p", 1, "A", 0.3, 0.4), ("f", "p", 2, "A", 0.3, None), ("f", "p", 3, "X", 0.3, 0.4), ("f", "p", 4, "-", None, None), ("f", "p", 5, "C", None, 1.0)]
     sites = spark.createDataFrame(rows, "family string, protein string, col bigint, aa string, phi double, psi double")

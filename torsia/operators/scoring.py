@@ -6,16 +6,18 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from torsia.functions import folds
 from torsia.functions.densities import bivariate_log_norm, von_mises_log_norm
 from torsia.functions.letters import RESIDUES
-from torsia.session import cut
+from torsia.session import cut, split
 
 from .columns import is_residue
 from .ordered import numbered
-from .trees import tree_sums, without_relays
+from .trees import FEW_PARENTS, KEY, tree_sums, without_relays
 
 NEG_INF = float("-inf")
 
@@ -131,60 +133,55 @@ def _dot(u: Column, v: Column) -> Column:
     return F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _times(row: Column, columns: Column) -> Column:
-    """Row vector times a matrix given by its columns."""
-    return F.transform(columns, lambda c: _dot(row, c))
+def _starts(initial: Sequence[float], odd: np.ndarray) -> np.ndarray:
+    """What enters a chain's first column; where that has no number, the first state alone."""
+    return np.where(odd[:, None], np.eye(len(initial))[0], np.asarray(initial, dtype=float))
 
 
-def _scaled(rows: Column, log: Column) -> Column:
-    """Matrix divided by its largest entry, the log of that added to ``log``."""
-    top = F.array_max(F.transform(rows, lambda r: F.array_max(r)))
-    return F.struct(
-        F.transform(rows, lambda r: F.transform(r, lambda x: x / top)).alias("rows"), (log + F.ln(top)).alias("log")
-    )
+#: Blocks whose matrices, and columns, meet in one row: the most neighbours multiplied at once.
+FAN = 64
+#: Columns that meet in one row of ``hmm_loglik``.
+STRIP = 16_384
 
 
-def _blocks(e: DataFrame, width: int) -> DataFrame:
-    """Sites of a protein in runs of ``width`` columns, each one bounded row."""
-    return (
-        e.groupBy("family", "protein", F.floor((F.col("col") - 1) / width).alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct("col", "e"))).alias("cells"))
-    )
+def _strips(e: DataFrame, k: Column) -> DataFrame:
+    """Sites of a protein in runs of columns, each one bounded row."""
+    return e.groupBy("family", "protein", k.alias("k")).agg(F.array_sort(F.collect_list(F.struct("col", "e"))).alias("cells"))
+
+
+def _block_numbers(width: int) -> Column:
+    return F.transform(F.col("cells")["col"], lambda c: F.floor((c - 1) / width))
+
 
+def _runs(block: pa.Array, e: pa.Array, s: int) -> tuple:
+    """Columns of a batch of strips, and their blocks: (weights, tops, starts of blocks, blocks without number, first and number of blocks per strip, whole)."""
+    scores, at, whole = folds.cells_of(e, s)
+    number = block.flatten()
+    null = number.is_null().to_numpy(zero_copy_only=False)
+    number = number.fill_null(0).to_numpy(zero_copy_only=False)
+    new = np.ones(len(number), dtype=bool)
+    new[1:] = (number[1:] != number[:-1]) | (null[1:] != null[:-1])
+    new[at[:-1]] = True
+    begins = np.flatnonzero(new)
+    first = np.searchsorted(begins, at)
+    return *folds.weights_of(scores), np.append(begins, len(number)), null[begins], first[:-1], np.diff(first), whole
 
-def _block_matrices(blocks: DataFrame, transition: Sequence[Sequence[float]], initial: Sequence[float]) -> DataFrame:
-    """What a block does to the state vector before it, as scaled matrix rows and a log.
 
-    The first block of a protein is one row: the initial vector carried through it.
+def _strip_matrix(transition: Sequence[Sequence[float]], initial: Sequence[float], width: int) -> Column:
+    """What a strip does to the vector before it, see ``functions.folds``: a matrix per block of ``width`` columns, and their product.
+
+    Each numpy step takes one column of all blocks of a batch, or one block of all strips.
     """
-    s = len(initial)
-    t_cols = F.array(*[_const([transition[i][j] for i in range(s)]) for j in range(s)])
-    eye = F.array(*[_const([1.0 if i == j else 0.0 for j in range(s)]) for i in range(s)])
-    first = F.col("_first")
-
-    def weigh(row: Column, e: Column) -> Column:
-        return F.zip_with(row, e, lambda r, x: r * F.exp(x))
-
-    def step(acc: Column, cell: Column) -> Column:
-        # The top of the emissions is taken out first, so exp cannot overflow.
-        top = F.array_max(cell["e"])
-        rel = F.transform(cell["e"], lambda x: x - top)
-        moved = F.when(acc["started"], F.transform(acc["rows"], lambda r: _times(r, t_cols))).otherwise(acc["rows"])
-        out = _scaled(F.transform(moved, lambda r: weigh(r, rel)), acc["log"] + top)
-        return F.struct(out["rows"].alias("rows"), out["log"].alias("log"), F.lit(True).alias("started"))
-
-    begin = F.struct(
-        F.when(first, F.array(_const(initial))).otherwise(eye).alias("rows"), F.lit(0.0).alias("log"),
-        (~first).alias("started"),
-    )
-    marked = blocks.join(
-        blocks.groupBy("family", "protein").agg(F.min("block").alias("_b0")), ["family", "protein"]
-    ).withColumn("_first", F.col("block") == F.col("_b0"))
-    return marked.withColumn("m", F.aggregate("cells", begin, step)).drop("_b0")
+    moves = np.asarray(transition, dtype=float)
 
+    @F.arrow_udf("array<double>")
+    def matrix(block: pa.Array, e: pa.Array) -> pa.Array:
+        weights, tops, at, null, first, n, whole = _runs(block, e, len(initial))
+        rows, logs = folds.matrices(weights, tops, at, _starts(initial, null), moves)
+        # Columns without a number have no place before others.
+        return folds.packed(*folds.products(rows, logs, first, n), whole & ~(null[first] & (n > 1)))
 
-def _columns_of(rows: Column, s: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(s - 1)), lambda j: F.transform(rows, lambda r: F.get(r, j)))
+    return matrix(_block_numbers(width), F.col("cells")["e"])
 
 
 def hmm_loglik(
@@ -193,113 +190,148 @@ def hmm_loglik(
     """Forward score of each protein from its ``emissions``.
 
     A run of columns becomes one small matrix; the product of the matrices of a
-    protein gives its score. So a long chain is folded by many tasks, and what
-    meets in one task is one matrix per ``width`` columns.
+    protein gives its score. Matrices of neighbours are multiplied where their columns
+    lie, 16,384 columns to a row. So a long chain is folded by many tasks, and what
+    meets in one task is one matrix per row.
     """
     s = len(initial)
-    mats = _block_matrices(_blocks(e, width), transition, initial).select("family", "protein", "block", "m")
+    strip = F.floor(F.floor((F.col("col") - 1) / width) / max(1, STRIP // width))
+    mats = _strips(e.filter("family is not null and protein is not null"), strip).select(
+        "family", "protein", F.col("k").alias("block"), _strip_matrix(transition, initial, width).alias("m")
+    )
     per = mats.groupBy("family", "protein").agg(F.array_sort(F.collect_list(F.struct("block", "m"))).alias("ms"))
 
-    def join(acc: Column, x: Column) -> Column:
-        rows = F.array(_times(acc["v"], _columns_of(x["m"]["rows"], s)))
-        out = _scaled(rows, acc["log"] + x["m"]["log"])
-        return F.struct(out["rows"][0].alias("v"), out["log"].alias("log"))
+    @F.arrow_udf("double")
+    def total(block: pa.Array, ms: pa.Array) -> pa.Array:
+        rows, logs, whole = folds.unpacked(ms.flatten(), s)
+        at = np.concatenate([[0], np.cumsum(ms.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        bad = np.concatenate([[0], np.cumsum(~whole)])
+        n = np.diff(at)
+        # Columns without a number have no place before others.
+        odd = block.flatten().is_null().to_numpy(zero_copy_only=False)[at[:-1]] & (n > 1)
+        v, out = np.tile(np.eye(s + 1)[0], (len(n), 1)), np.zeros(len(n))
+        for t in range(n.max(initial=0)):
+            live = np.flatnonzero(n > t)
+            v[live], log = folds.through(v[live], rows[at[live] + t], logs[at[live] + t])
+            out[live] += log
+        return pa.array(out + np.log(v.sum(axis=1)), mask=odd | (bad[at[1:]] > bad[at[:-1]]))
 
-    head = F.col("ms")[0]["m"]
-    begin = F.struct(head["rows"][0].alias("v"), head["log"].alias("log"))
-    total = F.aggregate(F.slice("ms", F.lit(2), F.size("ms")), begin, join)
-    out = per.withColumn("_f", total)
-    ones = F.aggregate(F.col("_f")["v"], F.lit(0.0), lambda acc, x: acc + x)
-    return out.select("family", "protein", (F.col("_f")["log"] + F.ln(ones)).alias("loglik"))
+    return per.select("family", "protein", total(F.col("ms")["block"], F.col("ms")["m"]).alias("loglik"))
 
 
 def hmm_posterior(
-    e: DataFrame, transition: Sequence[Sequence[float]], initial: Sequence[float], width: int = 256
+    e: DataFrame, transition: Sequence[Sequence[float]], initial: Sequence[float], width: int = 256, fan: int = FAN
 ) -> DataFrame:
     """(family, protein, col, posterior): probability of each state per column.
 
     Forward vectors enter a block from the left and backward vectors from the
-    right; both come from the block matrices, multiplied two by two until one is
-    left, and handed down again the same way, in a logarithmic number of rounds with
-    one block to a row. Within a block two short folds keep every column.
+    right; both come from the block matrices. Up to ``fan`` neighbouring blocks are one
+    row, in which their matrices are multiplied from both ends; within a block two short
+    folds reach every column. Where a chain has several such rows, their products are
+    multiplied ``fan`` by ``fan`` until one is left, and the vectors handed down again the
+    same way, in a logarithmic number of rounds.
     """
     s = len(initial)
-    t_cols = F.array(*[_const([transition[i][j] for i in range(s)]) for j in range(s)])
-    t_rows = F.array(*[_const(r) for r in transition])
-    blocks = cut(_block_matrices(_blocks(e, width), transition, initial))
+    moves = np.asarray(transition, dtype=float)
     chain = ["family", "protein"]
-
-    def unit(v: Column) -> Column:
-        top = F.array_max(v)
-        return F.transform(v, lambda x: x / top)
-
-    placed = numbered(blocks.select(*chain, "block", F.col("m")["rows"].alias("rows")), chain, "block", "_no")
-    placed = cut(placed.withColumn("b", F.col("_no") - 1).drop("_no"))
-    levels, most = [placed.select(*chain, "b", "rows")], placed.agg(F.max("b")).head()[0] or 0
-    while most > 0:
-        left, right = _halves(levels[-1], chain)
-        rows = F.when(F.col("_right").isNull(), F.col("_left")).otherwise(
-            _scaled(F.transform("_left", lambda r: _times(r, _columns_of(F.col("_right"), s))), F.lit(0.0))["rows"]
-        )
-        levels.append(cut(left.join(right, [*chain, "b"], "left").select(*chain, "b", rows.alias("rows"))))
-        most //= 2
-    ends = placed.select(*chain).distinct().select(
-        *chain, F.lit(0).cast("bigint").alias("b"), _const(initial).alias("_in"), _const([1.0] * s).alias("_out")
-    )
-    for level in levels[-2::-1]:
-        left, right = _halves(level, chain)
-        both = ends.join(left, [*chain, "b"]).join(right, [*chain, "b"], "left")
-        # The first block's matrix is one row, the initial vector carried through it.
-        after_left = unit(F.when(F.col("b") == 0, F.col("_left")[0]).otherwise(_times(F.col("_in"), _columns_of(F.col("_left"), s))))
-        before_right = unit(F.transform("_right", lambda r: _dot(r, F.col("_out"))))
-        kids = F.array(
-            F.struct((2 * F.col("b")).alias("b"), F.col("_in"), F.coalesce(before_right, F.col("_out")).alias("_out")),
-            F.when(F.col("_right").isNotNull(), F.struct((2 * F.col("b") + 1).alias("b"), after_left.alias("_in"), F.col("_out"))),
-        )
-        ends = cut(both.select(*chain, F.explode(kids).alias("_k")).filter("_k is not null").select(*chain, "_k.*"))
-    ends = ends.join(placed.select(*chain, "block", "b"), [*chain, "b"]).drop("b")
-    j = blocks.select("family", "protein", "block", "_first", "cells").join(ends, ["family", "protein", "block"])
-
-    def weights(cell: Column) -> Column:
-        top = F.array_max(cell["e"])
-        return F.transform(cell["e"], lambda x: F.exp(x - top))
-
-    empty = F.array().cast("array<array<double>>")
-    forward = F.aggregate(
-        "cells",
-        F.struct(empty.alias("list"), F.col("_in").alias("v"), (~F.col("_first")).alias("move")),
-        lambda acc, c: _keep(acc, unit(F.zip_with(
-            F.when(acc["move"], _times(acc["v"], t_cols)).otherwise(acc["v"]), weights(c), lambda x, y: x * y))),
-        lambda acc: acc["list"],
-    )
-    backward = F.aggregate(
-        F.reverse("cells"),
-        F.struct(empty.alias("list"), F.col("_out").alias("v")),
-        lambda acc, c: F.struct(
-            F.concat(F.array(acc["v"]), acc["list"]).alias("list"),
-            unit(F.transform(t_rows, lambda r: _dot(r, F.zip_with(acc["v"], weights(c), lambda x, y: x * y)))).alias("v"),
-        ),
-        lambda acc: acc["list"],
-    )
-    rows = j.select(
-        "family", "protein", F.explode(F.arrays_zip(F.col("cells"), forward.alias("f"), backward.alias("b"))).alias("_z")
-    )
-    product = F.zip_with(F.col("_z")["f"], F.col("_z")["b"], lambda x, y: x * y)
-    total = F.aggregate("_p", F.lit(0.0), lambda acc, x: acc + x)
-    return rows.select("family", "protein", F.col("_z")["cells"]["col"].alias("col"), product.alias("_p")).select(
-        "family", "protein", "col", F.transform("_p", lambda x: x / total).alias("posterior")
-    )
-
-
-def _halves(level: DataFrame, chain: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Matrices of even and of odd blocks, under the number of the block that both make."""
-    pair = F.floor(F.col("b") / 2).alias("b")
-    left = level.filter(F.col("b") % 2 == 0).select(*chain, pair, F.col("rows").alias("_left"))
-    return left, level.filter(F.col("b") % 2 == 1).select(*chain, pair, F.col("rows").alias("_right"))
-
-
-def _keep(acc: Column, v: Column) -> Column:
-    return F.struct(F.concat(acc["list"], F.array(v)).alias("list"), v.alias("v"), F.lit(True).alias("move"))
+    strip = F.floor(F.floor((F.col("col") - 1) / width) / fan)
+    known = e.filter("family is not null and protein is not null").withColumn("k", strip)
+    # One row per chain where none has more than one strip; columns without a number go to the first of a chain.
+    spans = known.groupBy(*chain).agg(F.min("k").alias("_low"), F.max("k").alias("_high"))
+    long = (spans.agg(F.max(F.col("_high") - F.col("_low"))).head()[0] or 0) > 0
+    if long:
+        known = known.join(spans, chain).withColumn("k", F.coalesce("k", "_low"))
+    else:
+        known = known.withColumn("k", F.lit(0).cast("bigint"))
+    strips = _strips(known, F.col("k"))
+    blocks = _block_numbers(width)
+
+    @F.arrow_udf("array<array<double>>")
+    def shares(block: pa.Array, e: pa.Array, enter: pa.Array, leave: pa.Array) -> pa.Array:
+        weights, tops, at, null, first, n, whole = _runs(block, e, s)
+        start = _starts(initial, null)
+        rows, logs = folds.matrices(weights, tops, at, start, moves)
+        into, out = np.zeros((len(null), s + 1)), np.zeros((len(null), s))
+        (v, left), (w, right) = folds.rows_of(enter, s + 1), folds.rows_of(leave, s)
+        good = np.repeat(left & right & whole, n)
+        for t in range(n.max(initial=0)):
+            live = np.flatnonzero(n > t)
+            here, last = first[live] + t, first[live] + n[live] - 1 - t
+            into[here], out[last] = v[live], w[live]
+            v[live], w[live] = folds.through(v[live], rows[here], logs[here])[0], folds.back(rows[last], logs[last], w[live])
+        # A column without a number stands before the others with no move to them: what follows the next block is not known.
+        odd = np.flatnonzero(null[first] & (n > 1))
+        after = first[odd] + 1
+        start[after], into[after] = rows[first[odd], 0], np.eye(s + 1)[0]
+        late = np.zeros(len(null), dtype=bool)
+        for i in odd:
+            late[first[i] + 2 : first[i] + n[i]] = True
+        good &= ~late
+        found = folds.posterior(weights, at, into, out, start, moves)
+        mask = np.repeat(~np.repeat(good, np.diff(at)), s)
+        offsets = np.concatenate([[0], np.cumsum(block.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * s), pa.array(found.reshape(-1), mask=mask))
+        return pa.ListArray.from_arrays(pa.array(offsets), flat)
+
+    begin, end = _const(np.eye(s + 1)[0]), _const([1.0] * s)
+    if long:
+        strips = cut(strips)
+        ends = _handed(strips.select(*chain, "k", _strip_matrix(transition, initial, width).alias("m")), chain, s, fan, begin, end)
+        strips = strips.join(ends, [*chain, "k"])
+    else:
+        strips = strips.withColumns({"_in": begin, "_out": end})
+    found = strips.select(*chain, F.inline(F.arrays_zip(
+        F.col("cells")["col"].alias("col"), shares(blocks, F.col("cells")["e"], "_in", "_out").alias("posterior"))))
+    return found.toDF(*chain, "col", "posterior").filter("col is not null")
+
+
+def _handed(level: DataFrame, chain: Sequence[str], s: int, fan: int, begin: Column, end: Column) -> DataFrame:
+    """(chain, k, _in, _out): vectors that enter matrices (chain, k, m) from the left and from the right."""
+
+    @F.arrow_udf("array<double>")
+    def multiplied(ms: pa.Array) -> pa.Array:
+        rows, logs, whole = folds.unpacked(ms.flatten(), s)
+        n = ms.value_lengths().to_numpy(zero_copy_only=False)
+        first = np.cumsum(n) - n
+        bad = np.concatenate([[0], np.cumsum(~whole)])
+        return folds.packed(*folds.products(rows, logs, first, n), bad[first + n] == bad[first])
+
+    @F.arrow_udf("array<struct<_in:array<double>,_out:array<double>>>")
+    def ends(ms: pa.Array, enter: pa.Array, leave: pa.Array) -> pa.Array:
+        rows, logs, whole = folds.unpacked(ms.flatten(), s)
+        n = ms.value_lengths().to_numpy(zero_copy_only=False)
+        first = np.cumsum(n) - n
+        into, out = np.zeros((len(rows), s + 1)), np.zeros((len(rows), s))
+        known, after = np.zeros(len(rows), dtype=bool), np.zeros(len(rows), dtype=bool)
+        (v, left), (w, right) = folds.rows_of(enter, s + 1), folds.rows_of(leave, s)
+        for t in range(n.max(initial=0)):
+            live = np.flatnonzero(n > t)
+            here, last = first[live] + t, first[live] + n[live] - 1 - t
+            into[here], out[last], known[here], after[last] = v[live], w[live], left[live], right[live]
+            v[live], w[live] = folds.through(v[live], rows[here], logs[here])[0], folds.back(rows[last], logs[last], w[live])
+            left[live] &= whole[here]
+            right[live] &= whole[last]
+        each = pa.StructArray.from_arrays([folds.lists(into, known), folds.lists(out, after)], names=["_in", "_out"])
+        return pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)).astype(np.int32)), each)
+
+    levels, fan = [], max(2, fan)
+    while True:
+        level = cut(level)
+        levels.append(level)
+        if (level.groupBy(*chain).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0) <= 1:
+            break
+        kids = F.array_sort(F.collect_list(F.struct("k", "m")))
+        up = level.groupBy(*chain, F.floor(F.col("k") / fan).alias("up")).agg(kids.alias("kids"))
+        # Runs on both sides of 0 never meet by division: few enough are taken together.
+        if (up.groupBy(*chain).agg(F.sum(F.size("kids")).alias("n")).agg(F.max("n")).head()[0] or 0) <= fan:
+            up = level.withColumn("up", F.lit(0).cast("bigint")).groupBy(*chain, "up").agg(kids.alias("kids"))
+        level = up.select(*chain, F.col("up").alias("k"), "kids", multiplied(F.col("kids")["m"]).alias("m"))
+    found = levels[-1].select(*chain, "k", begin.alias("_in"), end.alias("_out"))
+    for level in levels[:0:-1]:
+        j = level.join(found, [*chain, "k"])
+        each = F.arrays_zip(F.col("kids")["k"].alias("k"), ends(F.col("kids")["m"], "_in", "_out").alias("v"))
+        found = cut(j.select(*chain, F.explode(each).alias("_z")).select(*chain, F.col("_z")["k"].alias("k"), F.col("_z")["v"]["_in"].alias("_in"), F.col("_z")["v"]["_out"].alias("_out")))
+    return found
 
 
 #: Logs of shares are summed as whole numbers of this part, so equal products tie exactly.
