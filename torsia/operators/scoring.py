@@ -463,21 +463,31 @@ def tree_site_loglik(
     left, values, right = eigen
     short = cut(without_relays(nodes))
     depth = tree_sums(short, {}, {"depth": F.col("parent").isNotNull().cast("int")})
-    placed = cut(short.join(depth, ["tree", "node"]).select("tree", "node", "parent", "branch_length", "depth"))
-    deepest = placed.agg(F.max("depth")).head()[0]
+    joined = split(short, short.count(), KEY).join(depth, KEY)
+    placed = cut(joined.select(*KEY, "parent", "branch_length", "depth"))
+    sizes = {r["depth"]: r for r in placed.groupBy("depth").agg(F.count(F.lit(1)).alias("nodes")).collect()}
+    deepest = max(sizes)
     classes = F.array(*[F.struct(F.lit(i).alias("cls"), F.lit(float(r)).alias("rate")) for i, r in enumerate(rates)])
     hit = [F.when((F.col("aa") == a) | ~F.col("aa").isin(*letters), 0.0).otherwise(NEG_INF) for a in letters]
-    tips = (
-        cells.join(placed.select("tree", "node", "depth"), ["tree", "node"])
-        .select("tree", "node", "col", "depth", F.array(*hit).alias("l"), F.explode(classes).alias("_c"))
-        .select("tree", "node", "col", "depth", "l", F.col("_c")["cls"].alias("cls"), F.col("_c")["rate"].alias("rate"))
-    )
-    level = None
+    # Letters are joined to their branches once, as one letter and one branch to a row.
+    given = cut(cells.select(*KEY, "col", "aa"))
+    n = given.count()
+    on_tree = cut(split(given, n, KEY).join(placed, KEY).select("tree", "node", "parent", "col", "aa", "branch_length", "depth"))
+    tipped = {r["depth"]: r["n"] for r in on_tree.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def tips(d: int) -> DataFrame:
+        at = on_tree.filter(F.col("depth") == d).select(
+            "tree", "node", "parent", "col", "branch_length", F.array(*hit).alias("l"), F.explode(classes).alias("_c")
+        )
+        return at.select("tree", "node", "parent", "col", "branch_length", "l", F.col("_c")["cls"].alias("cls"), F.col("_c")["rate"].alias("rate"))
+
+    level, inner_rows = None, 0
     for d in range(deepest, 0, -1):
-        here = tips.filter(F.col("depth") == d).drop("depth")
-        rows = here if level is None else here.unionByName(level)
-        edge = placed.filter(F.col("depth") == d).select("tree", "node", "parent", "branch_length")
-        j = rows.join(edge, ["tree", "node"])
+        j = tips(d) if d in tipped or level is None else None
+        if level is not None:
+            edge = placed.filter(F.col("depth") == d)
+            up = split(level, inner_rows, KEY).join(edge, KEY).select("tree", "node", "parent", "col", "branch_length", "l", "cls", "rate")
+            j = up if j is None else j.unionByName(up)
         t = F.col("branch_length") * F.col("rate")
         top = F.array_max("l")
         # exp(values t) first, then the two fixed matrices around it.
@@ -490,14 +500,19 @@ def tree_site_loglik(
                                       F.lit(float(left[a, 0])) * F.get("_g", F.lit(0))), F.lit(1e-300)))
             for a in range(s)
         ]
-        sent = j.withColumn("_w", w).withColumn("_g", F.array(*inner))
+        sent = j.withColumn("_w", w).withColumn("_g", F.array(*inner)).select(
+            "tree", F.col("parent").alias("node"), "col", "cls", "rate", *[m.alias(f"_m{a}") for a, m in enumerate(msg)]
+        )
+        # Many parents make many groups: dealt out by size. Few parents are hot: their sums aggregate partially.
+        if d - 1 in sizes and sizes[d - 1]["nodes"] > FEW_PARENTS:
+            sent = split(sent, tipped.get(d, 0) * len(rates) + inner_rows, ["tree", "node", "col"])
         level = cut(
-            sent.select("tree", F.col("parent").alias("node"), "col", "cls", "rate", *[m.alias(f"_m{a}") for a, m in enumerate(msg)])
-            .groupBy("tree", "node", "col", "cls", "rate")
+            sent.groupBy("tree", "node", "col", "cls", "rate")
             .agg(*[F.sum(f"_m{a}").alias(f"_m{a}") for a in range(s)])
             .select("tree", "node", "col", F.array(*[F.col(f"_m{a}") for a in range(s)]).alias("l"), "cls", "rate")
         )
-    rows = tips.filter("depth = 0").drop("depth") if level is None else level
+        inner_rows = level.count()
+    rows = tips(0) if level is None else level
     top = F.array_max("l")
     total = top + F.ln(_dot(F.transform("l", lambda x: F.exp(x - top)), _const(freqs)))
     per_class = rows.select("tree", "col", total.alias("x"))
