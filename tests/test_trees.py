@@ -131,6 +131,13 @@ def test_wide_trees_need_no_rounds_of_jumps(spark, monkeypatch):
     assert got == want and sum(u for n, _, u, _ in got if n < 3) == 255
 
 
+def test_a_node_without_a_value_counts_as_nothing_for_others(spark):
+    rows = [("t", 0, None, 1.0), ("t", 1, 0, None), ("t", 2, 1, 4.0), ("t", 3, 1, 8.0), ("t", 4, 1, None)]
+    df = spark.createDataFrame(rows, "tree string, node bigint, parent bigint, x double")
+    got = {r.node: (r.u, r.d) for r in T.tree_sums(df, {"u": df["x"]}, {"d": df["x"]}).collect()}
+    assert got == {0: (13.0, 1.0), 1: (None, None), 2: (4.0, 5.0), 3: (8.0, 9.0), 4: (None, None)}
+
+
 def test_a_large_table_is_dealt_out_in_more_parts(spark):
     from torsia.session import split
 

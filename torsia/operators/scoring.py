@@ -465,7 +465,8 @@ def tree_site_loglik(
     depth = tree_sums(short, {}, {"depth": F.col("parent").isNotNull().cast("int")})
     joined = split(short, short.count(), KEY).join(depth, KEY)
     placed = cut(joined.select(*KEY, "parent", "branch_length", "depth"))
-    sizes = {r["depth"]: r for r in placed.groupBy("depth").agg(F.count(F.lit(1)).alias("nodes")).collect()}
+    per_node = split(placed, placed.count(), KEY).groupBy(*KEY, "depth").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = {r["depth"]: r for r in per_node.groupBy("depth").agg(F.sum("_n").alias("nodes"), F.max("_n").alias("most")).collect()}
     deepest = max(sizes)
     classes = F.array(*[F.struct(F.lit(i).alias("cls"), F.lit(float(r)).alias("rate")) for i, r in enumerate(rates)])
     hit = [F.when((F.col("aa") == a) | ~F.col("aa").isin(*letters), 0.0).otherwise(NEG_INF) for a in letters]
@@ -476,7 +477,11 @@ def tree_site_loglik(
     tipped = {r["depth"]: r["n"] for r in on_tree.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def tips(d: int) -> DataFrame:
-        at = on_tree.filter(F.col("depth") == d).select(
+        at = on_tree.filter(F.col("depth") == d)
+        if d and sizes[d]["most"] > 1:
+            # A node that comes twice counts its letters, and its branch, twice.
+            at = at.join(placed.filter(F.col("depth") == d).select(*KEY), KEY)
+        at = at.select(
             "tree", "node", "parent", "col", "branch_length", F.array(*hit).alias("l"), F.explode(classes).alias("_c")
         )
         return at.select("tree", "node", "parent", "col", "branch_length", "l", F.col("_c")["cls"].alias("cls"), F.col("_c")["rate"].alias("rate"))
