@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import matched, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,7 +19,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     near = down.unionByName(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))) if large else down
     least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))  # partial minima first
-    joined = near.join(least, "u")
+    joined = near.join(matched(least), "u")
     if large:
         moved = joined.filter(F.col("v") > F.col("u")).select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:

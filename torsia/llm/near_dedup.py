@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, free, text_rows, texts_of, written
+from .common import batch_rows, free, matched, text_rows, texts_of, written
 from .components import components
 from .shingles import U64, bag, from_blob, mix, overlap, shingles, to_blob, words
 
@@ -145,9 +145,9 @@ def bags_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             )
 
     wanted = nodes.select(F.col("id").alias("_id")).distinct()
-    near = docs.join(wanted, F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    near = docs.join(matched(wanted), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     bags = near.select("text").mapInArrow(run, "digest binary, bag binary")
-    return bags.join(nodes.select("node", "digest"), "digest").select("node", "bag").dropDuplicates(["node"])
+    return bags.join(matched(nodes.select("node", "digest")), "digest").select("node", "bag").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -163,8 +163,8 @@ def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
                 [t.column("a"), t.column("b"), pa.array(like, pa.float64())], ["a", "b", "similarity"]
             )
 
-    both = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").join(
-        bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b"
+    both = pairs.join(matched(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))), "a").join(
+        matched(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))), "b"
     )
     return both.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long, similarity double")
 
@@ -194,11 +194,11 @@ def _classes(rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
         entries.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1),
         "hubs",
     )
-    members = written(entries.join(hubs, "key").select("key", "hub", "n", "node"), "members")
+    members = written(entries.join(matched(hubs), "key").select("key", "hub", "n", "node"), "members")
     stars = members.filter(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     stars = written(stars.distinct(), "stars")
     ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    bags = written(bags_of(docs, nodes.join(ends, "node").select("node", "id", "digest")), "bags")
+    bags = written(bags_of(docs, nodes.join(matched(ends), "node").select("node", "id", "digest")), "bags")
     links = written(verified(stars, bags).filter(F.col("similarity") >= least).select("a", "b"), "links")
     # Each run of the rounds starts from the stars of the one before, which hold its components.
     roots = components(links)
@@ -208,13 +208,13 @@ def _classes(rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
         roots = components(merged.unionByName(more))
     of = (
         rows.select("row", "id", "digest")
-        .join(nodes.select("digest", "node"), "digest")
-        .join(roots, "node", "left")
+        .join(matched(nodes.select("digest", "node")), "digest")
+        .join(matched(roots), "node", "left")
         .select("row", "id", F.coalesce("root", "node").alias("root"))
     )
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     named = of.groupBy("root").agg(first, F.count(F.lit(1)).alias("class_size"))
-    return of.join(named, "root").select(
+    return of.join(matched(named), "root").select(
         "row",
         "id",
         F.col("first.id").alias("class_id"),
@@ -225,8 +225,8 @@ def _classes(rows: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
 def outlying(bags: DataFrame, clusters: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(a, b): links of cluster members outside their cluster's largest component."""
-    of = bags.select("node").join(clusters.withColumnRenamed("root", "cluster"), "node", "left")
-    of = of.join(roots, "node", "left").select(
+    of = bags.select("node").join(matched(clusters.withColumnRenamed("root", "cluster")), "node", "left")
+    of = of.join(matched(roots), "node", "left").select(
         "node", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("root", "node").alias("root")
     )
     sizes = of.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -241,7 +241,7 @@ def outlying(bags: DataFrame, clusters: DataFrame, roots: DataFrame, least: floa
             F.ceil(F.col("all") / MEMBERS).alias("slices"),
         )
     )
-    mixed = written(of.join(told, "cluster"), "mixed")
+    mixed = written(of.join(matched(told), "cluster"), "mixed")
     own = F.xxhash64("node")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = mixed.filter(F.col("root") != F.col("main")).select(
@@ -263,7 +263,7 @@ def outlying(bags: DataFrame, clusters: DataFrame, roots: DataFrame, least: floa
     def with_bags(dealt: DataFrame):
         # Joined after dealing, so that a bag is copied once per block or slice and no more.
         # New names keep the two sides, which share their source, apart.
-        both = dealt.join(bags, "node")
+        both = dealt.join(matched(bags), "node")
         return both.select(*[F.col(c).alias(c) for c in ("node", "bag", *keys)]).groupBy(*keys)
 
     return with_bags(left).cogroup(with_bags(right)).applyInArrow(compare, "a long, b long")
